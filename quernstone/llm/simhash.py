@@ -72,10 +72,10 @@ def spanning_links(fps: np.ndarray, labels: np.ndarray, distance: int, split: in
             names[x] = x = names[names[x]]
         return x
 
-    n = len(fps)
+    n, bits = len(fps), np.ascontiguousarray(fps).view(np.uint64)  # bit counts of signed numbers would be those of their absolute values
     for k in range(n - 1 if split is None else split):
         other = slice(k + 1, n) if split is None else slice(split, n)
-        near = np.flatnonzero((np.bitwise_count(fps[other] ^ fps[k]) <= distance) & (labels[other] != labels[k]))
+        near = np.flatnonzero((np.bitwise_count(bits[other] ^ bits[k]) <= distance) & (labels[other] != labels[k]))
         for j in near.tolist():
             a, b = root(int(labels[k])), root(int(labels[other.start + j]))
             if a != b:

@@ -38,7 +38,7 @@ def test_exact(docs, hot, largest):
     for text, rows in own.items():
         ids = [r.doc_id for r in rows if r.doc_id is not None]
         keep = (max if largest else min)(ids, default=None)
-        assert {(r.__keep_id if False else r["__keep_id"], r["__group_size"], r["__text_sha256"]) for r in rows} == {(keep, len(rows), hashlib.sha256(text.encode()).hexdigest())}
+        assert {(r["__keep_id"], r["__group_size"], r["__text_sha256"]) for r in rows} == {(keep, len(rows), hashlib.sha256(text.encode()).hexdigest())}
         assert [r.doc_id for r in rows if r["__kept"]] == [keep]
 
 

@@ -6,6 +6,8 @@ import functools
 import hashlib
 import json
 import re
+import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +25,21 @@ _KEPT_WORDS = 250_000
 #: These divide a text for str.split() though they are not white space in Unicode.
 _CONTROL_SPACE = re.compile("[\x1c-\x1f]")
 _SPLIT_EXACTLY = re.compile("(?:[^\\s]|[\x1c-\x1f])+")
-#: Fixed value: the word pattern of the vocabulary, for ASCII.
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\s a-z0-9]+")
+#: Characters that leave the range where Python and the library agree on letters, numbers, lower case and composition.
+_BEYOND_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
+
+
+def _latin_words() -> re.Pattern:
+    """The word pattern of the vocabulary (fixed value) with the letters and numbers below U+0250 spelt out.
+
+    A line feed, which no run without white space holds, is found as the mark between two runs.
+    """
+    of = lambda kind: "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
+    letters, numbers = of("L"), of("N")
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+|\\n")
+
+
+_LATIN_WORDS = _latin_words()
 
 
 class RankArrays:
@@ -52,6 +67,8 @@ class RankArrays:
         self.last = np.array([self.vocab.get(s + self.end, -1) for s in self.symbols], dtype=np.int64)
         if (self.inner < 0).any() or (self.last < 0).any():
             raise ValueError(f"{path}: not every byte has a symbol")
+        #: Ids and decoded text of words met lately, and of special tokens.
+        self.known: dict[bytes | int, tuple[bytes, str]] = {k: (array("I", [k]).tobytes(), t) for t, k in self.special.items()}
         self.divide = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -94,6 +111,8 @@ class RankArrays:
         sizes = np.array([len(w) for w in words])
         order = np.argsort(sizes, kind="stable")
         out: list[list[int]] = [[]] * len(words)
+        if not words:
+            return out
         for chunk in np.array_split(order, -(-len(order) // 4096)):
             width = int(sizes[chunk[-1]])
             parts = np.full((len(chunk), width + 1), -1, dtype=np.int64)
@@ -127,26 +146,42 @@ class RankArrays:
                 out[k] = [x for x in row if x >= 0]
         return out
 
-    def words(self, chunk: str) -> list[bytes | int]:
-        """The words of a run without white space as bytes, special tokens as ids."""
-        if self.divide and any(s in chunk for s in self.special):
-            return [x for part in self.divide.split(chunk) if part for x in ([self.special[part]] if part in self.special else self._words(part))]
-        return self._words(chunk)
-
-    def _words(self, chunk: str) -> list[bytes]:
-        if chunk.isascii() and not _CONTROL_SPACE.search(chunk):
-            return [w.encode() for w in _ASCII_WORDS.findall(chunk.lower())]
+    def words(self, chunks: list[str]) -> list[list[bytes | int]]:
+        """The words of each run without white space as bytes, special tokens as ids."""
+        if not chunks:
+            return []
+        marked = "\n".join(chunks)
+        odd = _BEYOND_LATIN.search(marked) or _CONTROL_SPACE.search(marked) or self.divide and self.divide.search(marked)
+        slow = {k for k, c in enumerate(chunks) if _BEYOND_LATIN.search(c) or _CONTROL_SPACE.search(c) or self.divide and self.divide.search(c)} if odd else set()
+        if slow:
+            marked = "\n".join(["" if k in slow else c for k, c in enumerate(chunks)])
+        out: list[list[bytes | int]] = [[]]
+        for w in _LATIN_WORDS.findall(marked.lower()):
+            if w == "\n":
+                out.append([])
+            else:
+                out[-1].append(w.encode())
         back = _symbol_bytes()
-        found = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(chunk))
-        return [bytes(map(back.__getitem__, w)) for w, _ in found]
+        for k in slow:
+            for part in self.divide.split(chunks[k]) if self.divide else [chunks[k]]:
+                if part in self.special:
+                    out[k].append(self.special[part])
+                elif part:
+                    found = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(part))
+                    out[k] += [bytes(map(back.__getitem__, w)) for w, _ in found]
+        return out
 
-    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
-        divided = [self.words(c) for c in chunks]
-        distinct = [*{w for ws in divided for w in ws if isinstance(w, bytes)}]
-        short = [w for w in distinct if len(w) <= _SHORT]
-        ids = dict(zip(short, self.merge_short(short), strict=True)) if short else {}
-        ids |= {w: self.merge_long(w) for w in distinct if len(w) > _SHORT}
-        return [[x for w in ws for x in (ids[w] if isinstance(w, bytes) else [w])] for ws in divided]
+    def encode_chunks(self, chunks: list[str]) -> list[tuple[bytes, str]]:
+        """Ids (little-endian unsigned 32-bit) and their decoded text, for each run without white space."""
+        divided = self.words(chunks)
+        if len(self.known) > _KEPT_WORDS:
+            self.known = {k: v for k, v in self.known.items() if isinstance(k, int)}
+        new = {w for ws in divided for w in ws} - self.known.keys()
+        short, long = [w for w in new if len(w) <= _SHORT], [w for w in new if len(w) > _SHORT]
+        for w, ids in [*zip(short, self.merge_short(short), strict=True), *zip(long, map(self.merge_long, long), strict=True)]:
+            self.known[w] = array("I", ids).tobytes(), self.decode(ids)
+        known = self.known
+        return [known[ws[0]] if len(ws) == 1 else (b"".join([known[w][0] for w in ws]), " ".join([known[w][1] for w in ws])) for ws in divided]
 
     def decode(self, ids: list[int]) -> str:
         """As the library decodes with no decoder of its own: tokens joined by spaces; unknown ids are left out."""
@@ -198,9 +233,9 @@ def encode(docs: DataFrame, id_col: str, text_col: str, vocabulary_path: str, di
                 for c in chunks:
                     new.update(c)
                 new = [*(new - raw.keys())]
-                for c, ids in zip(new, vocab.encode_chunks(new), strict=True):
-                    raw[c] = np.array(ids, dtype="<u4").tobytes()
-                    plain[c] = vocab.decode(ids)
+                for c, (ids, text) in zip(new, vocab.encode_chunks(new), strict=True):
+                    raw[c] = ids
+                    plain[c] = text
                 n, first, second = [], [], []
                 for c in chunks:
                     ids = b"".join(map(raw.__getitem__, c))

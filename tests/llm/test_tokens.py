@@ -86,7 +86,9 @@ def test_piece_counts_of_pretokens(text):
 @given(TEXT)
 def test_rank_arrays(text):
     vocab = bpe.rank_arrays(WORD)
-    ids = [x for c in vocab.encode_chunks(bpe.divide(text)) for x in c]
+    found = vocab.encode_chunks(bpe.divide(text))
+    ids = np.frombuffer(b"".join(raw for raw, _ in found), dtype="<u4").tolist()
+    assert " ".join(t for _, t in found if t) == vocab.decode(ids)
     assert ids == vocab.tokenizer.encode(text, add_special_tokens=False).ids
     assert vocab.decode(ids) == vocab.tokenizer.decode(ids, skip_special_tokens=False)
 

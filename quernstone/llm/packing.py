@@ -7,6 +7,7 @@ import functools
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from quernstone.llm.common import body, cut
 
 #: Characters beside which a space is not a safe place to divide a text.
-_AWKWARD = ("  ", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0")
+_AWKWARD = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0")
 _WIDE_SPACE = re.compile("[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _BEYOND_LATIN = re.compile("[^\x00-\u024f]")
@@ -28,7 +29,11 @@ _SLICE = 2_000_000
 
 
 def divide(text: str) -> list[str]:
-    """Cut at single spaces between two non-spaces; there a byte-level BPE always begins a new word with the space."""
+    """Cut at single spaces between two non-spaces; there a byte-level BPE always begins a new word with the space.
+
+    Single line feeds between two non-spaces are words of their own there, so a text without other white space is cut
+    before them too: a part that begins with a line feed follows no space, any other but the first follows one.
+    """
     if any(x in text for x in _AWKWARD):
         return _SAFE_SPACE.split(text)
     try:
@@ -36,7 +41,7 @@ def divide(text: str) -> list[str]:
     except UnicodeEncodeError:
         if _WIDE_SPACE.search(text):
             return _SAFE_SPACE.split(text)
-    return text.split(" ")
+    return text.replace("\n", " \n").split(" ")
 
 
 class _ByteLevelIds:
@@ -63,21 +68,34 @@ class _ByteLevelIds:
         self.kept: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
-        """``words`` follow a space each."""
-        plain = []
-        if self.ranked:
-            plain = [w for w in words if "\n" not in w and not _BEYOND_LATIN.search(w) and not any(x in w for x in self.special)]
-            if plain:
-                ids = np.array(self.ranked.encode_ordinary("\n".join([" " + w for w in plain])), dtype="<u4")
-                ends = [*np.flatnonzero(ids == self.newline).tolist(), len(ids)]
-                raw, at = ids.tobytes(), 0
-                for w, end in zip(plain, ends, strict=True):
-                    self.kept[w] = raw[4 * at : 4 * end]
-                    at = end + 1
-        done = set(plain)
-        rest = [w for w in words if w not in done]
-        for w, found in zip(rest, self.tokenizer.encode_batch_fast([" " + w for w in rest], add_special_tokens=False), strict=True):
-            self.kept[w] = np.array(found.ids, dtype="<u4").tobytes()
+        """``words`` follow a space each, but those that begin with a line feed."""
+        lines = [w for w in words if w[:1] == "\n"]
+        spaced = [" " + w for w in words if w[:1] != "\n"] if lines else [" " + w for w in words]
+        self.kept.update(zip((w[1:] for w in spaced), self._encode(spaced), strict=True))
+        if lines:
+            feed = self._encode(["\n"])[0]
+            self.kept.update((w, feed + ids) for w, ids in zip(lines, self._encode([w[1:] for w in lines]), strict=True))
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        if not self.ranked or len(texts) < 2:
+            return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        joined = "\n".join(texts)
+        plain, rest = texts, []
+        if joined.count("\n") >= len(texts) or _BEYOND_LATIN.search(joined) or any(x in joined for x in self.special) or "" in texts:
+            odd = lambda t: not t or "\n" in t or _BEYOND_LATIN.search(t) or any(x in t for x in self.special)
+            rest = [t for t in texts if odd(t)]
+            plain = [t for t in texts if not odd(t)]
+            joined = "\n".join(plain)
+        # a line feed between two texts that don't begin or end with white space, but for a space in front, is one id
+        ids = np.array(self.ranked.encode_ordinary(joined), dtype="<u4")
+        ends = [*np.flatnonzero(ids == self.newline).tolist(), len(ids)]
+        raw, at, found = ids.tobytes(), 0, {}
+        for t, end in zip(plain, ends if plain else [], strict=True):
+            found[t] = raw[4 * at : 4 * end]
+            at = end + 1
+        if rest:
+            found.update((t, array("I", x.ids).tobytes()) for t, x in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+        return [found[t] for t in texts]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -274,7 +292,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, cell_items: int = 4096, island
 
     schema = "cell long, island int, lengths array<int>, bred array<int>, elite array<int>, bins int, spread double"
     start = items.groupBy("cell").agg(F.sort_array(F.collect_list(F.col("length").cast("int")), asc=False).alias("lengths"))
-    state = start.withColumn("island", F.explode(F.array(*map(F.lit, range(islands))))).repartition("cell", "island")
+    state = start.withColumn("island", F.explode(F.array(*map(F.lit, range(islands))))).repartition(max(1, min(islands * cells, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "cell", "island")
     state = cut(state.mapInArrow(lambda x: island_rows(x, 0), schema))
     for epoch in range(1, epochs):
         migrants = state.select("cell", ((F.col("island") + 1) % islands).alias("island"), F.col("elite").alias("migrant"))

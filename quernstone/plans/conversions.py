@@ -102,9 +102,9 @@ def cast_date_range(t):
     return found.select("o_orderkey", F.col("r.value.Start").alias("starts"), F.col("r.value.End").alias("ends"), inside.alias("inside"), "r.error")
 
 
-@query("select doc_id, len(list_filter(string_split(replace(replace(replace(text, '(', ' '), '&', ' '), '|', ' '), chr(10)), lambda x: trim(x) <> '')) as items from documents")
+@query("select doc_id, len(list_filter(string_split(replace(replace(replace(replace(text, '(', ' '), ')', ' '), '&', ' '), '|', ' '), chr(10)), lambda x: trim(x) <> '')) as items from documents")
 def split_list(t):
-    text = F.replace(F.replace(F.replace(F.col("text"), F.lit("("), F.lit(" ")), F.lit("&"), F.lit(" ")), F.lit("|"), F.lit(" "))
+    text = F.translate("text", "()&|", "    ")
     return t("documents").select("doc_id", F.size(cells.split_items(text)).cast("long").alias("items"))
 
 

@@ -201,7 +201,25 @@ class Packer:
 
     def __init__(self, lengths: np.ndarray, capacity: int, seed: int):
         self.lengths, self.capacity, self.rng = lengths, capacity, np.random.default_rng(seed)
-        self.bound = -(-int(lengths.sum()) // capacity)
+        self.bound = self._bound()
+
+    def _bound(self) -> int:
+        """No packing has fewer bins: items over half a bin stand alone, and for each k those between k and a half can
+        only use the room beside the ones that leave k or more."""
+        n = np.bincount(self.lengths, minlength=self.capacity + 1)
+        count, total = np.cumsum(n), np.cumsum(n * np.arange(len(n)))
+        half, k = self.capacity // 2, np.arange(self.capacity // 2 + 1)
+        lone, beside = count[-1] - count[self.capacity - k], count[self.capacity - k] - count[half]
+        room = beside * self.capacity - (total[self.capacity - k] - total[half])
+        small = total[half] - total[np.maximum(k - 1, 0)] * (k > 0)
+        return int((lone + beside + np.maximum(0, -(-(small - room) // self.capacity))).max())
+
+    def population(self, size: int, noise: float) -> list[np.ndarray]:
+        """Best fit in order of length, an exact fill, and best fit in disturbed orders; the first alone if none can be better."""
+        first = self.fresh(0.0)
+        if self.cost(first)[0] <= self.bound:
+            return [first] * size
+        return [first, self.tight(), *[self.fresh(noise + 0.04 * p) for p in range(2, size)]]
 
     def fill(self, packing: np.ndarray) -> np.ndarray:
         return np.bincount(packing, weights=self.lengths).astype(np.int64)
@@ -220,6 +238,49 @@ class Packer:
         order = np.argsort(-self.lengths * self.rng.uniform(1 - noise, 1 + noise, len(self.lengths)), kind="stable")
         return self.best_fit(np.zeros(len(order), dtype=np.int64), np.zeros(0, dtype=np.int64), order)
 
+    def tight(self) -> np.ndarray:
+        """Open each bin with the longest item left and look for one, two or three others that fill it exactly.
+
+        Where none do, the longest that fits goes in and the search goes on; the choice among pairs is by chance.
+        """
+        left = np.bincount(self.lengths, minlength=self.capacity + 1)
+        left[0] = 0
+        at = np.searchsorted(-self.lengths, -np.arange(self.capacity + 1))
+        packing, used, top = np.zeros(len(self.lengths), dtype=np.int64), 0, self.capacity
+
+        def take(n: int) -> int:
+            packing[at[n]] = used
+            at[n] += 1
+            left[n] -= 1
+            return n
+
+        def pair(room: int) -> int:
+            """The longer one of two items that fill the room, or 0."""
+            a = np.arange((room + 1) // 2, room)
+            fits = a[(left[a] > 0) & (left[room - a] > (2 * a == room))]
+            return int(fits[self.rng.integers(len(fits))]) if len(fits) else 0
+
+        while True:
+            while top and not left[top]:
+                top -= 1
+            if not top:
+                return packing
+            room = self.capacity - take(top)
+            while room:
+                if left[room]:
+                    take(room)
+                    break
+                if a := pair(room):
+                    take(a)
+                    take(room - a)
+                    break
+                fits = np.flatnonzero(left[: room + 1])[::-1]
+                if not len(fits):
+                    break
+                third = next((n for n in fits[:6].tolist() if (left[n] > 2 or 3 * n > 2 * room) and (a := pair(room - n)) and left[n] > (n in (a, room - n - a))), 0)
+                room -= take(third or int(fits[0]))
+            used += 1
+
     def cross(self, ours: np.ndarray, theirs: np.ndarray) -> np.ndarray:
         """Inject well-filled bins of ``theirs`` whole, drop our bins that hold the same items, best-fit what is left over."""
         full = self.fill(theirs) >= self.capacity - int(self.rng.choice([0, 0, 1, 3, 8]))
@@ -257,7 +318,7 @@ class Packer:
         return [p for _, _, p in ranked]
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, cell_items: int = 4096, islands: int = 3, epochs: int = 3, births: int = 10, population: int = 4) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 1024, cell_items: int = 16384, islands: int = 3, epochs: int = 3, births: int = 8, population: int = 4) -> DataFrame:
     """Add (sequence_id, offset) to ``pieces`` (row, piece, length, ...): each piece gets a place in one sequence.
 
     Pieces as long as a sequence fill one each. The others are dealt by hash into cells of about ``cell_items``, a
@@ -282,7 +343,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, cell_items: int = 4096, island
                 if epoch:
                     bred = [*np.split(batch.column("bred")[k].values.to_numpy(), population), batch.column("migrant")[k].values.to_numpy()]
                 else:
-                    bred = [packer.fresh(0.0 if p == 0 else 0.04 * (p + island)) for p in range(population)]
+                    bred = packer.population(population, 0.04 * island)
                 bred = packer.evolve(bred, births)[:population]
                 bins, spread = packer.cost(bred[0])
                 for name, value in (("cell", cell), ("island", island), ("lengths", lengths), ("bred", np.concatenate(bred).astype(np.int32)), ("elite", bred[0].astype(np.int32)), ("bins", bins), ("spread", spread)):

@@ -56,10 +56,39 @@ def test_packing_is_close_to_the_bound():
     rng = np.random.default_rng(1)
     lengths = np.sort(rng.integers(1, 1024, 1500))[::-1].astype(np.int32)
     packer = packing.Packer(lengths, 1024, 3)
-    first = [packer.fresh(0.05 * k) for k in range(4)]
+    first = [*packer.population(3, 0.05), packer.tight()]
     best = packer.evolve(first, 30)
     assert packer.cost(best[0]) <= min(map(packer.cost, first))
-    assert packer.fill(best[0]).max() <= 1024 and packer.cost(best[0])[0] <= 1.02 * packer.bound
+    assert packer.fill(best[0]).max() <= 1024 and packer.cost(best[0])[0] <= 1.01 * packer.bound
+
+
+def test_bound_of_small_packings():
+    """Against all packings of a few items."""
+
+    def fewest(items, bins=()):
+        if not items:
+            return len(bins)
+        head, *rest = items
+        with_old = [fewest(rest, (*bins[:k], b + head, *bins[k + 1 :])) for k, b in enumerate(bins) if b + head <= 10]
+        return min([*with_old, fewest(rest, (*bins, head))])
+
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        lengths = np.sort(rng.integers(1, 10, 6))[::-1].astype(np.int32)
+        packer, best = packing.Packer(lengths, 10, 1), fewest(lengths.tolist())
+        assert packer.bound <= best
+        found = packer.evolve([packer.fresh(0.0), packer.tight(), packer.fresh(0.2)], 40)[0]
+        assert packer.fill(found).max() <= 10 and packer.cost(found)[0] >= best
+
+
+def test_crossover_brings_whole_bins():
+    rng = np.random.default_rng(6)
+    lengths = np.sort(rng.integers(1, 1024, 800))[::-1].astype(np.int32)
+    packer = packing.Packer(lengths, 1024, 2)
+    a, b = packer.fresh(0.3), packer.tight()
+    for _ in range(10):
+        child = packer.cross(a, b)
+        assert packer.fill(child).max() <= 1024 and packer.fill(child).sum() == lengths.sum() and (packer.fill(child) > 0).all()
 
 
 def test_empty_tables(empty):

@@ -188,14 +188,13 @@ def to_call(c: Column) -> Column:
     return _scalar(c, F.when(parts.isNotNull(), F.struct(parts["header"].alias("Type"), parts["args"].alias("Parameters"))), "call")
 
 
-def to_enum(members: dict[str, int], allow_values: bool = False) -> Cast:
+def to_enum(members: dict[str, int]) -> Cast:
     """A member name, or names joined by ``&`` and ``|``, applied from left to right: struct(name, mask).
 
     Expressions without parentheses are folded by built-in functions; others take operators.enums.evaluate().
     """
-    known = F.create_map(*[F.lit(x) for kv in members.items() for x in kv]) if members else F.create_map().cast("map<string,int>")
-
     def cast(c: Column) -> Column:
+        known = F.create_map(*[F.lit(x) for kv in members.items() for x in kv]) if members else F.create_map().cast("map<string,int>")
         text = F.regexp_replace(c, "\\s", "")
         flat = text.rlike("^[A-Za-z_][A-Za-z_0-9]*([&|][A-Za-z_][A-Za-z_0-9]*)*$")
         names = F.split(F.when(flat, text), "[&|]")

@@ -51,7 +51,7 @@ def declared(text: str) -> Declared:
         found = replace(found, sequence=True, name=found.name[1:])
     if found.name.endswith("?"):
         found = replace(found, nullable=True, name=found.name[:-1])
-    if m := re.fullmatch(r"\$([^.\[\]{}<>$]+)(?:\.([^.\[\]{}<>$]+))?", found.name):
+    if m := re.fullmatch(r"\$(\w+)(?:\.(\w+))?", found.name):
         found = replace(found, reference=m[1], reference_column=m[2])
     elif found.name.startswith("$") or not found.name:
         raise ValueError(f"{text}: not a declared type")

@@ -20,25 +20,33 @@ TIMESPAN = "^(-?)(?:([0-9]+)[. ])?([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(?:[.]([0
 FLOAT_MAX = 3.4028234663852886e38
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used and in whatever branches."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def result(value: Column, error: Column) -> Column:
     """The value where there is no error."""
-    return F.struct(F.when(error.isNull(), value).alias("value"), error.alias("error"))
+    return let(error, lambda e: F.struct(F.when(e.isNull(), value).alias("value"), e.alias("error")))
 
 
-def _scalar(c: Column, value: Column, kind: str, *problems: tuple[Column, str]) -> Column:
+def _scalar(c: Column, value: Column, kind: str, *problems: tuple[Callable[[Column], Column], str]) -> Column:
     """Null literals, then text that is no such value, then ``problems`` with the value."""
-    error = F.when(is_null_literal(c), F.lit("null")).when(value.isNull(), F.lit(f"not a {kind}"))
-    for found, name in problems:
-        error = error.when(found, F.lit(name))
-    return result(value, error)
+
+    def judged(v: Column) -> Column:
+        error = F.when(is_null_literal(c), F.lit("null")).when(v.isNull(), F.lit(f"not a {kind}"))
+        for found, name in problems:
+            error = error.when(found(v), F.lit(name))
+        return result(v, error)
+
+    return let(value, judged)
 
 
 def nullable(cast: Cast) -> Cast:
     """The same conversion where a null literal is a null value and no error."""
 
     def lenient(c: Column) -> Column:
-        found = cast(c)
-        return result(found["value"], F.when(~is_null_literal(c), found["error"]))
+        return let(cast(c), lambda found: result(found["value"], F.when(~is_null_literal(c), found["error"])))
 
     return lenient
 
@@ -58,13 +66,13 @@ def _integer(c: Column, low: int, high: int, kind: str, wraps: int) -> Column:
     # conv() raises beyond 16 digits; the pattern keeps it below
     from_hex = F.conv(F.when(text.rlike(HEXADECIMAL), F.substring(text, 3, 16)), 16, 10).try_cast("decimal(31,0)")
     if wraps:
-        from_hex = F.when(from_hex >= lit(2**63), from_hex - lit(2**64)).otherwise(from_hex)
+        from_hex = let(from_hex, lambda h: F.when(h >= lit(2**63), h - lit(2**64)).otherwise(h))
     value = F.coalesce(from_decimal, from_hex)
-    return _scalar(c, value, kind, (value < lit(low), f"below {kind}"), (value > lit(high), f"above {kind}"))
+    return _scalar(c, value, kind, (lambda v: v < lit(low), f"below {kind}"), (lambda v: v > lit(high), f"above {kind}"))
 
 
 def _retyped(found: Column, kind: str) -> Column:
-    return F.struct(found["value"].cast(kind).alias("value"), found["error"].alias("error"))
+    return let(found, lambda r: F.struct(r["value"].cast(kind).alias("value"), r["error"].alias("error")))
 
 
 def to_signed(bits: int) -> Cast:
@@ -83,29 +91,38 @@ def to_double(c: Column) -> Column:
 
 
 def to_float_checked(c: Column) -> Column:
-    found = to_double(c)
-    value = found["value"]
-    return result(value, F.coalesce(found["error"], F.when(value < -FLOAT_MAX, F.lit("below float")).when(value > FLOAT_MAX, F.lit("above float"))))
+    over = lambda v: F.when(v < -FLOAT_MAX, F.lit("below float")).when(v > FLOAT_MAX, F.lit("above float"))
+    return let(to_double(c), lambda r: result(r["value"], F.coalesce(r["error"], over(r["value"]))))
 
 
 def to_string(c: Column) -> Column:
     return result(F.when(~is_null_literal(c), c), F.lit(None).cast("string"))
 
 
+def _moment(text: Column) -> Column:
+    return F.when(text.rlike(DATETIME), text).try_cast("timestamp_ntz")
+
+
 def to_datetime(c: Column) -> Column:
-    text = F.trim(c)
-    return _scalar(c, F.when(text.rlike(DATETIME), text).try_cast("timestamp_ntz"), "DateTime")
+    return _scalar(c, _moment(F.trim(c)), "DateTime")
 
 
 def span_millis(text: Column) -> Column:
     """Milliseconds of ``[-][d.]hh:mm[:ss[.f]]``, a space as good as the first point; null for other text."""
-    part = lambda k: F.coalesce(F.nullif(F.regexp_extract(text, TIMESPAN, k), F.lit("")), F.lit("0"))
-    hours, minutes, seconds = (part(k).cast("int") for k in (3, 4, 5))
-    millis = F.rpad(part(6), 7, "0").substr(1, 3).cast("int")
-    fits = text.rlike(TIMESPAN) & (F.length(part(2)) <= 8)
-    total = F.when(fits, ((F.when(fits, part(2)).cast("long") * 24 + hours) * 60 + minutes) * 60000 + seconds * 1000 + millis)
-    total = F.when((hours < 24) & (minutes < 60) & (seconds < 60), total)
-    return F.when(F.regexp_extract(text, TIMESPAN, 1) == "-", -total).otherwise(total)
+
+
+    def millis(p: Column) -> Column:
+        part = lambda k: F.get(p, F.lit(k))
+        hours, minutes, seconds = (part(k).cast("int") for k in (2, 3, 4))
+        fits = (F.length(part(1)) <= 8) & (hours < 24) & (minutes < 60) & (seconds < 60)
+        rest = F.rpad(part(5), 7, "0").substr(1, 3).cast("int")
+        days = F.when(fits, part(1)).cast("long")
+        total = ((days * 24 + hours) * 60 + minutes) * 60000 + seconds * 1000 + rest
+        return let(total, lambda n: F.when(F.get(p, F.lit(0)) == "-", -n).otherwise(n))
+
+    # empty captures become zeros where numbers are meant; the sign stays
+    captured = F.array(F.regexp_extract(text, TIMESPAN, 1), *[F.regexp_replace(F.regexp_extract(text, TIMESPAN, k), "^$", "0") for k in range(2, 7)])
+    return let(F.when(text.rlike(TIMESPAN), captured), millis)
 
 
 def _interval(millis: Column) -> Column:
@@ -113,29 +130,26 @@ def _interval(millis: Column) -> Column:
 
 
 def to_timespan(c: Column) -> Column:
-    millis = span_millis(F.trim(c))
-    found = _scalar(c, millis, "TimeSpan")
-    return F.struct(_interval(found["value"]).alias("value"), found["error"].alias("error"))
+    found = _scalar(c, span_millis(F.trim(c)), "TimeSpan")
+    return let(found, lambda r: F.struct(_interval(r["value"]).alias("value"), r["error"].alias("error")))
 
 
 def to_date_range(c: Column) -> Column:
     """``a ~ b``, or a span from the year 1 on."""
-    sides = F.split(c, "~")
-    start, end = (to_datetime(F.when(F.size(sides) == 2, F.trim(F.get(sides, F.lit(k))))) for k in (0, 1))
     origin = F.expr("timestamp_ntz'0001-01-01 00:00:00'")
-    span = to_timespan(F.when(~F.contains(c, F.lit("~")), c))
-    both = F.when((start["error"].isNull()) & (end["error"].isNull()), F.struct(start["value"].alias("Start"), end["value"].alias("End")))
-    value = F.coalesce(both, F.when(span["error"].isNull(), F.struct(origin.alias("Start"), (origin + span["value"]).alias("End"))))
-    return _scalar(c, value, "DateRange", (value["Start"].isNull(), "not a DateRange"))
+    side = lambda p, k: _moment(F.trim(F.get(p, F.lit(k))))
+    both = let(F.split(c, "~"), lambda p: F.when(F.size(p) == 2, F.struct(side(p, 0).alias("Start"), side(p, 1).alias("End"))))
+    span = F.struct(origin.alias("Start"), (origin + _interval(span_millis(F.trim(c)))).alias("End"))
+    value = let(F.when(F.contains(c, F.lit("~")), both).otherwise(span), lambda r: F.when(r["Start"].isNotNull() & r["End"].isNotNull(), r))
+    return _scalar(c, value, "DateRange")
 
 
 def to_list(element: Cast) -> Cast:
     """Items between ``&``, ``|`` or line feeds; the error is that of the first bad item."""
 
     def cast(c: Column) -> Column:
-        found = F.transform(split_items(c), element)
-        bad = F.filter(found, lambda x: x["error"].isNotNull())
-        return result(F.transform(found, lambda x: x["value"]), F.get(bad, F.lit(0))["error"])
+        first = lambda found: F.get(F.filter(found, lambda x: x["error"].isNotNull()), F.lit(0))["error"]
+        return let(F.transform(split_items(c), element), lambda found: result(F.transform(found, lambda x: x["value"]), first(found)))
 
     return cast
 
@@ -145,23 +159,33 @@ def to_map(key: Cast, value: Cast) -> Cast:
 
     def cast(c: Column) -> Column:
         items = F.transform(split_items(c), lambda x: F.transform(F.split(x, ":"), lambda p: F.trim(p)))
-        shaped = F.forall(items, lambda x: F.size(x) == 2)
-        pairs = F.transform(F.when(shaped, items), lambda x: F.struct(key(F.get(x, F.lit(0))).alias("k"), value(F.get(x, F.lit(1))).alias("v")))
-        bad = F.filter(F.transform(pairs, lambda p: F.coalesce(p["k"]["error"], p["v"]["error"])), lambda e: e.isNotNull())
-        keys = F.transform(pairs, lambda p: p["k"]["value"])
-        error = F.when(~shaped, F.lit("not key:value")).otherwise(F.coalesce(F.get(bad, F.lit(0)), F.when(F.size(F.array_distinct(keys)) < F.size(keys), F.lit("duplicate key"))))
-        entries = F.transform(pairs, lambda p: F.struct(p["k"]["value"], p["v"]["value"]))
-        return F.struct(F.map_from_entries(F.when(error.isNull(), entries)).alias("value"), error.alias("error"))
+        shaped = let(items, lambda xs: F.when(F.forall(xs, lambda x: F.size(x) == 2), xs))
+        pairs = F.transform(shaped, lambda x: F.struct(key(F.get(x, F.lit(0))).alias("k"), value(F.get(x, F.lit(1))).alias("v")))
+
+        def judged(ps: Column) -> Column:
+            bad = F.filter(F.transform(ps, lambda p: F.coalesce(p["k"]["error"], p["v"]["error"])), lambda e: e.isNotNull())
+            keys = F.transform(ps, lambda p: p["k"]["value"])
+            twice = let(keys, lambda k: F.when(F.size(F.array_distinct(k)) < F.size(k), F.lit("duplicate key")))
+            error = F.when(ps.isNull(), F.lit("not key:value")).otherwise(F.coalesce(F.get(bad, F.lit(0)), twice))
+            entries = F.transform(ps, lambda p: F.struct(p["k"]["value"], p["v"]["value"]))
+            return let(error, lambda e: F.struct(F.map_from_entries(F.when(e.isNull(), entries)).alias("value"), e.alias("error")))
+
+        return let(pairs, judged)
 
     return cast
 
 
 def _pair(pattern: str, kind: str, first: str, second: str, element: Cast) -> Cast:
     def cast(c: Column) -> Column:
-        matched = F.trim(c).rlike(pattern)
-        a, b = (element(F.when(matched, F.regexp_extract(F.trim(c), pattern, k))) for k in (1, 2))
-        value = F.when(matched, F.struct(a["value"].alias(first), b["value"].alias(second)))
-        return _scalar(c, value, kind, (F.coalesce(a["error"], b["error"]).isNotNull(), f"{kind} element out of range"))
+        text = F.trim(c)
+        part = lambda k: element(F.regexp_extract(text, pattern, k))
+        both = F.when(text.rlike(pattern), F.struct(part(1).alias("a"), part(2).alias("b")))
+
+        def judged(p: Column) -> Column:
+            error = F.when(is_null_literal(c), F.lit("null")).when(p.isNull(), F.lit(f"not a {kind}")).when(F.coalesce(p["a"]["error"], p["b"]["error"]).isNotNull(), F.lit(f"{kind} element out of range"))
+            return result(F.struct(p["a"]["value"].alias(first), p["b"]["value"].alias(second)), error)
+
+        return let(both, judged)
 
     return cast
 
@@ -184,8 +208,8 @@ def to_sequence(c: Column) -> Column:
 
 def to_call(c: Column) -> Column:
     """``header(a, b)`` as struct(Type, Parameters) of text; binding to a catalog is a join (operators.calls)."""
-    parts = call_parts(c)
-    return _scalar(c, F.when(parts.isNotNull(), F.struct(parts["header"].alias("Type"), parts["args"].alias("Parameters"))), "call")
+    value = let(call_parts(c), lambda p: F.when(p.isNotNull(), F.struct(p["header"].alias("Type"), p["args"].alias("Parameters"))))
+    return _scalar(c, value, "call")
 
 
 def to_enum(members: dict[str, int]) -> Cast:
@@ -196,14 +220,19 @@ def to_enum(members: dict[str, int]) -> Cast:
     def cast(c: Column) -> Column:
         known = F.create_map(*[F.lit(x) for kv in members.items() for x in kv]) if members else F.create_map().cast("map<string,int>")
         text = F.regexp_replace(c, "\\s", "")
-        flat = text.rlike("^[A-Za-z_][A-Za-z_0-9]*([&|][A-Za-z_][A-Za-z_0-9]*)*$")
-        names = F.split(F.when(flat, text), "[&|]")
+        flat = F.when(text.rlike("^[A-Za-z_][A-Za-z_0-9]*([&|][A-Za-z_][A-Za-z_0-9]*)*$"), F.split(text, "[&|]"))
         marks = F.filter(F.split(F.regexp_replace(text, "[A-Za-z_0-9]", ""), ""), lambda x: x != "")
-        values = F.transform(names, lambda n: F.try_element_at(known, n))
-        known_all = F.forall(values, lambda v: v.isNotNull())
-        steps = F.when(known_all, F.arrays_zip(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))).alias("v"), marks.alias("m")))
-        mask = F.aggregate(steps, F.get(values, F.lit(0)), lambda acc, x: F.when(x["m"] == "&", acc.bitwiseAND(x["v"])).otherwise(acc.bitwiseOR(x["v"])))
-        value = F.when(flat & known_all, F.struct(F.when(F.size(names) == 1, F.get(names, F.lit(0))).alias("name"), mask.alias("mask")))
-        return _scalar(c, F.when(flat, F.struct(F.lit(1))), "enum expression", (~known_all, "unknown member")).withField("value", value)
+
+        def folded(values: Column) -> Column:
+            later = F.arrays_zip(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))).alias("v"), marks.alias("m"))
+            return F.aggregate(later, F.get(values, F.lit(0)), lambda acc, x: F.when(x["m"] == "&", acc.bitwiseAND(x["v"])).otherwise(acc.bitwiseOR(x["v"])))
+
+        def judged(names: Column) -> Column:
+            mask = let(F.transform(names, lambda n: F.try_element_at(known, n)), lambda vs: F.when(F.forall(vs, lambda v: v.isNotNull()), folded(vs)))
+            made = lambda m: F.struct(F.when(F.size(names) == 1, F.get(names, F.lit(0))).alias("name"), m.alias("mask"))
+            error = lambda m: F.when(is_null_literal(c), F.lit("null")).when(names.isNull(), F.lit("not a enum expression")).when(m.isNull(), F.lit("unknown member"))
+            return let(mask, lambda m: result(made(m), error(m)))
+
+        return let(flat, judged)
 
     return cast

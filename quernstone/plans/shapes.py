@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.operators import cells, containers, incremental
-from quernstone.operators.catalog import CLIENT, COMMON, SERVER, Catalog, scope_project
+from quernstone.operators import catalog, cells, containers, incremental
+from quernstone.operators.catalog import CLIENT, COMMON, SERVER, Catalog
 from quernstone.operators.constraints import leaves
 from quernstone.plans.registry import query
 
@@ -19,9 +19,9 @@ def long_to_wide(t):
 
 
 @query("select s_suppkey, s_name from supplier")
-def scope_project_query(t):
+def scope_project(t):
     columns = {"s_suppkey": ("*long", COMMON), "s_name": ("string", CLIENT), "s_nationkey": ("$nation", SERVER), "s_acctbal": ("double", SERVER)}
-    return scope_project(t("supplier"), Catalog({"supplier": columns}), "supplier", CLIENT)
+    return catalog.scope_project(t("supplier"), Catalog({"supplier": columns}), "supplier", CLIENT)
 
 
 def _as_cells(df: DataFrame, key: str, columns: list[tuple[str, str, str]], sheet: str) -> DataFrame:

@@ -27,7 +27,7 @@ CLASSES = (
 ALLOWED = (
     "^[^0-9]+$",
     "^[^A-Za-z]+$",
-    "^(?:[A-Za-z]+[0-9]{0,4}[/_=-]+)+[A-Za-z]*[0-9]{0,4}$",
+    "^(?:[A-Za-z]++[0-9]{0,4}+[/_=-]++)++[A-Za-z]*+[0-9]{0,4}+$",  # possessive: a long path needs no stack
     "^[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$",
     "(?i:example|sample|placeholder|changeme|dummy|xxxx|your[_-])",
     "(?i:abcdefgh|01234567|12345678)",
@@ -62,19 +62,22 @@ def spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     each = rows.select("row", "id", "text", F.explode(tried).alias("t"))
     pairs = F.when(F.col("t.kind") >= 0, F.arrays_zip(F.regexp_extract_all("text", F.col("t.pattern"), F.lit(0)).alias("m"), F.split("text", F.col("t.pattern"), -1).alias("gap")))
     places = each.select("row", "id", F.col("t.kind").alias("kind"), F.posexplode_outer(pairs).alias("k", "at")).where("kind < 0 or at.m is not null")
-    places = places.select("row", "id", "kind", "k", F.col("at.m").alias("m"), F.length("at.m").cast("long").alias("size"), F.length("at.gap").cast("long").alias("gap")).repartition("row")
-    places = places.withColumn("end", F.sum(F.col("size") + F.col("gap")).over(Window.partitionBy("row", "kind").orderBy("k")))
-    places = places.withColumn("start", F.col("end") - F.col("size"))
+    places = places.select("row", "id", "kind", "k", F.col("at.m").alias("m"), F.length("at.m").cast("long").alias("size"), F.length("at.gap").cast("long").alias("gap"))
     enough = (
         F.when(F.col("kind") == 0, F.length(F.regexp_extract("m", ASSIGN, 2)) >= 6)
         .when(F.col("kind") == 1, F.col("size") >= 20)
         .when(F.col("kind") == 3, ~F.col("m").rlike("|".join([*ALLOWED[:-1], "^[0-9a-f]{24,}$", "^AKIA[A-Z0-9]{16,}$"])) & ~F.col("m").rlike(ALLOWED[-1]))
         .otherwise(F.lit(True))
     )
-    places = places.where(enough)
+    bound = F.coalesce(*[F.when(F.col("m").rlike(pattern), F.lit(least)) for _, pattern, least in CLASSES])
+    # only candidates travel as strings; a row of one character below carries the bound, not its candidate
+    places = places.withColumn("enough", enough).withColumn("candidate", F.when((F.col("kind") == 3) & F.col("enough"), F.col("m")))
+    places = places.withColumn("bound", F.when(F.col("candidate").isNotNull(), bound)).drop("m").repartition("row")
+    places = places.withColumn("end", F.sum(F.col("size") + F.col("gap")).over(Window.partitionBy("row", "kind").orderBy("k")))
+    places = places.withColumn("start", F.col("end") - F.col("size")).where("enough")
 
-    letters = F.when(F.col("kind") == 3, F.split("m", "", -1))
-    chars = places.select("row", "id", "kind", "start", "end", "m", F.posexplode_outer(letters).alias("i", "c")).where("kind < 3 or c <> ''")
+    letters = F.split("candidate", "", -1)
+    chars = places.select("row", "id", "kind", "start", "end", "bound", F.posexplode_outer(letters).alias("i", "c")).where("kind < 3 or c <> ''")
     own = Window.partitionBy("row", "kind", "start", "c").orderBy("i")
     weight = lambda n: F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
     change = lambda frame: (lambda n: weight(n) - weight(n - 1))(F.count("*").over(frame))
@@ -82,9 +85,8 @@ def spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     along = Window.partitionBy("row", "kind", "start").orderBy("i")
     inside = F.sum("enters").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.coalesce(F.sum("leaves").over(along.rowsBetween(Window.unboundedPreceding, -WINDOW)), F.lit(0.0))
     chars = chars.withColumn("entropy", F.when(F.col("i") >= WINDOW - 1, F.log2(F.lit(float(WINDOW))) - inside / WINDOW))
-    best = chars.groupBy("row", "kind", "start").agg(F.first("id").alias("id"), F.first("end").alias("end"), F.first("m").alias("m"), F.max("entropy").alias("entropy"))
-    bound = F.coalesce(*[F.when(F.col("m").rlike(pattern), F.lit(least)) for _, pattern, least in CLASSES])
-    return best.where((F.col("kind") < 3) | (F.col("entropy") >= bound)).select("row", "id", F.when(F.col("kind") >= 0, F.col("kind")).alias("kind"), "start", "end")
+    best = chars.groupBy("row", "kind", "start").agg(F.first("id").alias("id"), F.first("end").alias("end"), F.first("bound").alias("bound"), F.max("entropy").alias("entropy"))
+    return best.where((F.col("kind") < 3) | (F.col("entropy") >= F.col("bound"))).select("row", "id", F.when(F.col("kind") >= 0, F.col("kind")).alias("kind"), "start", "end")
 
 
 def summary(found: DataFrame) -> DataFrame:
@@ -100,8 +102,11 @@ def summary(found: DataFrame) -> DataFrame:
 
 
 def without_secrets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` in which no secret is found, with their own columns."""
-    doc = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    found = spans(doc, "doc", "text")
-    clean = found.groupBy("row").agg(F.first("id").alias("doc"), F.count("kind").alias("n")).where("n = 0")
-    return clean.select("doc.*")
+    """The rows of ``docs`` in which no secret is found, with their own columns.
+
+    The scan sees identifiers and texts; (identifier, hash of the text) names the rows that go, and equal texts agree.
+    """
+    own, digest = F.col(f"`{id_col}`"), F.xxhash64(body(text_col))
+    named = docs.select(F.struct(own.alias("id"), digest.alias("hash")).alias("name"), F.col(f"`{text_col}`").alias("text"))
+    gone = spans(named, "name", "text").where("kind is not null").select(F.col("id.id").alias("__gone_id"), F.col("id.hash").alias("__gone_hash")).distinct()
+    return docs.join(gone, own.eqNullSafe(F.col("__gone_id")) & (digest == F.col("__gone_hash")), "left_anti")

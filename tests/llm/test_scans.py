@@ -80,6 +80,15 @@ def test_secrets(docs):
     assert any("entropy" in r.spans for r in got)
 
 
+def test_long_candidates(spark):
+    """Rows of one character don't carry the candidate; a long path is allowed without a deep stack."""
+    blob = "".join(hashlib.sha512(str(k).encode()).hexdigest()[:50] + "Zq+" for k in range(2000))
+    docs = spark.createDataFrame([(1, blob), (2, "a1/" * 200_000 + "b")], "doc_id long, text string")
+    got = {r.id: r for r in secrets.summary(secrets.spans(docs, "doc_id", "text")).collect()}
+    assert got[1].n_entropy == 1 and f"entropy:0:{len(blob)}" in got[1].spans.split(",")
+    assert got[2].spans == ""
+
+
 def test_clean_rows_stay_whole(docs, empty):
     kept = secrets.without_secrets(docs, "doc_id", "text")
     assert kept.columns == docs.columns

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quernstone.llm.common import body, cut
 
 
-def content_sort(docs: DataFrame, id_col: str, text_col: str, keep_largest: bool = False, hot_share: int = 1000, hot_least: int = 64) -> DataFrame:
+def content_sort(docs: DataFrame, id_col: str, text_col: str, keep_largest: bool = False, hot_share: int = 20_000, hot_least: int = 64) -> DataFrame:
     """(doc, keep_id, group_size, kept, text_sha256) for every row; ``doc`` is a struct of all columns of ``docs``.
 
     Texts are range-partitioned by sampled splitters over their first characters and a hash of the whole (a routing
@@ -21,8 +21,12 @@ def content_sort(docs: DataFrame, id_col: str, text_col: str, keep_largest: bool
     texts; the resulting rows of fixed size are broadcast to their copies, which are not shuffled. A hash that two
     frequent texts share goes the way of the sort.
     """
-    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if docs.columns else F.struct()
-    rows = docs.select(doc.alias("doc"), F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"), body(text_col).alias("body"))
+    # a string travels once, as the sort's own body; what is not one is kept as it came beside its body
+    plain = docs.select(F.col(f"`{text_col}`")).schema[0].dataType.simpleString() == "string"
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if not (plain and c == text_col)])
+    own = lambda c: F.when(~F.col("void"), F.col("body")) if plain and c == text_col else F.col("rest").getField(c)
+    doc = F.struct(*[own(c).alias(c) for c in docs.columns]).alias("doc")
+    rows = docs.select(rest.alias("rest"), F.isnull(f"`{text_col}`").alias("void"), F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"), body(text_col).alias("body"))
     rows = rows.withColumn("hash", F.xxhash64("body"))
     counts = cut(rows.groupBy("hash").agg(F.count("*").alias("n")).where(f"n >= {hot_least}"))
     hot = cut(counts.where(F.col("n") > docs.count() // hot_share).select("hash"))
@@ -36,15 +40,15 @@ def content_sort(docs: DataFrame, id_col: str, text_col: str, keep_largest: bool
     all_rows = rows.join(F.broadcast(settled), "hash", "left")
     sha = F.sha2("body", 256).alias("text_sha256")
     same = F.col("row") == F.col("hot_row")
-    copies = all_rows.where("hot_size is not null").select("doc", F.col("hot_keep").alias("keep_id"), F.col("hot_size").alias("group_size"), same.alias("kept"), sha)
+    copies = all_rows.where("hot_size is not null").select(doc, F.col("hot_keep").alias("keep_id"), F.col("hot_size").alias("group_size"), same.alias("kept"), sha)
 
-    cold = all_rows.where("hot_size is null").withColumn("front", F.substring("body", 1, 32)).select("doc", "id", "row", "body", "hash", "front")
+    cold = all_rows.where("hot_size is null").withColumn("front", F.substring("body", 1, 32)).select("rest", "void", "id", "row", "body", "hash", "front")
     cold = cold.repartitionByRange("front", "hash")
     order = [F.desc_nulls_last("id") if keep_largest else F.asc_nulls_last("id"), F.asc("row")]
     equal = Window.partitionBy("front", "hash", "body")
     ordered = equal.orderBy(*order)
-    sorted_rows = cold.select("doc", F.first("id").over(ordered).alias("keep_id"), F.count("*").over(equal).alias("group_size"), (F.row_number().over(ordered) == 1).alias("kept"), sha)
-    return sorted_rows.union(copies)
+    sorted_rows = cold.select("rest", "void", "body", F.first("id").over(ordered).alias("keep_id"), F.count("*").over(equal).alias("group_size"), (F.row_number().over(ordered) == 1).alias("kept"), sha)
+    return sorted_rows.select(doc, "keep_id", "group_size", "kept", "text_sha256").union(copies)
 
 
 def exact_dedup(docs: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:

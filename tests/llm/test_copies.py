@@ -42,6 +42,11 @@ def test_exact(docs, hot, largest):
         assert [r.doc_id for r in rows if r["__kept"]] == [keep]
 
 
+def test_exact_of_other_types(spark):
+    docs = spark.createDataFrame([(1, 5, "x"), (2, 5, None), (3, None, "y"), (4, None, "z")], "doc_id long, text int, body string")
+    assert sorted(exact_dedup.exact_dedup(docs, "doc_id", "text").collect()) == [(1, 5, "x"), (3, None, "y")]
+
+
 def test_exact_keeps_columns(docs, empty):
     assert exact_dedup.exact_dedup(docs, "doc_id", "text").columns == docs.columns
     assert exact_dedup.exact_dedup(empty, "doc_id", "text").count() == 0

@@ -18,6 +18,10 @@ SPACE = "▁"
 _RUNS = re.compile(" +[^ ]*|[^ ]+")
 #: A common pre-token has at most so many characters, so the table of them has a size bound.
 _COMMON_CHARS = 32
+#: Partitions over which the occurrences of a pre-token too long for that table are dealt.
+_LONG_PARTS = 64
+#: Characters of pre-tokens, and some room for each, that one task remembers at a time.
+_KEPT_CHARS = 1 << 25
 
 
 @functools.lru_cache(maxsize=2)
@@ -77,7 +81,8 @@ def token_counts(docs: DataFrame, id_col: str, text_col: str, model_path: str, s
 
     Each document gives its pre-tokens with their frequencies. Those in the bounded common table are added up on the
     spot; every other one is shuffled by pre-token, meets its piece count, computed once in the one partition that
-    holds all its occurrences, and goes back as a partial sum. No ids are kept. Rows are told apart by position, so
+    holds all its occurrences, and goes back as a partial sum. Pre-tokens too long for the table, which may be frequent
+    all the same (a ruler of dashes), are dealt over 64 partitions and counted once in each. No ids are kept. Rows are told apart by position, so
     repeated or null identifiers give a row each. Other columns are not read.
     """
     known = docs.sparkSession.sparkContext.broadcast(common_pretokens(docs, text_col, model_path, sample_docs, common))
@@ -106,13 +111,15 @@ def token_counts(docs: DataFrame, id_col: str, text_col: str, model_path: str, s
             yield pa.RecordBatch.from_arrays([pa.array(rows + out_rows, pa.int64()), ids, n_bytes, word, pa.array(own + out_n, pa.int64())], ["row", "id", "n_bytes", "word", "n"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        processor, seen = _processor(model_path), {}
+        processor, seen, held = _processor(model_path), {}, 0
         for batch in batches:
             words = batch.column("word").to_pylist()
-            if len(seen) > 500_000:
+            if held > _KEPT_CHARS:
                 seen.clear()
+                held = 0
             new = [*({w for w in words if w is not None} - seen.keys())]
             seen.update(zip(new, piece_counts(processor, new), strict=True))
+            held += sum(map(len, new)) + 64 * len(new)
             n = [k if w is None else k * seen[w] for w, k in zip(words, batch.column("n").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "id", "n_bytes")), pa.array(n, pa.int64())], ["row", "id", "n_bytes", "n"])
 
@@ -120,7 +127,8 @@ def token_counts(docs: DataFrame, id_col: str, text_col: str, model_path: str, s
     text = body(text_col)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     pairs = rows.mapInArrow(frequencies, f"row long, id {kind}, n_bytes long, word string, n long")
-    by_word = pairs.repartition("word", F.when(F.col("word").isNull(), F.col("row")))
+    salt = F.when(F.col("word").isNull(), F.col("row")).when(F.length("word") > _COMMON_CHARS, F.pmod(F.xxhash64("row"), F.lit(_LONG_PARTS)))
+    by_word = pairs.repartition("word", salt)
     sums = by_word.mapInArrow(counted, f"row long, id {kind}, n_bytes long, n long")
     total = sums.groupBy("row").agg(F.max("id").alias("id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
     return total.select(F.col("id").alias(id_col), "n_bytes", "n_tokens")

@@ -22,6 +22,8 @@ NO_RANK = np.int32(2**31 - 1)
 #: Bytes of a word up to which words are merged together, one merge of each in a step.
 _SHORT = 48
 _KEPT_WORDS = 250_000
+#: Longer words are forgotten after each run of texts, so the tables of words have a size bound.
+_KEPT_CHARS = 256
 #: These divide a text for str.split() though they are not white space in Unicode.
 _CONTROL_SPACE = re.compile("[\x1c-\x1f]")
 _SPLIT_EXACTLY = re.compile("(?:[^\\s]|[\x1c-\x1f])+")
@@ -181,7 +183,11 @@ class RankArrays:
         for w, ids in [*zip(short, self.merge_short(short), strict=True), *zip(long, map(self.merge_long, long), strict=True)]:
             self.known[w] = array("I", ids).tobytes(), self.decode(ids)
         known = self.known
-        return [known[ws[0]] if len(ws) == 1 else (b"".join([known[w][0] for w in ws]), " ".join([known[w][1] for w in ws])) for ws in divided]
+        out = [known[ws[0]] if len(ws) == 1 else (b"".join([known[w][0] for w in ws]), " ".join([known[w][1] for w in ws])) for ws in divided]
+        for w in long:
+            if len(w) > _KEPT_CHARS:
+                del known[w]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """As the library decodes with no decoder of its own: tokens joined by spaces; unknown ids are left out."""
@@ -243,6 +249,9 @@ def encode(docs: DataFrame, id_col: str, text_col: str, vocabulary_path: str, di
                     n.append(len(ids) // 4)
                     first.append(hashlib.sha256(ids).hexdigest() if digests else np.frombuffer(ids, dtype="<u4").astype(np.int32))
                     second.append(hashlib.sha256(text.encode()).hexdigest() if digests else text)
+                for c in new:
+                    if len(c) > _KEPT_CHARS:
+                        del raw[c], plain[c]
                 columns = [batch.column(0).slice(part.start, part.stop - part.start), pa.array(n, pa.int64()), pa.array(first, pa.string() if digests else pa.list_(pa.int32())), pa.array(second, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", *(x.split()[0] for x in outs.split(", "))])
 

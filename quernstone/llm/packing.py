@@ -24,6 +24,8 @@ _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 #: Distinct words whose ids one Python worker keeps; the table is emptied beyond it.
 _KEPT_WORDS = 300_000
+#: Longer words are forgotten after each run of texts, so the table has a size bound.
+_KEPT_CHARS = 256
 #: Characters of text that are divided at a time.
 _SLICE = 2_000_000
 
@@ -108,8 +110,13 @@ class _ByteLevelIds:
         new: set[str] = set()
         for c in cut_up:
             new.update(c[1:])
-        self._learn([*(new - self.kept.keys())])
-        return [a + b"".join(map(self.kept.__getitem__, c[1:])) for a, c in zip(first, cut_up, strict=True)]
+        new -= self.kept.keys()
+        self._learn([*new])
+        out = [a + b"".join(map(self.kept.__getitem__, c[1:])) for a, c in zip(first, cut_up, strict=True)]
+        for w in new:
+            if len(w) > _KEPT_CHARS:
+                del self.kept[w]
+        return out
 
 
 @functools.lru_cache(maxsize=2)

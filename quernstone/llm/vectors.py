@@ -197,7 +197,8 @@ def near_vectors(vectors: DataFrame, id_col: str, vector_col: str, threshold: fl
     rows = rows.withColumn("x", F.when(usable, F.col("x")))
     points = rows.where("x is not null").groupBy("x").agg(F.count("*").alias("copies"), F.min("id").alias("first")).withColumn("v", F.monotonically_increasing_id())
     points = cut(points.select("v", "x", "copies", "first"))
-    lengths_of_x = [r[0] for r in points.select(F.size("x")).distinct().limit(64).collect()]
+    # one search for each length that several vectors have; a vector without another of its length has no link
+    lengths_of_x = [r.dims for r in points.groupBy(F.size("x").alias("dims")).agg(F.count("*").alias("n")).where("n > 1").orderBy("dims").collect()]
     parts = [_links(points.where(F.size("x") == n), threshold, how) for n in lengths_of_x]
     named = parts[0][0] if parts else None
     for found, _ in parts[1:]:

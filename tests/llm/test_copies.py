@@ -122,3 +122,12 @@ def test_vectors(spark):
     assert all(found[k].n_links <= n for k, n in want.items())
     assert sum(found[k].n_links for k in want) >= 0.97 * sum(want.values())
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id", "embedding").count() == 0
+
+
+def test_vectors_of_many_lengths(spark):
+    """However many lengths there are, each one's vectors meet; a vector alone in its length stays alone."""
+    rows = [(n, [1.0 + n + k for k in range(n)]) for n in range(1, 80)]
+    rows += [(100 + k, [float(k % 2 + 10 * i) for i in range(90)]) for k in range(4)]
+    got = {r.id: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding").collect()}
+    assert all(got[n].n_links == 0 and got[n].component_id == n and got[n].kept for n in range(1, 80))
+    assert all(got[k].n_links == 3 and got[k].component_id == 100 and got[k].kept == (k == 100) for k in range(100, 104))

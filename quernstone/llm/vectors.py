@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quernstone.llm.common import components, cut
 
 _PAIRS = "v long, u long, s double"
+_MET = "v long, u long, s double, bridge boolean"
 
 
 @dataclass(frozen=True)
@@ -53,35 +54,76 @@ def _best(ids: np.ndarray, sims: np.ndarray, need: np.ndarray, k: int) -> tuple[
     return np.repeat(ids, good.sum(axis=1)), ids[top][good], s[good]
 
 
-def _joined(groups: DataFrame, k: int) -> DataFrame:
-    """Rows (ids, xs, need) of vectors that meet: each one's best candidates among the others."""
+def _bridges(ids: np.ndarray, sims: np.ndarray, roots: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A spanning forest of the group's links between different components; ``sims`` is below any threshold on the diagonal."""
+    v, u, s = [], [], []
+    if (roots != roots[0]).any():
+        linked, roots = sims >= threshold, roots.copy()
+        for a in np.flatnonzero((linked & (roots[:, None] != roots)).any(axis=1)).tolist():
+            others = np.flatnonzero(linked[a] & (roots != roots[a]))
+            joined, first = np.unique(roots[others], return_index=True)
+            for b in others[first].tolist():
+                v.append(ids[a])
+                u.append(ids[b])
+                s.append(sims[a, b])
+            roots[np.isin(roots, joined)] = roots[a]
+    return np.array(v, dtype=np.int64), np.array(u, dtype=np.int64), np.array(s, dtype=np.float64)
+
+
+def _joined(groups: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Rows (ids, xs, need, roots) of vectors that meet: each one's best candidates among the others, and bridges.
+
+    A bridge is a link that joins two components as they stand, however many better candidates its ends have.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
+            marks = []
             for n in range(batch.num_rows):
                 ids = batch.column("ids")[n].values.to_numpy()
                 if len(ids) > 1:
                     x = _units(batch.column("xs")[n].values)
-                    need = batch.column("need")[n].values.to_numpy()
-                    for column, found in zip(out, _best(ids, x @ x.T, need, k), strict=True):
-                        column.append(found)
-            yield _batch(*out)
+                    need, roots = (batch.column(c)[n].values.to_numpy() for c in ("need", "roots"))
+                    sims = x @ x.T
+                    best = _best(ids, sims, need, k)
+                    for bridge, some in ((False, best), (True, _bridges(ids, sims, roots, threshold))):
+                        for column, found in zip(out, some, strict=True):
+                            column.append(found)
+                        marks.append(np.full(len(some[0]), bridge))
+            yield _batch(*out).append_column("bridge", pa.array(np.concatenate(marks) if marks else [], pa.bool_()))
 
-    return groups.mapInArrow(run, _PAIRS)
+    return groups.mapInArrow(run, _MET)
 
 
 def _lists(pairs: DataFrame, lengths: DataFrame | None, k: int) -> DataFrame:
-    """Of each vector's distinct candidates the most similar, as many as its list is long; fresh if not listed before."""
+    """Of each vector's distinct candidates the most similar, as many as its list is long; fresh if not listed before.
+
+    Bridges come out whether they are listed or not.
+    """
     rank = Window.partitionBy("v").orderBy(F.desc("s"), "u")
-    ranked = pairs.groupBy("v", "u").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh")).withColumn("rank", F.row_number().over(rank))
+    ranked = pairs.groupBy("v", "u").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"), F.max("bridge").alias("bridge")).withColumn("rank", F.row_number().over(rank))
     if lengths is None:
-        return ranked.where(F.col("rank") <= k).drop("rank")
-    return ranked.join(lengths, "v", "left").where(F.col("rank") <= F.coalesce("k", F.lit(k))).drop("rank", "k")
-
-
-def _seed_lists(points: DataFrame, how: Descent, size: int, salt: int) -> DataFrame:
-    """Candidates from blocks of vectors that fall on the same sides of a few random planes."""
+        ranked = ranked.withColumn("listed", F.col("rank") <= k)
+    else:
+        ranked = ranked.join(lengths, "v", "left").withColumn("listed", F.col("rank") <= F.coalesce("k", F.lit(k))).drop("k")
+    return ranked.where("listed or bridge").drop("rank")
+
+
+def _merged(named: DataFrame, bridges: DataFrame) -> tuple[DataFrame, bool]:
+    """(v, root) of all vectors with links after ``bridges`` (v, u) join components of ``named``; whether any did."""
+    root = lambda side, name: named.select(F.col("v").alias(side), F.col("root").alias(name))
+    ends = bridges.select("v", "u").join(root("v", "a"), "v", "left").join(root("u", "b"), "u", "left")
+    edges = cut(ends.select(F.coalesce("a", "v").alias("a"), F.coalesce("b", "u").alias("b")).where("a <> b").distinct())
+    if edges.isEmpty():
+        return named, False
+    joined = cut(components(edges).withColumnRenamed("root", "top"))
+    moved = named.join(joined.withColumnRenamed("node", "root"), "root", "left").select("v", F.coalesce("top", "root").alias("root"))
+    return cut(moved.union(joined.select(F.col("node").alias("v"), F.col("top").alias("root")).join(named, "v", "left_anti"))), True
+
+
+def _seed_lists(points: DataFrame, named: DataFrame, threshold: float, how: Descent, size: int, salt: int) -> DataFrame:
+    """Candidates and bridges from blocks of vectors that fall on the same sides of a few random planes."""
     bits = max(0, int(np.ceil(np.log2(max(size, 1) / how.block))))
 
     def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,11 +140,11 @@ def _seed_lists(points: DataFrame, how: Descent, size: int, salt: int) -> DataFr
     sizes = coded.groupBy("t", "code").agg(F.count("*").alias("n"))
     # a crowded block is dealt out by chance; what then doesn't meet is left to the other tables and to the descent
     part = F.pmod(F.xxhash64("v", "t"), F.ceil(F.col("n") / (2 * how.block))).alias("part")
-    blocks = coded.join(sizes, ["t", "code"]).select("t", "code", part, "v", "x").groupBy("t", "code", "part")
-    return _joined(blocks.agg(F.collect_list("v").alias("ids"), F.collect_list("x").alias("xs"), F.collect_list(F.lit(-2.0)).alias("need")), how.k)
+    blocks = coded.join(sizes, ["t", "code"]).select("t", "code", part, "v", "x").join(named, "v", "left").withColumn("root", F.coalesce("root", "v")).groupBy("t", "code", "part")
+    return _joined(blocks.agg(F.collect_list("v").alias("ids"), F.collect_list("x").alias("xs"), F.collect_list(F.lit(-2.0)).alias("need"), F.collect_list("root").alias("roots")), how.k, threshold)
 
 
-def _descend(lists: DataFrame, points: DataFrame, lengths: DataFrame, how: Descent) -> DataFrame:
+def _descend(lists: DataFrame, points: DataFrame, lengths: DataFrame, named: DataFrame, threshold: float, how: Descent) -> DataFrame:
     """One round: the neighbours of each vector, in either direction, meet one another.
 
     Neighbours of a vector that got no fresh one have met before. A vector that many others list is joined over several
@@ -114,10 +156,11 @@ def _descend(lists: DataFrame, points: DataFrame, lengths: DataFrame, how: Desce
     worst = lists.groupBy("v").agg(F.min("s").alias("worst"), F.count("*").alias("held")).join(lengths, "v", "left")
     need = F.when(F.col("held") >= F.coalesce("k", F.lit(how.k)), F.col("worst")).otherwise(F.lit(-2.0)).alias("need")
     known = points.select("v", "x").join(worst.select("v", need), "v", "left").withColumn("need", F.coalesce("need", F.lit(-2.0)))
+    known = known.join(named, "v", "left").withColumn("root", F.coalesce("root", "v"))
     part = F.pmod(F.xxhash64("v", "at"), F.ceil(F.col("n") / (4 * how.k))).alias("part")
     near = both.join(sizes, "at").select("at", part, "v").join(known, "v")
-    groups = near.groupBy("at", "part").agg(F.collect_list("v").alias("ids"), F.collect_list("x").alias("xs"), F.collect_list("need").alias("need"))
-    return _joined(groups.where("size(ids) > 1"), how.k)
+    groups = near.groupBy("at", "part").agg(F.collect_list("v").alias("ids"), F.collect_list("x").alias("xs"), F.collect_list("need").alias("need"), F.collect_list("root").alias("roots"))
+    return _joined(groups.where("size(ids) > 1"), how.k, threshold)
 
 
 def _audit(points: DataFrame, named: DataFrame, threshold: float, how: Descent, size: int) -> float:
@@ -181,7 +224,8 @@ def near_vectors(vectors: DataFrame, id_col: str, vector_col: str, threshold: fl
 
     Equal vectors are one point of the search and links of each other. Neighbour lists start from random-plane blocks;
     each round joins neighbours of neighbours and keeps the best. A list whose last entry still reaches the threshold
-    is saturated: it is made twice as long, up to ``longest``, and the descent goes on. Rounds end when the links
+    is saturated: it is made twice as long, up to ``longest``, and the descent goes on. Wherever vectors meet, a spanning forest of the
+    links between components comes out beside the lists, so a link that ranks below full lists joins them all the same. Rounds end when the links
     stand still, no list is saturated, and an audit of a bounded sample against brute force finds ``recall`` of the
     links; a round that misses it starts with fresh planes. Pairs at or above the threshold, by cosine in double
     precision, make components, within which every pair is then compared and counted.
@@ -220,23 +264,27 @@ def _links(points: DataFrame, threshold: float, how: Descent) -> tuple[DataFrame
     """((v, n, root) of the points with links, audited recall) for vectors of one length."""
     size = points.count()
     lengths = points.select("v", F.lit(how.k).alias("k")).where("false")
-    lists = cut(_lists(_seed_lists(points, how, size, 0).withColumn("fresh", F.lit(True)), None, how.k))
+    named = points.select("v", F.col("v").alias("root")).where("false")
+    met = cut(_lists(_seed_lists(points, named, threshold, how, size, 0).withColumn("fresh", F.lit(True)), None, how.k))
     before, turn = -1, 0
     while True:
         turn += 1
-        found = _descend(lists, points, lengths, how)
+        named, _ = _merged(named, met.where("bridge"))
+        lists = met.where("listed").drop("listed", "bridge")
+        found = _descend(lists, points, lengths, named, threshold, how)
         if turn > how.rounds:
-            found = found.union(_seed_lists(points, how, size, turn))
-        lists = cut(_lists(lists.union(found.withColumn("fresh", F.lit(True)).select(lists.columns)), lengths, how.k))
+            found = found.union(_seed_lists(points, named, threshold, how, size, turn))
+        known = lists.withColumn("bridge", F.lit(False))
+        met = cut(_lists(known.union(found.withColumn("fresh", F.lit(True)).select(known.columns)), lengths, how.k))
+        lists = met.where("listed")
         full = lists.groupBy("v").agg(F.count("*").alias("held"), F.min("s").alias("worst")).join(lengths, "v", "left")
         k = F.coalesce("k", F.lit(how.k))
         longer = F.when((F.col("held") >= k) & (F.col("worst") >= threshold), F.least(2 * k, F.lit(how.longest))).otherwise(k)
         grown = cut(full.select("v", longer.alias("k"), (longer > k).alias("grew")))
         lengths = grown.drop("grew")
-        links = lists.where(F.col("s") >= threshold)
-        now, grew = links.count(), grown.where("grew").count()
+        now, grew = lists.where(F.col("s") >= threshold).count(), grown.where("grew").count()
         if turn >= how.rounds or (now == before and not grew):
-            named = components(links.select(F.col("v").alias("a"), F.col("u").alias("b"))).withColumnRenamed("node", "v")
+            named, _ = _merged(named, met.where("bridge"))
             recall = _audit(points, named, threshold, how, size)
             if recall >= how.recall or turn >= 3 * how.rounds:
                 counted = _within(points, named, threshold, how)

@@ -131,3 +131,22 @@ def test_vectors_of_many_lengths(spark):
     got = {r.id: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding").collect()}
     assert all(got[n].n_links == 0 and got[n].component_id == n and got[n].kept for n in range(1, 80))
     assert all(got[k].n_links == 3 and got[k].component_id == 100 and got[k].kept == (k == 100) for k in range(100, 104))
+
+
+def families(rng, axes, size, dims=32):
+    """Tight families around unit vectors, as rows of float32."""
+    x = [a / np.linalg.norm(a) + rng.standard_normal((size, dims)) * 0.012 for a in axes]
+    return np.concatenate(x).astype(np.float32)
+
+
+def test_links_between_families(spark):
+    """Two families whose members fill each other's lists, yet are linked across, are one component."""
+    rng = np.random.default_rng(6)
+    a, b = np.linalg.qr(rng.standard_normal((32, 2)))[0].T
+    x = families(rng, [a, 0.97 * a + (1 - 0.97**2) ** 0.5 * b], 60)
+    m = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    near = m @ m.T >= 0.95
+    own = np.sort(m @ m.T, axis=1)[:, ::-1]
+    assert near[:60, 60:].any() and (own[:, 33] > (m @ m.T)[:60, 60:].max()).all()
+    got = vectors.near_vectors(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>"), "vec_id", "embedding").collect()
+    assert {r.id: (r.n_links, r.component_id) for r in got} == {k: (int(near[k].sum()) - 1, 0) for k in range(120)}

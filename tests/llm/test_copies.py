@@ -150,3 +150,20 @@ def test_links_between_families(spark):
     assert near[:60, 60:].any() and (own[:, 33] > (m @ m.T)[:60, 60:].max()).all()
     got = vectors.near_vectors(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>"), "vec_id", "embedding").collect()
     assert {r.id: (r.n_links, r.component_id) for r in got} == {k: (int(near[k].sum()) - 1, 0) for k in range(120)}
+
+
+def test_audit_counts_vectors_not_links(spark):
+    """One large group that is whole cannot hide pairs that are missing."""
+    rng = np.random.default_rng(8)
+    axes = np.linalg.qr(rng.standard_normal((32, 32)))[0][:13]
+    x = np.concatenate([families(rng, axes[:1], 48), families(rng, axes[1:], 2)])
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "v long, x array<float>")
+    named = spark.createDataFrame([(k, 0 if k < 48 else k) for k in range(len(x))], "v long, root long")
+    assert vectors._audit(points, named, 0.95, vectors.Descent(), len(x)) == pytest.approx(48 / 72)
+
+
+def test_missed_recall_is_not_returned(spark, monkeypatch):
+    x = families(np.random.default_rng(9), np.eye(32)[:4], 5)
+    monkeypatch.setattr(vectors, "_audit", lambda *_: 0.5)
+    with pytest.raises(RuntimeError, match="0.500"):
+        vectors.near_vectors(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>"), "vec_id", "embedding", how=vectors.Descent(rounds=1)).collect()

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,9 +18,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed values of the base scan: phrase and label.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: A text that holds none of these is not looked at again.
-KEYWORDS = ("licen", "copyright", "spdx", "public domain", "rights reserved")
-
 #: Label, keyword, pattern of the name in a text of lower-cased words with one space between them.
 NAMES = (
     ("mit", "mit", "mit"),
@@ -91,6 +90,13 @@ PLAIN = (
     (0.5, "copyright", "copyright", " copyright(?: c)? (?:19|20)[0-9][0-9](?: (?:19|20)[0-9][0-9])?"),
 )
 
+#: What every frame's pattern needs, whatever the name: a word of each group of one of these.
+FRAME_WORDS = (
+    (("licen",),),
+    (("under", "by"), ("released", "distributed", "available", "published", "provided", "covered", "shared")),
+    (("the",), ("subject", "governed", "terms", "conditions", "accordance", "permitted", "copy")),
+)
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -118,6 +124,23 @@ def rules(phrases: dict[str, str] = BASE_PHRASES) -> list[Rule]:
     return made + [Rule(label, keyword, pattern + "(?= )", len(FRAMES), confidence) for confidence, label, keyword, pattern in PLAIN]
 
 
+def _any(conditions: list[Column]) -> Column:
+    return reduce(or_, conditions)
+
+
+def _all(low: Column, phrase: str) -> Column:
+    """Whether every word of ``phrase`` stands somewhere, with whatever between them."""
+    return reduce(and_, [F.contains(low, F.lit(w)) for w in phrase.split()])
+
+
+def _gate(low: Column, phrases: dict[str, str]) -> Column:
+    """What a lower-cased text must hold for any rule to match: its phrase's words, or those of a frame and of a name."""
+    frames = _any([reduce(and_, [_any([F.contains(low, F.lit(w)) for w in group]) for group in groups]) for groups in FRAME_WORDS])
+    names = _any([_all(low, k) for k in dict.fromkeys(k for _, k, _ in NAMES)])
+    plain = [_all(low, k) for k in (*(k for _, _, k, _ in PLAIN), *phrases)]
+    return _any([*plain, frames & names])
+
+
 def _table(found: list[Rule]) -> Column:
     rows = [F.struct(*[F.lit(v).alias(k) for k, v in (("nr", nr), *vars(r).items())]) for nr, r in enumerate(found)]
     return F.array(*rows)
@@ -130,16 +153,15 @@ def _spaces(c: str) -> Column:
 def scan(docs: DataFrame, id_col: str, text_col: str, phrases: dict[str, str] = BASE_PHRASES) -> DataFrame:
     """Detections of every whole text: (row, id, n_words, label, base, confidence, start, end, suppressed).
 
-    Words count from 0, ends are exclusive. A document without any detection has one row with a null label. Texts with
-    none of the keywords cost one word count; in the others a rule's pattern is only tried where its own keyword
+    Words count from 0, ends are exclusive. A document without any detection has one row with a null label. Texts without
+    what the rules need cost one word count; in the others a rule's pattern is only tried where its own keyword
     stands. A detection is suppressed if another one that covers it begins earlier or ends later, or has the same
     place and a higher priority; base detections are never suppressed. A null text is empty.
     """
     text = body(text_col)
-    low = F.lower(text)
-    gate = F.greatest(*[F.contains(low, F.lit(k)) for k in KEYWORDS])
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), F.when(gate, text).alias("gated"))
-    words = F.regexp_extract_all(F.translate("gated", UPPER, LOWER), F.lit(WORD), F.lit(0))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), F.translate(text, UPPER, LOWER).alias("low"))
+    rows = rows.withColumn("gated", F.when(_gate(F.col("low"), phrases), F.col("low"))).drop("low")
+    words = F.regexp_extract_all("gated", F.lit(WORD), F.lit(0))
     rows = rows.withColumn("norm", F.when(F.col("gated").isNotNull(), F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")))).drop("gated")
     found = rules(phrases)
     none = F.struct(*[F.lit(v).cast(k).alias(n) for n, v, k in (("nr", -1, "int"), ("label", None, "string"), ("keyword", None, "string"), ("pattern", None, "string"), ("priority", None, "int"), ("confidence", None, "double"), ("base", False, "boolean"), ("words", 0, "int"))])

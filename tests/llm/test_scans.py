@@ -5,6 +5,8 @@ import math
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from quernstone.llm import licenses, secrets
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -40,6 +42,19 @@ def test_containment_and_priority(spark):
     assert len(licenses.rules()) > 200
 
 
+def test_no_rule_is_gated_away(spark):
+    """Texts that a rule matches are looked at though they name no license in so many words, or wrap between two words."""
+    texts = {
+        "This software is released under the terms of the MPL 2.0": "mpl", "Distributed under CC BY 4.0": "cc-by", "Shared by the GNU GPL v3": "gpl",
+        "Use is governed by the MPL": "mpl", "SPDX-LICENSE-IDENTIFIER: ISC": "isc", "the zlib licence": "zlib", "License: WTFPL": "wtfpl",
+        "ALL RIGHTS\nRESERVED": "all-rights-reserved", "is in the public-domain": "public-domain", "Copyright (c) 2020": "copyright", "under the MPL": "",
+    }
+    docs = spark.createDataFrame([*texts], "string").toDF("text").select("text", F.col("text").alias("doc_id"))
+    assert {r.id: r.labels for r in licenses.summary(licenses.scan(docs, "doc_id", "text")).collect()} == texts
+    own = licenses.summary(licenses.scan(docs, "doc_id", "text", {"use is": "own"})).where("base_labels <> ''").collect()
+    assert [(r.id, r.base_labels) for r in own] == [("Use is governed by the MPL", "own")]
+
+
 def test_many_places_in_one_text(spark):
     docs = spark.createDataFrame([(1, "MIT license. " * 20000)], "doc_id long, text string")
     r = licenses.summary(licenses.scan(docs, "doc_id", "text")).first()

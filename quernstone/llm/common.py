@@ -2,21 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, saved in the shared checkpoint folder so that lost executors cost no recomputation.
-
-    The folder is ``spark.checkpoint.dir``; only a session without one (tests, notebooks) gets its own.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quernstone-"))
-    return df.checkpoint()
+from quernstone.operators.checkpoints import cut
 
 
 def body(text_col: str):
@@ -54,5 +43,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def without(docs: DataFrame, id_col: str, text_col: str, gone: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs`` whose (identifier, XXH64 of the text) is not in ``gone`` (id, hash), with their own columns.
+
+    A saved list of up to ``most`` rows of fixed size (about 50 MB) is broadcast, so no text moves; a longer one is
+    joined by a shuffle. The columns of ``docs`` travel inside one struct, so none can clash with the list's.
+    """
+    gone = cut(gone.select(F.col("id").alias("gone_id"), F.col("hash").alias("gone_hash")).distinct())
+    listed = F.broadcast(gone) if gone.count() <= most else gone
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").alias("own_id"), F.xxhash64(body(text_col)).alias("own_hash"))
+    same = F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_hash") == F.col("gone_hash"))
+    return own.join(listed, same, "left_anti").select("doc.*")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

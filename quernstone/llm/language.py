@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import body
+from quernstone.llm.common import body, cut
 
 UNDETERMINED = "und"
 _LETTERS = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
@@ -73,11 +73,13 @@ class LanguageModel:
         return self.languages[order[0]], float(odds[order[0]]), lead, lead < 0.05
 
 
-def train(docs: DataFrame, text_col: str, lang_col: str, bits: int = 14, smoothing: float = 0.5) -> LanguageModel:
+def train(docs: DataFrame, text_col: str, lang_col: str, bits: int = 14, smoothing: float = 0.5, most_languages: int = 256) -> LanguageModel:
     """Fit one binary n-gram classifier per codeword bit on every row with a language; each is a log-odds table.
 
     N-grams are counted per language over all rows in one pass; each task sends at most 2**bits counts a language. The
-    table that reaches the driver has (languages x 2**bits) rows whatever the corpus holds.
+    table that reaches the driver has (languages x 2**bits) rows whatever the corpus holds. A column with over
+    ``most_languages`` values is no column of languages: an error says so before anything is sent. Repeated rows count
+    each time; rows without a language are left out.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,6 +87,8 @@ def train(docs: DataFrame, text_col: str, lang_col: str, bits: int = 14, smoothi
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = sums.setdefault(lang, np.zeros(1 << bits, dtype=np.int64))
+                if len(sums) > most_languages:
+                    raise ValueError(f"over {most_languages} languages in the column")
                 for grams in ngrams(text, bits):
                     if len(grams) > 1 << bits:
                         own += np.bincount(grams, minlength=1 << bits)
@@ -95,7 +99,10 @@ def train(docs: DataFrame, text_col: str, lang_col: str, bits: int = 14, smoothi
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at])], ["lang", "bucket", "n"])
 
     rows = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), body(text_col).alias("text")).where("lang is not null")
-    found = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = cut(rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    if (known := counted.select("lang").distinct().count()) > most_languages:
+        raise ValueError(f"{known} languages in the column, over {most_languages}")
+    found = counted.toPandas()
     languages = sorted(found["lang"].unique())
     counts = np.zeros((len(languages), 1 << bits))
     counts[[languages.index(x) for x in found["lang"]], found["bucket"].to_numpy(dtype=np.int64)] = found["n"]

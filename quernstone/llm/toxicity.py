@@ -75,23 +75,25 @@ class ToxicityModel:
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int = 12_000, bits: int = 20, shard_rows: int = 4_000, epochs: int = 3, alpha: float = 1.0, beta: float = 0.1, l1: float = 5.0, l2: float = 1.0) -> ToxicityModel:
     """Fit on at most ``most`` labelled rows, by hash of the identifier and half of them positive where there are as many.
 
-    The bounded list of identifiers is broadcast to the documents, so no text but the sample's moves. Shards of about
-    ``shard_rows`` are fitted side by side and their weights averaged. Rows without a label, and repeated labels that
-    disagree (the larger counts), do no harm; with no labels at all every score is one half.
+    The bounded list of identifiers is broadcast to the documents, so no text but the sample's moves. Of documents that
+    share an identifier the text with the least hash is learnt from, so the bound holds and the fit doesn't depend on
+    the order of rows. Shards of about ``shard_rows`` are fitted side by side and their weights averaged. As half of the
+    sample is positive, scores are those of a balanced corpus, not chances at the true rate. Rows without a label, and
+    repeated labels that disagree (the larger counts), do no harm; with no labels at all every score is one half.
     """
     each = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("id is not null and label is not null")
     each = each.groupBy("id").agg(F.max(F.when(F.col("label") > 0, 1).otherwise(0)).alias("label"))
     drawn = [each.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(most // 2) for k in (0, 1)]
     sample = cut(drawn[0].union(drawn[1]))
     shards = max(1, sample.count() // shard_rows)
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), body(text_col).alias("text")).join(F.broadcast(sample), "id").select("label", "text", F.xxhash64("id", "text").alias("order"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), body(text_col).alias("text")).join(F.broadcast(sample), "id")
+    rows = rows.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("label", "text", F.xxhash64("id", "text").alias("order"))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, rows = Ftrl(1 << bits, alpha, beta, l1, l2), []
         for batch in batches:
             for order, label, text in zip(batch.column("order").to_pylist(), batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if len(rows) < 2 * most // shards:  # only identifiers that repeat in documents can exceed the bound
-                    rows.append((order, label, np.append(features(text, bits), np.uint32(1 << bits))))
+                rows.append((order, label, np.append(features(text, bits), np.uint32(1 << bits))))
         rows.sort(key=lambda r: r[0])
         for _ in range(epochs):
             for _, label, at in rows:

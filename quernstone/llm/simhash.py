@@ -90,8 +90,10 @@ def near_components(distinct: DataFrame, distance: int = 4, block_rows: int = 51
     The bits are cut into more blocks than pairs may differ in, the more the more fingerprints there are, so every
     close pair shares the key of one choice of blocks. Members of a key are compared in blocks of about
     ``block_rows``; each yields no more than a spanning forest of its links. Keys with more members than that are
-    finished after a first pass of components: only blocks of keys that still hold different components meet, pair
-    by pair, and only links between components come out. No link is lost, and no list of all pairs is made.
+    finished after a first pass of components: where a key still holds different components, the members outside its
+    largest one meet all others, each pair of blocks as a row of its own, dealt by key and both block numbers, so a key
+    of any size spreads over all tasks. Only links between components come out. No link is lost, and no list of all
+    pairs is made.
     """
     count = distinct.count()
     blocks = distance + (2 if count < 1 << 27 else 3 if count < 1 << 33 else 4)
@@ -123,11 +125,19 @@ def near_components(distinct: DataFrame, distance: int = 4, block_rows: int = 51
     large = shared.where(F.col("n") > block_rows)
     if large.isEmpty():
         return found
-    named = large.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    mixed = named.groupBy("t", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t", "key")
-    named = cut(named.join(mixed, ["t", "key"]).groupBy("t", "key", "part").agg(F.collect_list(F.struct("fp", "root")).alias("m")))
-    half = lambda p, n: named.select("t", "key", F.col("part").alias(p), F.col("m.fp").alias(f"{n}_fp"), F.col("m.root").alias(f"{n}_root"))
-    tiles = half("i", "l").join(half("j", "r"), ["t", "key"]).where("i < j").select("l_fp", "l_root", "r_fp", "r_root")
+    named = cut(large.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("t", "key", "part", "fp", F.coalesce("root", "fp").alias("root")))
+    roots = named.groupBy("t", "key", "root").agg(F.count("*").alias("m"))
+    mains = roots.groupBy("t", "key").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("n"), F.count("*").alias("roots")).where("roots > 1")
+    blocks_of = lambda n: F.ceil(n / block_rows).cast("int")
+    mains = cut(mains.select("t", "key", F.col("main.root").alias("main"), blocks_of(F.col("n")).alias("parts"), blocks_of(F.col("n") - F.col("main.m")).alias("stray_parts")))
+    mixed = named.join(mains, ["t", "key"])
+    block = lambda df, *by: df.groupBy("t", "key", *by).agg(F.collect_list(F.struct("fp", "root")).alias("m"))
+    strays = block(mixed.where("root <> main").withColumn("i", F.pmod(F.xxhash64("fp", F.lit(1)), "stray_parts").cast("int")), "i", "parts")
+    whole = block(mixed.withColumn("j", F.col("part").cast("int")), "j", "stray_parts")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = strays.select("t", "key", "i", upto("parts").alias("j"), F.col("m.fp").alias("l_fp"), F.col("m.root").alias("l_root"))
+    right = whole.select("t", "key", upto("stray_parts").alias("i"), "j", F.col("m.fp").alias("r_fp"), F.col("m.root").alias("r_root"))
+    tiles = left.join(right, ["t", "key", "i", "j"]).select("l_fp", "l_root", "r_fp", "r_root")
     more = cut(tiles.mapInArrow(across, "a long, b long").distinct())
     return components(links.union(more))
 
@@ -142,5 +152,6 @@ def near_dedup(docs: DataFrame, id_col: str, text_col: str, size: int = 4, dista
     distinct = cut(signed.groupBy("fp").agg(F.min("id").alias("first")))
     found = near_components(distinct.select("fp"), distance)
     named = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    # saved, so that the join below reads two plain shuffles and a giant component can be split
+    smallest = cut(named.groupBy("root").agg(F.min("first").alias("component_id")))
     return signed.join(named.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id"), "fp")

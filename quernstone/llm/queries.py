@@ -42,7 +42,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vectors.near_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", threshold=0.95)
-    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.expr("id <=> component_id").alias("kept"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.expr("id <=> component_id").alias("kept"), "recall")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

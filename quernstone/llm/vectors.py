@@ -18,7 +18,10 @@ _MET = "v long, u long, s double, bridge boolean"
 
 @dataclass(frozen=True)
 class Descent:
-    """k: first length of neighbour lists; longest: last one; block: rows compared at once; tables, rounds: effort."""
+    """k: first length of neighbour lists; longest: last one; block: rows compared at once; tables, rounds: effort.
+
+    rows: members of a block when all pairs of a component are settled.
+    """
 
     k: int = 8
     longest: int = 32
@@ -28,6 +31,7 @@ class Descent:
     recall: float = 0.97
     audited: int = 500
     seed: int = 5
+    rows: int = 1024
 
 
 def _units(lists) -> np.ndarray:
@@ -190,23 +194,53 @@ def _audit(points: DataFrame, named: DataFrame, threshold: float, how: Descent,
 
 
 def _within(points: DataFrame, named: DataFrame, threshold: float, how: Descent) -> DataFrame:
-    """(v, n) links of each vector inside its component, weighed by copies; blocks of a component meet pair by pair.
+    """(v, n) links of each vector inside its component, weighed by copies.
 
-    Every pair is compared here, so lists that had to end at ``longest`` cost no link. Counts come out, not pairs.
+    Every pair is settled here, so lists that had to end at ``longest`` cost no link. Members are dealt into blocks, each
+    with a centre and the largest angle to it. Where these angles alone show that all pairs of two blocks are links, or
+    none is, the pair of blocks is counted as a whole; the others are compared, each pair of blocks as a row of its own.
+    Counts come out, not pairs.
     """
-    rows = 1024
     members = named.join(points, "v").select("root", "v", "x", "copies")
-    sizes = members.groupBy("root").agg(F.count("*").alias("n"))
-    part = F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / rows)).alias("part")
-    blocks = cut(members.join(sizes, "root").select("root", part, "v", "x", "copies").groupBy("root", "part").agg(*[F.collect_list(c).alias(c) for c in ("v", "x", "copies")]))
+    sizes = cut(members.groupBy("root").agg(F.count("*").alias("n")))
+    parts = F.ceil(F.col("n") / how.rows).cast("int")
+    dealt = members.join(sizes, "root").select("root", parts.alias("parts"), F.pmod(F.xxhash64("v"), parts).cast("int").alias("part"), "v", "x", "copies")
+    blocks = cut(dealt.groupBy("root", "part", "parts").agg(*[F.collect_list(c).alias(c) for c in ("v", "x", "copies")]))
+
+    def balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            centres, radii, weights = [], [], []
+            for r in range(batch.num_rows):
+                x = _units(batch.column("x")[r].values)
+                centre = x.mean(axis=0)
+                length = np.sqrt(centre @ centre)
+                centres.append(centre / length if length > 1e-9 else x[0])
+                radii.append(float(np.arccos(np.clip(x @ centres[-1], -1, 1)).max()))
+                weights.append(int(batch.column("copies")[r].values.to_numpy().sum()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "part", "parts")), pa.array(centres, pa.list_(pa.float64())), pa.array(radii, pa.float64()), pa.array(weights, pa.int64())], ["root", "part", "parts", "c", "r", "w"])
+
+    ball = cut(blocks.select("root", "part", "parts", "x", "copies").mapInArrow(balls, "root long, part int, parts int, c array<double>, r double, w long"))
+    one = ball.select("root", F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"), F.struct("c", "r", "w").alias("a"))
+    other = ball.select("root", F.explode(F.sequence(F.lit(0), "part")).alias("i"), F.col("part").alias("j"), F.struct("c", "r", "w").alias("b"))
+    apart = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.aggregate(F.zip_with("a.c", "b.c", lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p))))
+    far, slack = F.lit(float(np.arccos(threshold))), F.lit(1e-6)
+    reach = F.col("a.r") + F.col("b.r")
+    verdict = F.when(apart + reach <= far - slack, "all").when(apart - reach >= far + slack, "none").otherwise("look")
+    tiles = cut(one.join(other, ["root", "i", "j"]).select("root", "i", "j", verdict.alias("verdict"), F.col("a.w").alias("wa"), F.col("b.w").alias("wb")))
+    whole = tiles.where("verdict = 'all'")
+    given = whole.select("root", F.col("i").alias("part"), F.col("wb").alias("w")).union(whole.where("i <> j").select("root", F.col("j").alias("part"), F.col("wa").alias("w")))
+    own = whole.where("i = j").select("root", F.col("i").alias("part"), F.lit(True).alias("own"))
+    given = cut(given.groupBy("root", "part").agg(F.sum("w").alias("w")).join(own, ["root", "part"], "left"))
+    lists = blocks.select("root", "part", F.explode(F.arrays_zip("v", "copies")).alias("m")).select("root", "part", "m.v", "m.copies")
+    counted = lists.join(given, ["root", "part"]).select("v", (F.col("w") - F.when(F.col("own"), F.col("copies")).otherwise(F.lit(0))).alias("n"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vs, ns = [], []
+            vs, ns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for r in range(batch.num_rows):
-                one, other, same = ([batch.column(f"{side}_{c}")[r].values for c in ("v", "x", "copies")] for side in ("a", "b")), None, batch.column("same")[r].as_py()
-                (v, x, c), (w, y, d) = one
+                (v, x, c), (w, y, d) = ([batch.column(f"{side}_{k}")[r].values for k in ("v", "x", "copies")] for side in ("a", "b"))
                 linked = _units(x) @ _units(y).T >= threshold
+                same = batch.column("same")[r].as_py()
                 if same:
                     np.fill_diagonal(linked, False)
                 vs.append(v.to_numpy())
@@ -214,11 +248,12 @@ def _within(points: DataFrame, named: DataFrame, threshold: float, how: Descent)
                 if not same:
                     vs.append(w.to_numpy())
                     ns.append(linked.T @ c.to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(vs) if vs else [], pa.int64()), pa.array(np.concatenate(ns) if ns else [], pa.int64())], ["v", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(vs), pa.int64()), pa.array(np.concatenate(ns), pa.int64())], ["v", "n"])
 
-    side = lambda s: blocks.select("root", F.col("part").alias(f"{s}_part"), *[F.col(c).alias(f"{s}_{c}") for c in ("v", "x", "copies")])
-    tiles = side("a").join(side("b"), "root").where("a_part <= b_part").withColumn("same", F.expr("a_part = b_part")).drop("root", "a_part", "b_part")
-    return tiles.mapInArrow(compare, "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
+    side = lambda at, s: blocks.select("root", F.col("part").alias(at), *[F.col(c).alias(f"{s}_{c}") for c in ("v", "x", "copies")])
+    looked = tiles.where("verdict = 'look'").select("root", "i", "j").join(side("i", "a"), ["root", "i"]).join(side("j", "b"), ["root", "j"])
+    looked = looked.withColumn("same", F.expr("i = j")).drop("root", "i", "j")
+    return looked.mapInArrow(compare, "v long, n long").union(counted).groupBy("v").agg(F.sum("n").alias("n"))
 
 
 def near_vectors(vectors: DataFrame, id_col: str, vector_col: str, threshold: float = 0.95, how: Descent = Descent()) -> DataFrame:
@@ -237,7 +272,7 @@ def near_vectors(vectors: DataFrame, id_col: str, vector_col: str, threshold: fl
     component ignores them, and they are only ``kept`` where a component has no other. Of rows that repeat the kept
     identifier one is kept. Other columns are not read.
     """
-    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").cast(f"array<{'float' if 'float' in vectors.schema[vector_col].dataType.simpleString() else 'double'}>").alias("x"))
+    rows = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").cast(f"array<{'float' if 'float' in vectors.schema[vector_col].dataType.simpleString() else 'double'}>").alias("x"))
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     usable = F.col("x").isNotNull() & F.forall("x", finite) & F.exists("x", lambda c: c != 0)
     rows = rows.withColumn("x", F.when(usable, F.col("x")))
@@ -253,13 +288,14 @@ def near_vectors(vectors: DataFrame, id_col: str, vector_col: str, threshold: fl
     if named is None:
         named = points.select(F.col("v"), F.lit(0).cast("long").alias("n"), F.col("v").alias("root"))
     merged = points.join(named, "v", "left").withColumn("root", F.coalesce("root", "v")).withColumn("others", F.coalesce("n", F.lit(0)) + F.col("copies") - 1)
-    smallest = merged.groupBy("root").agg(F.min("first").alias("component_id"))
+    smallest = cut(merged.groupBy("root").agg(F.min("first").alias("component_id")))
     merged = merged.join(smallest, "root").select("x", F.col("others").alias("n_links"), "component_id")
     all_rows = rows.join(merged, "x", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    first_row = all_rows.where(F.col("id") == F.col("component_id")).groupBy("component_id").agg(F.min("row").alias("first_row"))
-    all_rows = all_rows.join(first_row, "component_id", "left")
-    kept = F.coalesce(F.col("row") == F.col("first_row"), F.col("component_id").isNull())
-    return all_rows.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", kept.alias("kept"), F.lit(recall).alias("recall"))
+    out = all_rows.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id")
+    first = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n_links"))) == 1
+    heads = out.where(F.col("id") == F.col("component_id")).withColumn("kept", first)
+    rest = out.where(~F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))).withColumn("kept", F.isnull("component_id"))
+    return heads.union(rest).withColumn("recall", F.lit(recall))
 
 
 def _links(points: DataFrame, threshold: float, how: Descent) -> tuple[DataFrame, float]:

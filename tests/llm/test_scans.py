@@ -71,11 +71,12 @@ def entropy_spans(text):
     out = []
     for m in re.finditer(secrets.CANDIDATE, text):
         s = m[0]
-        if any(re.search(a, s) for a in [*secrets.ALLOWED, "^[0-9a-f]{24,}$", "^AKIA[A-Z0-9]{16,}$"]):
+        if any(re.search(a, s) for a in [*secrets.ALLOWED, *secrets.BASE_RUNS]):
             continue
         bound = next(b for _, p, b in secrets.CLASSES if re.search(p, s))
-        windows = (Counter(s[k : k + 20]) for k in range(len(s) - 19))
-        if max(-sum(n / 20 * math.log2(n / 20) for n in w.values()) for w in windows) >= bound:
+        harmless = {k for h in re.finditer(secrets.HARMLESS, s) for k in range(*h.span())}
+        windows = [Counter(s[k : k + 20]) for k in range(len(s) - 19) if not harmless & {*range(k, k + 20)}]
+        if max((-sum(n / 20 * math.log2(n / 20) for n in w.values()) for w in windows), default=0) >= bound:
             out.append((m.start(), 3, m.end()))
     return out
 
@@ -95,8 +96,31 @@ def test_secrets(docs):
     assert any("entropy" in r.spans for r in got)
 
 
+def test_harmless_parts(spark):
+    """A placeholder, alphabet or ruler takes its own windows away, not the token beside it."""
+    token = "zQ3vR8tLp0XkW7mN2bYc9Hs1"
+    texts = {f"sample/{token}": 1, f"======{token}": 1, f"{token}12345678": 1, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/": 0, f"{token[:12]}example{token[12:]}": 0}
+    got = {r.id: r.n_entropy for r in secrets.summary(secrets.spans(spark.createDataFrame([(t, t) for t in texts], "doc_id string, text string"), "doc_id", "text")).collect()}
+    assert got == texts
+
+
+def test_windows_across_chunks(spark):
+    """A window that two chunks share is seen: the only rich one lies across the first border."""
+    for shift in (0, 5, 10, 19, 20):
+        text = "a1" * ((secrets.CHUNK - shift) // 2) + "zQ3vR8tLp0XkW7mN2bYc" + "b2" * 700
+        df = spark.createDataFrame([(text,)], "t string")
+        got = df.select(secrets.entropy(F.col("t"))).first()[0]
+        windows = (Counter(text[k : k + 20]) for k in range(len(text) - 19))
+        assert abs(got - max(-sum(n / 20 * math.log2(n / 20) for n in w.values()) for w in windows)) < 1e-9
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "token = hunter2secret", 1, 1), (2, "clean", 2, 2)], "doc_id long, text string, __gone_id int, gone_hash int")
+    assert [tuple(r) for r in secrets.without_secrets(df, "doc_id", "text").collect()] == [(2, "clean", 2, 2)]
+
+
 def test_long_candidates(spark):
-    """Rows of one character don't carry the candidate; a long path is allowed without a deep stack."""
+    """A candidate is scanned in chunks where it stands; a long path is allowed without a deep stack."""
     blob = "".join(hashlib.sha512(str(k).encode()).hexdigest()[:50] + "Zq+" for k in range(2000))
     docs = spark.createDataFrame([(1, blob), (2, "a1/" * 200_000 + "b")], "doc_id long, text string")
     got = {r.id: r for r in secrets.summary(secrets.spans(docs, "doc_id", "text")).collect()}

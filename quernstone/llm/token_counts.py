@@ -11,17 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import body
+from quernstone.llm.common import body, cut
+from quernstone.llm.packing import slices
 
 #: Fixed value: the character that stands for a space in the pieces of a model.
 SPACE = "▁"
 _RUNS = re.compile(" +[^ ]*|[^ ]+")
-#: A common pre-token has at most so many characters, so the table of them has a size bound.
-_COMMON_CHARS = 32
-#: Partitions over which the occurrences of a pre-token too long for that table are dealt.
-_LONG_PARTS = 64
-#: Characters of pre-tokens, and some room for each, that one task remembers at a time.
-_KEPT_CHARS = 1 << 25
+#: Longer pre-tokens are no keys of a shuffle: their pieces are counted where they stand.
+_KEY_CHARS = 256
 
 
 @functools.lru_cache(maxsize=2)
@@ -53,82 +50,79 @@ def piece_counts(processor, words: list[str]) -> list[int]:
     return [len(x) if w != " " else 1 for w, x in zip(words, processor.encode([w[1:] for w in words], num_threads=1), strict=True)]
 
 
-def common_pretokens(docs: DataFrame, text_col: str, model_path: str, sample_docs: int, most: int) -> dict[str, int]:
-    """Piece counts of the ``most`` pre-tokens found in most of about ``sample_docs`` whole texts.
+def distinct_pretokens(docs: DataFrame, text_col: str, model_path: str) -> DataFrame:
+    """(word, n, pieces): every distinct pre-token of the whole corpus, the number of runs of texts it is in, its pieces.
 
-    A bounded table (``most`` words of 32 characters at most) that spares frequent words the join. It decides how a
-    word is looked up, never what is counted.
+    Each pre-token is given to the library once.
     """
-    rows = docs.count()
-    texts = docs.select(body(text_col).alias("text"))
-    if rows > sample_docs:
-        texts = texts.where(F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(rows)) < sample_docs)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter = Counter()
-            for t in batch.column(0).to_pylist():
-                seen.update({w for w in pretokens(t) if len(w) <= _COMMON_CHARS})
-            yield pa.RecordBatch.from_arrays([pa.array([*seen], pa.string()), pa.array([*seen.values()], pa.int64())], ["word", "n"])
+            texts = batch.column(0).to_pylist()
+            for part in slices(texts):
+                seen: Counter = Counter()
+                for t in texts[part]:
+                    seen.update({w for w in pretokens(t) if len(w) <= _KEY_CHARS})
+                yield pa.RecordBatch.from_arrays([pa.array([*seen], pa.string()), pa.array([*seen.values()], pa.int64())], ["word", "n"])
 
-    ranked = texts.mapInArrow(split, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    words = [r.word for r in ranked.orderBy(F.desc("n"), "word").limit(most).collect()]
-    return dict(zip(words, piece_counts(_processor(model_path), words), strict=True))
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        processor = _processor(model_path)
+        for batch in batches:
+            yield batch.append_column("pieces", pa.array(piece_counts(processor, batch.column("word").to_pylist()), pa.int64()))
+
+    words = docs.select(body(text_col).alias("text")).mapInArrow(split, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return cut(words.mapInArrow(counted, "word string, n long, pieces long"))
 
 
-def token_counts(docs: DataFrame, id_col: str, text_col: str, model_path: str, sample_docs: int = 2000, common: int = 1 << 17) -> DataFrame:
+def token_counts(docs: DataFrame, id_col: str, text_col: str, model_path: str, common: int = 1 << 17) -> DataFrame:
     """(<id_col>, n_bytes, n_tokens) of every row of ``docs``, without begin or end tokens; a null text is empty.
 
-    Each document gives its pre-tokens with their frequencies. Those in the bounded common table are added up on the
-    spot; every other one is shuffled by pre-token, meets its piece count, computed once in the one partition that
-    holds all its occurrences, and goes back as a partial sum. Pre-tokens too long for the table, which may be frequent
-    all the same (a ruler of dashes), are dealt over 64 partitions and counted once in each. No ids are kept. Rows are told apart by position, so
-    repeated or null identifiers give a row each. Other columns are not read.
+    Pieces are counted once for each distinct pre-token of the corpus. Each document then gives its pre-tokens with
+    their frequencies, which are joined to those counts and summed; no ids are kept. The ``common`` pre-tokens that most
+    documents hold are joined by a broadcast table (at most ``common`` words of 256 characters), the others by a shuffle
+    in which no key is frequent any more. A pre-token of over 256 characters would be a key as large as a text and is
+    counted where it stands. Rows are told apart by position, so repeated or null identifiers give a row each. Other
+    columns are not read.
     """
-    known = docs.sparkSession.sparkContext.broadcast(common_pretokens(docs, text_col, model_path, sample_docs, common))
+    words = distinct_pretokens(docs, text_col, model_path)
+    known = docs.sparkSession.sparkContext.broadcast({r.word: r.pieces for r in words.orderBy(F.desc("n"), "word").limit(common).collect()} if common else {})
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = known.value
-        for batch in batches:
-            rows, ids = batch.column(0).to_pylist(), batch.column(1)
-            own: list[int] = []
-            out_rows, out_words, out_n = [], [], []
-            for row, text in zip(rows, batch.column(2).to_pylist(), strict=True):
-                total = 0
-                for w, n in Counter(pretokens(text)).items():
-                    pieces = counts.get(w)
-                    if pieces is None:
-                        out_rows.append(row)
-                        out_words.append(w)
-                        out_n.append(n)
-                    else:
-                        total += pieces * n
-                own.append(total)
-            more, size = len(out_rows), len(rows)
-            ids = pa.concat_arrays([ids, pa.nulls(more, ids.type)])
-            n_bytes = pa.concat_arrays([batch.column(3), pa.nulls(more, pa.int64())])
-            word = pa.concat_arrays([pa.nulls(size, pa.string()), pa.array(out_words, pa.string())])
-            yield pa.RecordBatch.from_arrays([pa.array(rows + out_rows, pa.int64()), ids, n_bytes, word, pa.array(own + out_n, pa.int64())], ["row", "id", "n_bytes", "word", "n"])
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        processor, seen, held = _processor(model_path), {}, 0
+        counts, processor = known.value, _processor(model_path)
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            if held > _KEPT_CHARS:
-                seen.clear()
-                held = 0
-            new = [*({w for w in words if w is not None} - seen.keys())]
-            seen.update(zip(new, piece_counts(processor, new), strict=True))
-            held += sum(map(len, new)) + 64 * len(new)
-            n = [k if w is None else k * seen[w] for w, k in zip(words, batch.column("n").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "id", "n_bytes")), pa.array(n, pa.int64())], ["row", "id", "n_bytes", "n"])
+            all_rows, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for part in slices(texts):
+                rows, own, out_rows, out_words, out_n = all_rows[part], [], [], [], []
+                for row, text in zip(rows, texts[part], strict=True):
+                    total, long = 0, []
+                    for w, n in Counter(pretokens(text)).items():
+                        pieces = counts.get(w)
+                        if pieces is not None:
+                            total += pieces * n
+                        elif len(w) > _KEY_CHARS:
+                            long.append((w, n))
+                        else:
+                            out_rows.append(row)
+                            out_words.append(w)
+                            out_n.append(n)
+                    if long:
+                        total += sum(p * n for p, (_, n) in zip(piece_counts(processor, [w for w, _ in long]), long, strict=True))
+                    own.append(total)
+                more, size = len(out_rows), len(rows)
+                take = lambda c: batch.column(c).slice(part.start, size)  # noqa: B023, E731
+                ids = pa.concat_arrays([take(1), pa.nulls(more, batch.column(1).type)])
+                n_bytes = pa.concat_arrays([take(3), pa.nulls(more, pa.int64())])
+                word = pa.concat_arrays([pa.nulls(size, pa.string()), pa.array(out_words, pa.string())])
+                yield pa.RecordBatch.from_arrays([pa.array(rows + out_rows, pa.int64()), ids, n_bytes, word, pa.array(own + out_n, pa.int64())], ["row", "id", "n_bytes", "word", "n"])
 
     kind = docs.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()
     text = body(text_col)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     pairs = rows.mapInArrow(frequencies, f"row long, id {kind}, n_bytes long, word string, n long")
-    salt = F.when(F.col("word").isNull(), F.col("row")).when(F.length("word") > _COMMON_CHARS, F.pmod(F.xxhash64("row"), F.lit(_LONG_PARTS)))
-    by_word = pairs.repartition("word", salt)
-    sums = by_word.mapInArrow(counted, f"row long, id {kind}, n_bytes long, n long")
-    total = sums.groupBy("row").agg(F.max("id").alias("id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
+    # a row without a word holds what its document had in the common table; its salt spreads these rows
+    pairs = pairs.withColumn("salt", F.when(F.col("word").isNull(), F.col("row")).otherwise(F.lit(0)))
+    joined = pairs.join(words.select("word", F.lit(0).cast("long").alias("salt"), "pieces"), ["word", "salt"], "left")
+    lost = F.raise_error(F.lit("a text changed between two readings"))
+    weight = F.when(F.col("word").isNull(), F.lit(1)).when(F.col("pieces").isNull(), lost.cast("long")).otherwise(F.col("pieces"))
+    total = joined.groupBy("row").agg(F.max("id").alias("id"), F.max("n_bytes").alias("n_bytes"), F.sum(F.col("n") * weight).alias("n_tokens"))
     return total.select(F.col("id").alias(id_col), "n_bytes", "n_tokens")

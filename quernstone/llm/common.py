@@ -43,17 +43,25 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def without(docs: DataFrame, id_col: str, text_col: str, gone: DataFrame, most: int = 1_000_000) -> DataFrame:
+def without(docs: DataFrame, id_col: str, text_col: str, gone: DataFrame, once: DataFrame | None = None, most: int = 1_000_000) -> DataFrame:
     """The rows of ``docs`` whose (identifier, XXH64 of the text) is not in ``gone`` (id, hash), with their own columns.
 
-    A saved list of up to ``most`` rows of fixed size (about 50 MB) is broadcast, so no text moves; a longer one is
-    joined by a shuffle. The columns of ``docs`` travel inside one struct, so none can clash with the list's.
+    Of rows that are named in ``once`` (id, hash) one each stays. A saved list of up to ``most`` rows of fixed size (about
+    50 MB) is broadcast, so no text moves; a longer one is joined by a shuffle. The columns of ``docs`` travel inside one
+    struct, so none can clash with the list's.
     """
-    gone = cut(gone.select(F.col("id").alias("gone_id"), F.col("hash").alias("gone_hash")).distinct())
-    listed = F.broadcast(gone) if gone.count() <= most else gone
+    listed = gone.select("id", "hash", F.lit(True).alias("gone"))
+    if once is not None:
+        listed = listed.union(once.select("id", "hash", F.lit(False)))
+    listed = cut(listed.groupBy(F.col("id").alias("gone_id"), F.col("hash").alias("gone_hash")).agg(F.max("gone").alias("gone")))
+    held = {r["gone"]: r["count"] for r in listed.groupBy("gone").count().collect()}
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").alias("own_id"), F.xxhash64(body(text_col)).alias("own_hash"))
     same = F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_hash") == F.col("gone_hash"))
-    return own.join(listed, same, "left_anti").select("doc.*")
+    joined = own.join(F.broadcast(listed) if sum(held.values()) <= most else listed, same, "left")
+    stay = joined.where("gone is null").select("doc.*")
+    if held.get(False):
+        stay = stay.union(joined.where("not gone").groupBy("own_id", "own_hash").agg(F.first("doc").alias("doc")).select("doc.*"))
+    return stay
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -42,6 +42,26 @@ def test_exact(docs, hot, largest):
         assert [r.doc_id for r in rows if r["__kept"]] == [keep]
 
 
+@pytest.mark.parametrize("largest", [True, False])
+def test_exact_after_a_shuffle(spark, largest):
+    """Rows come in another order each time they are read; of every frequent text exactly one row stays."""
+    docs = spark.range(40000).select((F.col("id") % 20000).alias("doc_id"), F.when(F.col("id") % 6 < 5, F.concat(F.lit("t"), (F.col("id") % 6).cast("string"))).alias("text")).repartition(7)
+    found = exact_dedup.content_sort(docs, "doc_id", "text", keep_largest=largest).select("doc.text", "doc.doc_id", "keep_id", "group_size", "kept").toPandas()
+    assert len(found) == 40000
+    for text, own in found.groupby(found.text.fillna("")):
+        assert own.group_size.tolist() == [len(own)] * len(own) and own.keep_id.nunique() == 1
+        assert own.keep_id.iloc[0] == (own.doc_id.max() if largest else own.doc_id.min())
+        assert own[own.kept].doc_id.tolist() == [own.keep_id.iloc[0]], text
+    assert exact_dedup.exact_dedup(docs, "doc_id", "text", keep_largest=largest).count() == 6
+
+
+def test_exact_of_long_texts(spark):
+    long = "x" * 3_000_000
+    docs = spark.createDataFrame([(1, long), (2, long + "y"), (3, long), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.content_sort(docs, "doc_id", "text", keep_largest=True).select("doc.doc_id", "keep_id", "group_size").collect()}
+    assert got == {1: (3, 2), 3: (3, 2), 2: (2, 1), 4: (4, 1)}
+
+
 def test_exact_of_other_types(spark):
     docs = spark.createDataFrame([(1, 5, "x"), (2, 5, None), (3, None, "y"), (4, None, "z")], "doc_id long, text int, body string")
     assert sorted(exact_dedup.exact_dedup(docs, "doc_id", "text").collect()) == [(1, 5, "x"), (3, None, "y")]
@@ -120,7 +140,27 @@ def test_vectors(spark):
     assert len(got) == len(rows) and all(found[k].n_links == 0 and found[k].component_id == k for k in (1600, 1601, 1602, 1603, 1604))
     assert found[1605].n_links == found[1606].n_links == 1 and found[1606].component_id == 1605
     assert all(found[k].n_links <= n for k, n in want.items())
-    assert sum(found[k].n_links for k in want) >= 0.97 * sum(want.values())
+    assert sum(found[k].n_links for k in want) >= 0.97 * sum(want.values()) and all(r.recall >= 0.97 for r in got)
+    root = groups(len(good), [(a, b) for a, b in np.argwhere(near).tolist() if b < a])
+    least = {g: min(rows[k][0] for k, h in zip(good, root, strict=True) if g == h and rows[k][0] is not None) for g in root}
+    held = [found[rows[k][0]].component_id == least[g] for k, g in zip(good, root, strict=True)]
+    assert np.mean(held) >= 0.97 and all(found[rows[k][0]].component_id >= least[g] for k, g in zip(good, root, strict=True))
+    assert all(r.kept == (r.id == r.component_id) for r in got if r.id is not None)
+
+
+@pytest.mark.parametrize("spread", [0.002, 0.03, 0.3])
+def test_links_of_blocks(spark, spread):
+    """Tight, middling and loose components in small blocks: counts by angles and by comparison agree with all pairs."""
+    rng = np.random.default_rng(12)
+    x = (np.eye(16)[0] + rng.standard_normal((90, 16)) * spread).astype(np.float32)
+    m = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    near, copies = m @ m.T >= 0.95, 1 + np.arange(90) % 3
+    points = spark.createDataFrame([(k, v.tolist(), int(c), k) for k, (v, c) in enumerate(zip(x, copies, strict=True))], "v long, x array<float>, copies long, first long")
+    named = spark.createDataFrame([(k, k // 60) for k in range(90)], "v long, root long")
+    got = {r.v: r.n for r in vectors._within(points, named, 0.95, vectors.Descent(rows=16)).collect()}
+    np.fill_diagonal(near, False)
+    same = np.arange(90)[:, None] // 60 == np.arange(90) // 60
+    assert [got.get(k, 0) for k in range(90)] == ((near & same) @ copies).tolist()
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id", "embedding").count() == 0
 
 

@@ -55,6 +55,36 @@ def test_no_rule_is_gated_away(spark):
     assert [(r.id, r.base_labels) for r in own] == [("Use is governed by the MPL", "own")]
 
 
+def instance(pattern):
+    """Some text that a signature matches: first alternatives, optional parts left out, gaps empty."""
+    text = pattern
+    while (m := re.search(r"\(\?([:=])([^()]*)\)(\??)", text)):
+        inner = "" if m[3] else m[2].split("|")[0]
+        text = text[: m.start()] + inner + text[m.end() :]
+    text = text.split("|")[0]
+    text = re.sub(r"\.\{(\d+),\d+\}", lambda m: "x" * int(m[1]), text)
+    text = re.sub(r"\[0-9\]\+?", "7", re.sub(r"\[0-9\]\{4\}", "2019", text)).replace("[sc]", "s")
+    return re.sub(" +", " ", re.sub(r".\?", "", text))
+
+
+def test_every_signature_of_a_text(spark):
+    """Each passage is found where it stands alone: no gate or keyword hides it, and it outranks what it contains."""
+    texts = [(k, "Some words first; " + instance(pattern).upper() + ". And some after.", label) for k, (label, pattern) in enumerate(licenses.TEXTS)]
+    found = licenses.scan(spark.createDataFrame(texts, "doc_id long, text string, label string"), "doc_id", "text").where("label is not null and confidence = 0.98 and not base").collect()
+    held = {(r.id, r.label) for r in found}
+    assert not [(k, label, text) for k, text, label in texts if (k, label) not in held]
+    for r in licenses.rules():
+        assert r.base or r.keyword == "" or re.search(r.pattern, f" {r.keyword} ") or r.keyword.split()[0] in r.pattern
+    assert len(licenses.TEXTS) < 200 and len({label for label, _ in licenses.TEXTS}) > 100
+
+
+def test_long_license(spark):
+    """A whole license text gives its label, not those of the phrases inside it."""
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the 'Software'), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies"
+    r = licenses.summary(licenses.scan(spark.createDataFrame([(1, mit)], "doc_id long, text string"), "doc_id", "text")).first()
+    assert r.labels == "mit" and r.score == 0.98 and r.base_labels == ""
+
+
 def test_many_places_in_one_text(spark):
     docs = spark.createDataFrame([(1, "MIT license. " * 20000)], "doc_id long, text string")
     r = licenses.summary(licenses.scan(docs, "doc_id", "text")).first()

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import body, cut
+from quernstone.llm.common import body
 from quernstone.llm.packing import slices
 
 #: Fixed value: the character that stands for a space in the pieces of a model.
@@ -50,11 +50,16 @@ def piece_counts(processor, words: list[str]) -> list[int]:
     return [len(x) if w != " " else 1 for w, x in zip(words, processor.encode([w[1:] for w in words], num_threads=1), strict=True)]
 
 
-def distinct_pretokens(docs: DataFrame, text_col: str, model_path: str) -> DataFrame:
-    """(word, n, pieces): every distinct pre-token of the whole corpus, the number of runs of texts it is in, its pieces.
+def common_pretokens(docs: DataFrame, text_col: str, model_path: str, sample_docs: int, most: int) -> dict[str, int]:
+    """Piece counts of the ``most`` pre-tokens found in most of about ``sample_docs`` whole texts.
 
-    Each pre-token is given to the library once.
+    A bounded table (``most`` words of 256 characters at most), broadcast as one side of the join for the keys that would
+    be frequent in a shuffle. The sample decides which way a word is joined, never what is counted.
     """
+    rows = docs.count()
+    texts = docs.select(body(text_col).alias("text"))
+    if rows > sample_docs:
+        texts = texts.where(F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(rows)) < sample_docs)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,27 +70,22 @@ def distinct_pretokens(docs: DataFrame, text_col: str, model_path: str) -> DataF
                     seen.update({w for w in pretokens(t) if len(w) <= _KEY_CHARS})
                 yield pa.RecordBatch.from_arrays([pa.array([*seen], pa.string()), pa.array([*seen.values()], pa.int64())], ["word", "n"])
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        processor = _processor(model_path)
-        for batch in batches:
-            yield batch.append_column("pieces", pa.array(piece_counts(processor, batch.column("word").to_pylist()), pa.int64()))
-
-    words = docs.select(body(text_col).alias("text")).mapInArrow(split, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return cut(words.mapInArrow(counted, "word string, n long, pieces long"))
+    ranked = texts.mapInArrow(split, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    words = [r.word for r in ranked.orderBy(F.desc("n"), "word").limit(most).collect()]
+    return dict(zip(words, piece_counts(_processor(model_path), words), strict=True))
 
 
-def token_counts(docs: DataFrame, id_col: str, text_col: str, model_path: str, common: int = 1 << 17) -> DataFrame:
+def token_counts(docs: DataFrame, id_col: str, text_col: str, model_path: str, sample_docs: int = 2000, common: int = 1 << 17) -> DataFrame:
     """(<id_col>, n_bytes, n_tokens) of every row of ``docs``, without begin or end tokens; a null text is empty.
 
-    Pieces are counted once for each distinct pre-token of the corpus. Each document then gives its pre-tokens with
-    their frequencies, which are joined to those counts and summed; no ids are kept. The ``common`` pre-tokens that most
-    documents hold are joined by a broadcast table (at most ``common`` words of 256 characters), the others by a shuffle
-    in which no key is frequent any more. A pre-token of over 256 characters would be a key as large as a text and is
-    counted where it stands. Rows are told apart by position, so repeated or null identifiers give a row each. Other
-    columns are not read.
+    Each document gives its pre-tokens with their frequencies. The common ones are joined to a broadcast table of piece
+    counts. The others are shuffled and sorted by pre-token, so all frequencies of one lie side by side: its pieces are
+    counted once, joined to each of them as they pass by, and go back to the documents as sums. No ids are kept and no
+    table of words grows in a task. A pre-token of over 256 characters would be a key as large as a text and is counted
+    where it stands. Rows are told apart by position, so repeated or null identifiers give a row each. Other columns are
+    not read.
     """
-    words = distinct_pretokens(docs, text_col, model_path)
-    known = docs.sparkSession.sparkContext.broadcast({r.word: r.pieces for r in words.orderBy(F.desc("n"), "word").limit(common).collect()} if common else {})
+    known = docs.sparkSession.sparkContext.broadcast(common_pretokens(docs, text_col, model_path, sample_docs, common))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, processor = known.value, _processor(model_path)
@@ -109,20 +109,29 @@ def token_counts(docs: DataFrame, id_col: str, text_col: str, model_path: str, c
                         total += sum(p * n for p, (_, n) in zip(piece_counts(processor, [w for w, _ in long]), long, strict=True))
                     own.append(total)
                 more, size = len(out_rows), len(rows)
-                take = lambda c: batch.column(c).slice(part.start, size)  # noqa: B023, E731
-                ids = pa.concat_arrays([take(1), pa.nulls(more, batch.column(1).type)])
-                n_bytes = pa.concat_arrays([take(3), pa.nulls(more, pa.int64())])
+                ids = pa.concat_arrays([batch.column(1).slice(part.start, size), pa.nulls(more, batch.column(1).type)])
+                n_bytes = pa.concat_arrays([batch.column(3).slice(part.start, size), pa.nulls(more, pa.int64())])
                 word = pa.concat_arrays([pa.nulls(size, pa.string()), pa.array(out_words, pa.string())])
                 yield pa.RecordBatch.from_arrays([pa.array(rows + out_rows, pa.int64()), ids, n_bytes, word, pa.array(own + out_n, pa.int64())], ["row", "id", "n_bytes", "word", "n"])
 
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        processor, last, pieces = _processor(model_path), None, 0
+        for batch in batches:
+            words, counts = batch.column("word").to_pylist(), batch.column("n").to_pylist()
+            # equal words are neighbours, so only the first one of a batch can have been counted before
+            new = [w for w in dict.fromkeys(words) if w is not None and w != last]
+            own = {last: pieces, **dict(zip(new, piece_counts(processor, new), strict=True))}
+            if words and words[-1] is not None:
+                last, pieces = words[-1], own[words[-1]]
+            n = [k if w is None else k * own[w] for w, k in zip(words, counts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "id", "n_bytes")), pa.array(n, pa.int64())], ["row", "id", "n_bytes", "n"])
+
     kind = docs.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()
     text = body(text_col)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     pairs = rows.mapInArrow(frequencies, f"row long, id {kind}, n_bytes long, word string, n long")
-    # a row without a word holds what its document had in the common table; its salt spreads these rows
-    pairs = pairs.withColumn("salt", F.when(F.col("word").isNull(), F.col("row")).otherwise(F.lit(0)))
-    joined = pairs.join(words.select("word", F.lit(0).cast("long").alias("salt"), "pieces"), ["word", "salt"], "left")
-    lost = F.raise_error(F.lit("a text changed between two readings"))
-    weight = F.when(F.col("word").isNull(), F.lit(1)).when(F.col("pieces").isNull(), lost.cast("long")).otherwise(F.col("pieces"))
-    total = joined.groupBy("row").agg(F.max("id").alias("id"), F.max("n_bytes").alias("n_bytes"), F.sum(F.col("n") * weight).alias("n_tokens"))
+    # a row without a word holds what its document had in the common table; these rows are spread by their number
+    by_word = pairs.repartition("word", F.when(F.col("word").isNull(), F.col("row"))).sortWithinPartitions("word")
+    sums = by_word.mapInArrow(joined, f"row long, id {kind}, n_bytes long, n long")
+    total = sums.groupBy("row").agg(F.max("id").alias("id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
     return total.select(F.col("id").alias(id_col), "n_bytes", "n_tokens")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: References to constants, calls, names.
 CONST = "^Const:([A-Za-z_][A-Za-z_0-9]*):([A-Za-z_][A-Za-z_0-9]*)$"
 CALL = "(?s)^\\s*([A-Za-z_][A-Za-z_0-9]*)\\s*\\((.*)\\)\\s*$"
 NAME = "^[a-zA-Z_$][a-zA-Z_$0-9]*$"
-#: Separators of a list cell, outside parentheses.
+#: Fixed value: separators of a list cell, outside parentheses.
 SEPARATOR = "[&|\\n](?![^()]*\\))"
 
 
@@ -33,7 +34,7 @@ def is_call(c: Column) -> Column:
 def call_parts(c: Column) -> Column:
     """struct(header, args) of ``header(a, b)``, else null; no argument between empty parentheses."""
     inner = F.regexp_extract(c, CALL, 2)
-    args = F.when(F.trim(inner) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(inner, ","), lambda x: F.trim(x)))
+    args = F.when(F.trim(inner) == "", F.array().cast("array<string>")).otherwise(F.split(F.trim(inner), "\\s*,\\s*"))
     return F.when(is_call(c), F.struct(F.regexp_extract(c, CALL, 1).alias("header"), args.alias("args")))
 
 

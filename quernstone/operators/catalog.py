@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions import casts
+from quernstone.functions.cells import CONST
+from quernstone.operators.chains import chain_ends
 
 SERVER, CLIENT, COMMON = 1, 2, 3
 SCOPES = {"server": SERVER, "client": CLIENT, "common": COMMON}
@@ -78,12 +80,15 @@ def parts_of(name: str) -> tuple[str, list[str]]:
 class Catalog:
     """Small declarations, held by the driver: columns by table (name, type text, scope), enums, call parameters.
 
-    ``calls``: header -> [(name, type, has default, default)].
+    ``calls``: header -> [(name, type, has default, default)]. ``consts``: (table, name) -> (type, text), where a text may
+    name another constant. ``groups``: table -> JSON group, the table's own name where it isn't listed.
     """
 
     columns: dict[str, dict[str, tuple[str, int]]] = field(default_factory=dict)
     enums: dict[str, dict[str, int]] = field(default_factory=dict)
     calls: dict[str, list[tuple[str, str, bool, str | None]]] = field(default_factory=dict)
+    consts: dict[tuple[str, str], tuple[str, str | None]] = field(default_factory=dict)
+    groups: dict[str, str] = field(default_factory=dict)
 
     def key(self, table: str) -> str | None:
         """The group key if there is one, else the primary key."""
@@ -105,8 +110,28 @@ class Catalog:
         end = self.root(self.columns[d.reference][column][0], (*seen, text))
         return replace(end, nullable=end.nullable or d.nullable)
 
+    def const_text(self, table: str, name: str, seen: tuple = ()) -> str | None:
+        """The text a constant ends in; a circle of constants is an error."""
+        if (table, name) in seen:
+            raise ValueError(f"Const:{table}:{name}: constants form a cycle")
+        text = self.consts[table, name][1]
+        named = re.fullmatch(CONST, text or "")
+        return self.const_text(*named.groups(), (*seen, (table, name))) if named and named.groups() in self.consts else text
+
+    def same_type(self, a: str, b: str) -> bool:
+        """Whether two declared types end in the same one, nullability aside."""
+        one, other = self.root(a).name, self.root(b).name
+        return _ALIASES.get(one, one) == _ALIASES.get(other, other)
+
     def cast(self, text: str) -> casts.Cast:
-        """The conversion of a declared type."""
+        """The conversion of a declared type, of which a constant may stand for any value or element."""
+        found = self._plain_cast(text)
+        if not self.consts:
+            return found
+        texts = {f"Const:{t}:{n}": self.const_text(t, n) or "" for t, n in self.consts}
+        return casts.substituted(found, texts, [f"Const:{t}:{n}" for (t, n), (kind, _) in self.consts.items() if not self.same_type(kind, text)])
+
+    def _plain_cast(self, text: str) -> casts.Cast:
         d = self.root(text)
         shape, inner = parts_of(d.name)
         if shape == "list":
@@ -124,18 +149,25 @@ class Catalog:
             plain = _ALIASES.get(d.name)
             if plain is None:
                 raise ValueError(f"{text}: unknown type")
-            named = {"bool": casts.to_bool, "float": casts.to_float_checked, "double": casts.to_double, "string": casts.to_string, "DateTime": casts.to_datetime, "TimeSpan": casts.to_timespan, "DateRange": casts.to_date_range, "dsl": casts.to_call}
+            named = {"bool": casts.to_bool, "float": casts.to_float_checked, "double": casts.to_double, "string": casts.to_string, "DateTime": casts.to_datetime, "TimeSpan": casts.to_timespan, "DateRange": casts.to_date_range, "dsl": casts.to_dsl(self.calls, self.cast) if plain == "dsl" and self.calls else casts.to_call}
             found = named.get(plain) or (casts.to_unsigned if plain[0] == "u" else casts.to_signed)(int(re.sub(r"\D", "", plain)))
         return casts.nullable(found) if d.nullable else found
 
 
 def cast_declared(df: DataFrame, catalog: Catalog, table: str) -> DataFrame:
-    """Every declared column of text cast in one projection, other columns kept; ``errors`` lists (column, value, error)."""
+    """Every declared column of text cast, other columns kept; ``errors`` lists (column, value, error).
+
+    The steps of all columns are projections over the same rows. Cells may name constants of the catalog; enums are cast
+    once per distinct text; calls are checked against their prototypes.
+    """
     wanted = catalog.columns[table]
-    made = df.select("*", *[catalog.cast(t)(F.col(c)).alias(f"__{c}") for c, (t, _) in wanted.items()])
-    faults = F.array(*[F.when(F.col(f"__{c}.error").isNotNull(), F.struct(F.lit(c).alias("column"), F.col(c).alias("value"), F.col(f"__{c}.error").alias("error"))) for c in wanted])
-    keep = [F.col(f"__{c}.value").alias(c) if c in wanted else F.col(c) for c in df.columns]
-    return made.select(*keep, F.filter(faults, lambda x: x.isNotNull()).alias("errors"))
+    names = casts.fresh([*df.columns, "errors"], *[f"__{c}" for c in wanted])
+    found = dict(zip(wanted, names, strict=True))
+    made = casts.cast_columns(df, {found[c]: (catalog.cast(t), F.col(f"`{c}`")) for c, (t, _) in wanted.items()})
+    error = lambda c: F.col(f"`{found[c]}`.error")
+    faults = F.array(*[F.when(error(c).isNotNull(), F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value"), error(c).alias("error"))) for c in wanted])
+    keep = [F.col(f"`{found[c]}`.value").alias(c) if c in found else F.col(f"`{c}`") for c in df.columns]
+    return made.select(*keep, F.array_compact(faults).alias("errors"))
 
 
 def scope_project(df: DataFrame, catalog: Catalog, table: str, scope: int) -> DataFrame:
@@ -143,35 +175,23 @@ def scope_project(df: DataFrame, catalog: Catalog, table: str, scope: int) -> Da
     return df.select(*[c for c, (_, s) in catalog.columns[table].items() if s & scope and c in df.columns])
 
 
-def _recursive(spark: SparkSession, columns: DataFrame, sql: str) -> DataFrame:
-    columns.createOrReplaceTempView("quernstone_columns")
-    return spark.sql(sql)
+def root_types(columns: DataFrame) -> DataFrame:
+    """(table, name, root, nullable, hops, fault) of catalog rows (table, name, target, target_column, type, nullable).
+
+    ``target`` is null for a column that is no reference. Chains may be of any length. A chain that ends in a column that
+    does not exist has no root and the fault ``unknown target``; one that runs in circles the fault ``cycle``.
+    """
+    key = lambda table, name: F.when(F.col(table).isNotNull(), F.struct(F.col(table).alias("table"), F.col(name).alias("name")))
+    ends = chain_ends(columns.select(key("table", "name").alias("node"), key("target", "target_column").alias("target"), "nullable"), ["nullable"])
+    types = columns.select(key("table", "name").alias("end"), "type")
+    found = ends.join(types, "end", "left")
+    return found.select("node.table", "node.name", F.when(F.col("fault").isNull(), F.col("type")).alias("root"), "nullable", "hops", "fault")
 
 
-def root_types(columns: DataFrame, depth: int = 20) -> DataFrame:
-    """(table, name, root, nullable, hops) of catalog rows (table, name, target, target_column, type, nullable).
+def inheritance_levels(tables: DataFrame) -> DataFrame:
+    """(table, level, fault) of rows (table, based): how many tables stand above one; null where bases form a ``cycle``.
 
-    ``target`` is null for a column that is no reference. A chain that doesn't end within ``depth`` hops is a cycle and
-    has a null root.
+    A base that is no table (``unknown target``) doesn't count.
     """
-    return _recursive(columns.sparkSession, columns, f"""
-        with recursive chain(table, name, target, target_column, type, nullable, hops) as (
-            select table, name, target, target_column, type, nullable, 0 from quernstone_columns
-            union all
-            select c.table, c.name, q.target, q.target_column, q.type, c.nullable or q.nullable, c.hops + 1
-            from chain c join quernstone_columns q on q.table = c.target and q.name = c.target_column where c.hops < {depth}
-        )
-        select table, name, max_by(case when target is null then type end, hops) as root, max_by(nullable, hops) as nullable, max(hops) as hops
-        from chain group by table, name""")
-
-
-def inheritance_levels(tables: DataFrame, depth: int = 20) -> DataFrame:
-    """(table, level) of rows (table, based): how many tables stand above one; ``depth`` ends a cycle."""
-    tables.createOrReplaceTempView("quernstone_based")
-    return tables.sparkSession.sql(f"""
-        with recursive up(table, based, level) as (
-            select table, based, 0 from quernstone_based
-            union all
-            select u.table, b.based, u.level + 1 from up u join quernstone_based b on b.table = u.based where u.level < {depth}
-        )
-        select table, max(level) as level from up group by table""")
+    ends = chain_ends(tables.select(F.col("table").alias("node"), F.col("based").alias("target")))
+    return ends.select(F.col("node").alias("table"), F.col("hops").alias("level"), "fault")

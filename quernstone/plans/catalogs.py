@@ -9,22 +9,23 @@ from quernstone.operators.catalog import inheritance_levels, root_types
 from quernstone.plans.registry import query
 
 
-@query("""with recursive c(k, t, hops) as (select o_orderkey, o_orderkey, 0 from orders where o_orderkey % 64 < 40 union all select c.k, o.o_orderkey, c.hops + 1 from c join orders o on o.o_orderkey = c.t // 2 and o.o_orderkey % 64 < 40 where c.t > 0)
-    select 'T' || k as "table", max(case when t = 0 then 'int' end) as root, max(hops)::integer as hops from c group by k""")
+@query("""with recursive up as (select o_orderkey as k, case when o_orderkey % 64 >= 40 then -1 when o_orderkey > 0 then o_orderkey // 2 end as t from orders),
+    c(k, t, hops) as (select k, t, 0 from up union all select c.k, up.t, c.hops + 1 from c join up on up.k = c.t)
+    select 'T' || k as "table", max(case when t is null then 'int' end) as root, max(hops)::bigint as hops, case when bool_or(t = -1) then 'unknown target' end as fault from c group by k""")
 def root_type(t):
-    """Order n refers to order n // 2; some are left out, so their chains have no end."""
+    """Order n refers to order n // 2; some refer to one that isn't there, so their chains and those through them end in nothing."""
     k = F.col("o_orderkey")
-    up = F.when(k > 0, F.floor(k / 2))
-    rows = t("orders").where("o_orderkey % 64 < 40").select(F.concat(F.lit("T"), k.cast("string")).alias("table"), F.lit("id").alias("name"), F.concat(F.lit("T"), up.cast("string")).alias("target"), F.when(k > 0, "id").alias("target_column"), F.when(k == 0, "int").alias("type"), (k % 2 == 1).alias("nullable"))
-    return root_types(rows).select("table", "root", "hops")
+    up = F.when(k % 64 >= 40, F.lit(-1)).when(k > 0, F.floor(k / 2))
+    rows = t("orders").select(F.concat(F.lit("T"), k.cast("string")).alias("table"), F.lit("id").alias("name"), F.concat(F.lit("T"), up.cast("string")).alias("target"), F.lit("id").alias("target_column"), F.when(k == 0, "int").alias("type"), (k % 2 == 1).alias("nullable"))
+    return root_types(rows).select("table", "root", "hops", "fault")
 
 
 @query("""with recursive c(k, b, level) as (select c_custkey, c_custkey // 3, 0 from customer union all select c.k, u.c_custkey // 3, c.level + 1 from c join customer u on u.c_custkey = c.b and c.k <> 0 where c.b > 0 or c.level < 0)
-    select 'T' || k as "table", (max(level) + case when k > 0 then 1 else 0 end)::integer as level from c group by k""")
+    select 'T' || k as "table", (max(level) + case when k > 0 then 1 else 0 end)::bigint as level from c group by k""")
 def inheritance_level(t):
     k = F.col("c_custkey")
     rows = t("customer").select(F.concat(F.lit("T"), k.cast("string")).alias("table"), F.when(k > 0, F.concat(F.lit("T"), F.floor(k / 3).cast("string"))).alias("based"))
-    return inheritance_levels(rows)
+    return inheritance_levels(rows).select("table", "level")
 
 
 def _sheet_columns(t):

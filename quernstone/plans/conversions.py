@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions import casts, cells, times
@@ -12,6 +12,10 @@ from quernstone.operators.constraints import cast_faults
 from quernstone.plans.registry import query
 
 
+def _cast(df: DataFrame, cast: casts.Cast, text: Column) -> DataFrame:
+    return casts.cast_columns(df, {"r": (cast, text)})
+
+
 def _text(c: str) -> Column:
     return F.col(c).cast("string")
 
@@ -27,27 +31,27 @@ def _ints() -> Column:
 @query("""select o_orderkey, case when o_orderkey % 6 = 0 then -o_orderkey when o_orderkey % 6 in (1, 4) then o_orderkey when o_orderkey % 6 = 3 and o_orderkey * 100000000 <= 2147483647 then o_orderkey * 100000000 end::integer as value,
     case when o_orderkey % 6 = 5 then 'null' when o_orderkey % 6 = 2 then 'not a int32' when o_orderkey % 6 = 3 and o_orderkey * 100000000 > 2147483647 then 'above int32' end as error from orders""")
 def cast_ints(t):
-    return t("orders").select("o_orderkey", casts.to_signed(32)(_ints()).alias("r")).select("o_orderkey", "r.value", "r.error")
+    return _cast(t("orders"), casts.to_signed(32), _ints()).select("o_orderkey", "r.value", "r.error")
 
 
 @query("""select o_orderkey, case when o_orderkey % 6 in (1, 4) or o_orderkey = 0 then o_orderkey when o_orderkey % 6 = 3 and o_orderkey * 100000000 <= 4294967295 then o_orderkey * 100000000 end as value,
     case when o_orderkey % 6 = 5 then 'null' when o_orderkey % 6 = 2 then 'not a uint32' when o_orderkey % 6 = 0 and o_orderkey > 0 then 'below uint32' when o_orderkey % 6 = 3 and o_orderkey * 100000000 > 4294967295 then 'above uint32' end as error from orders""")
 def cast_unsigned(t):
-    return t("orders").select("o_orderkey", casts.to_unsigned(32)(_ints()).alias("r")).select("o_orderkey", "r.value", "r.error")
+    return _cast(t("orders"), casts.to_unsigned(32), _ints()).select("o_orderkey", "r.value", "r.error")
 
 
 @query("""select o_orderkey, (cast(o_orderkey as hugeint) * 1700000000000000 )::varchar as text, case when cast(o_orderkey as hugeint) * 1700000000000000 <= 18446744073709551615 then (cast(o_orderkey as hugeint) * 1700000000000000)::varchar end as value,
     case when cast(o_orderkey as hugeint) * 1700000000000000 > 18446744073709551615 then 'above uint64' end as error from orders""")
 def cast_unsigned_64(t):
     text = (F.col("o_orderkey").cast("decimal(20,0)") * F.lit(1700000000000000).cast("decimal(17,0)")).cast("string")
-    return t("orders").select("o_orderkey", text.alias("text"), casts.to_unsigned(64)(text).alias("r")).select("o_orderkey", "text", F.col("r.value").cast("string").alias("value"), "r.error")
+    return _cast(t("orders").select("o_orderkey", text.alias("text")), casts.to_unsigned(64), F.col("text")).select("o_orderkey", "text", F.col("r.value").cast("string").alias("value"), "r.error")
 
 
 @query("""select l_orderkey, l_linenumber, case when l_returnflag = 'A' then true when l_returnflag = 'N' and l_linestatus = 'F' then false end as value,
     case when l_returnflag = 'R' then 'null' when l_returnflag = 'N' and l_linestatus = 'O' then 'not a bool' end as error from lineitem""")
 def cast_bool(t):
     text = F.when(F.col("l_returnflag") == "A", "True").when(F.col("l_returnflag") == "R", " null ").when(F.col("l_linestatus") == "F", "FALSE").otherwise("yes")
-    return t("lineitem").select("l_orderkey", "l_linenumber", casts.to_bool(text).alias("r")).select("l_orderkey", "l_linenumber", "r.value", "r.error")
+    return _cast(t("lineitem"), casts.to_bool, text).select("l_orderkey", "l_linenumber", "r.value", "r.error")
 
 
 @query("""select p_partkey, case p_partkey % 4 when 0 then p_size * 1.0::double when 1 then p_size * 1000.0::double when 2 then null else 0.5::double end as value,
@@ -55,14 +59,14 @@ def cast_bool(t):
 def cast_double(t):
     k, size = F.col("p_partkey") % 4, _text("p_size")
     text = F.when(k == 0, size).when(k == 1, F.concat(size, F.lit("e3"))).when(k == 2, F.concat(size, F.lit("d"))).otherwise(".5")
-    return t("part").select("p_partkey", casts.to_double(text).alias("r")).select("p_partkey", "r.value", "r.error")
+    return _cast(t("part"), casts.to_double, text).select("p_partkey", "r.value", "r.error")
 
 
 @query("""select p_partkey, case when p_partkey % 2 = 0 then p_size * 0.25::double end as value, case when p_partkey % 2 = 1 then case when p_size % 2 = 0 then 'above float' else 'below float' end end as error from part""")
 def cast_float(t):
     odd = F.when(F.col("p_size") % 2 == 0, "1e39").otherwise("-1e39")
     text = F.when(F.col("p_partkey") % 2 == 0, (F.col("p_size") * 0.25).cast("string")).otherwise(odd)
-    return t("part").select("p_partkey", casts.to_float_checked(text).alias("r")).select("p_partkey", "r.value", "r.error")
+    return _cast(t("part"), casts.to_float_checked, text).select("p_partkey", "r.value", "r.error")
 
 
 @query("""select l_orderkey, l_linenumber, case when l_linenumber % 3 = 0 then date_trunc('day', l_shipdate) when l_linenumber % 3 = 1 then l_shipdate end as value,
@@ -70,7 +74,7 @@ def cast_float(t):
 def cast_datetime(t):
     n = F.col("l_linenumber") % 3
     text = F.when(n == 0, F.date_format("l_shipdate", "yyyy-MM-dd")).when(n == 1, F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format("l_shipdate", "yyyy"))
-    return t("lineitem").select("l_orderkey", "l_linenumber", casts.to_datetime(text).alias("r")).select("l_orderkey", "l_linenumber", "r.value", "r.error")
+    return _cast(t("lineitem"), casts.to_datetime, text).select("l_orderkey", "l_linenumber", "r.value", "r.error")
 
 
 def _span_text() -> Column:
@@ -85,7 +89,7 @@ _SPAN = "((o_orderkey % 24) * 3600 + (o_custkey % 60) * 60 + o_orderkey % 60) *
 @query(f"""select o_orderkey, case o_orderkey % 4 when 0 then {_SPAN} when 1 then -({_SPAN} + (o_custkey % 9) * 86400000) when 2 then {_SPAN} + (o_custkey % 9) * 86400000 + 250 end as millis,
     case when o_orderkey % 4 = 3 then 'not a TimeSpan' end as error from orders""")
 def cast_timespan(t):
-    found = t("orders").select("o_orderkey", casts.to_timespan(_span_text()).alias("r"))
+    found = _cast(t("orders"), casts.to_timespan, _span_text())
     return found.select("o_orderkey", times.total_millis(F.col("r.value")).alias("millis"), "r.error")
 
 
@@ -97,7 +101,7 @@ def cast_date_range(t):
     k, day = F.col("o_orderkey"), lambda c: F.date_format(c, "yyyy-MM-dd")
     later = lambda n: F.col("o_orderdate") + times.span_of(days=n)
     text = F.when(k % 3 == 0, F.concat(day("o_orderdate"), F.lit(" ~ "), day(later(30)))).when(k % 3 == 1, "1 03:04:05").otherwise("soon ~ later")
-    found = t("orders").select("o_orderkey", "o_orderdate", casts.to_date_range(text).alias("r"))
+    found = _cast(t("orders"), casts.to_date_range, text)
     inside = F.when(k % 3 == 0, times.in_range(later(k % 40), F.col("r.value")))
     return found.select("o_orderkey", F.col("r.value.Start").alias("starts"), F.col("r.value.End").alias("ends"), inside.alias("inside"), "r.error")
 
@@ -113,7 +117,7 @@ def split_list(t):
 def to_map_cell(t):
     k, c, o = F.col("o_orderkey") % 4, _text("o_custkey"), _text("o_orderkey")
     text = F.when(k == 0, F.concat(F.lit("a:"), c, F.lit(" & b: "), o)).when(k == 1, F.concat(F.lit("a:"), c, F.lit(":1"))).when(k == 2, F.concat(F.lit("a:"), c, F.lit("|a:"), o)).otherwise("a:x")
-    found = t("orders").select("o_orderkey", casts.to_map(casts.to_string, casts.to_signed(32))(text).alias("r"))
+    found = _cast(t("orders"), casts.to_map(casts.to_string, casts.to_signed(32)), text)
     entries = F.array_join(F.transform(F.map_entries("r.value"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
     return found.select("o_orderkey", entries.alias("entries"), "r.error")
 
@@ -143,7 +147,7 @@ def enum_mask(t):
     members = {"A": 1, "N": 2, "R": 4, "O": 8, "F": 3}
     n, a, b = F.col("l_linenumber") % 4, F.col("l_returnflag"), F.col("l_linestatus")
     text = F.when(n == 0, a).when(n == 1, F.concat_ws(" | ", a, b)).when(n == 2, F.concat(a, F.lit("|"), b, F.lit("&"), a)).otherwise(F.concat(a, F.lit("|Z")))
-    found = t("lineitem").select("l_orderkey", "l_linenumber", casts.to_enum(members)(text).alias("r"))
+    found = _cast(t("lineitem"), casts.to_enum(members), text)
     return found.select("l_orderkey", "l_linenumber", "r.value.name", "r.value.mask", "r.error")
 
 
@@ -168,7 +172,7 @@ def null_literals(t):
 @query("select l_orderkey, l_linenumber, case when l_linenumber % 2 = 0 then l_linenumber end as value, case when l_linenumber % 2 = 1 then 'not a int32' end as error from lineitem")
 def sequence_cast(t):
     text = F.concat(_text("l_linenumber"), F.when(F.col("l_linenumber") % 2 == 0, "").otherwise("#"))
-    return t("lineitem").select("l_orderkey", "l_linenumber", casts.to_sequence(text).alias("r")).select("l_orderkey", "l_linenumber", "r.value", "r.error")
+    return _cast(t("lineitem"), casts.to_sequence, text).select("l_orderkey", "l_linenumber", "r.value", "r.error")
 
 
 @query("""select o_orderkey, c as "column", v as value, e as detail from (

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.functions.cells import valid_name
+from quernstone.functions import casts
 from quernstone.operators import constraints as rules
 from quernstone.operators import containers, lookups, parents
 from quernstone.plans.registry import query
@@ -82,7 +82,7 @@ def const_lookup(t):
     consts = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).where("n_nationkey % 5 <> 0").select(F.lit("Nation").alias("table"), F.col("n_name").alias("name"), F.col("r_name").alias("value"))
     table = F.when(F.col("c_custkey") % 11 == 0, "None").otherwise("Nation")
     cells = t("customer").select("c_custkey", F.concat(F.lit("Const:"), table, F.lit(":NATION_"), F.col("c_nationkey").cast("string")).alias("text"))
-    return lookups.resolve_const(cells, "text", consts, depth=1).withColumn("text_error", F.nullif("text_error", F.lit("endless const")))
+    return lookups.resolve_const(cells, "text", consts)
 
 
 @query("select p_partkey from part where not regexp_full_match(case when p_partkey % 3 = 0 then replace(p_name, ' ', '_') when p_partkey % 3 = 1 then p_name else p_partkey || 'x' end, '[a-zA-Z_$][a-zA-Z_$0-9]*')")
@@ -131,11 +131,10 @@ _CALL = "'item(' || l_partkey || case when l_linenumber % 3 = 0 then '' when l_l
 
 
 def _calls(t) -> DataFrame:
-    from quernstone.functions.casts import to_call
-
     n, key = F.col("l_linenumber"), F.col("l_partkey").cast("string")
     text = F.concat(F.lit("item("), key, F.when(n % 3 == 0, "").when(n % 3 == 1, F.concat(F.lit(", "), n.cast("string"))).otherwise(F.concat(F.lit(", "), n.cast("string"), F.lit(", 5, 6"))), F.lit(")"))
-    calls = t("lineitem").select("l_orderkey", "l_linenumber", to_call(text)["value"].alias("c")).select("l_orderkey", "l_linenumber", "c.Type", "c.Parameters")
+    found = casts.cast_columns(t("lineitem").select("l_orderkey", "l_linenumber", text.alias("text")), {"c": (casts.to_call, F.col("text"))})
+    calls = found.select("l_orderkey", "l_linenumber", "c.value.Type", "c.value.Parameters")
     params = [(0, "id", "$part", False, None), (1, "count", "uint", True, "1"), (2, "percent", "double", True, "100.0")]
     one = t("region").where("r_regionkey = 0").select(F.explode(F.array(*[F.struct(F.lit("item").alias("header"), *[F.lit(v).cast(k).alias(n) for n, k, v in zip(("pos", "name", "type", "has_default", "default"), ("int", "string", "string", "boolean", "string"), p, strict=True)]) for p in params])).alias("p")).select("p.*")
     return lookups.bind_calls(calls, lookups.call_catalog(one))

@@ -1,11 +1,9 @@
 """Conversions on literals: an accepted and a rejected value for each branch."""
 
 import datetime as dt
+import random
 from decimal import Decimal
 
-import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quernstone.functions import casts, cells, times
@@ -48,21 +46,48 @@ def test_accepted(spark):
         assert error is None and plain(value) == want, (text, value, error)
 
 
+def test_cast_columns(spark):
+    """Casts of a whole table give what they give one by one, whatever its columns are called."""
+    for cast, name in ((casts.to_signed(32), "int"), (LIST, "list"), (MAP, "map"), (casts.to_enum(FLAGS), "enum"), (casts.nullable(casts.to_timespan), "span"), (casts.to_date_range, "range"), (casts.to_point(), "point")):
+        texts = [t for _, t, *_ in GOOD] + [t for _, t in BAD]
+        df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "__text0 int, __found0 string, __text string")
+        single = df.select("__text0", cast(F.col("__found0")).cast("string").alias("r")).collect()
+        table = casts.cast_columns(df, {"r": (cast, F.col("__found0"))})
+        assert table.columns == ["__text0", "__found0", "__text", "r"]
+        assert {r["__text0"]: r.r for r in table.select("__text0", F.col("r").cast("string").alias("r")).collect()} == {r["__text0"]: r.r for r in single}, name
+
+
 def test_rejected(spark):
     for cast, text in BAD:
         value, error = one(spark, cast, text)
         assert error and value is None, (text, value, error)
 
 
-@pytest.mark.parametrize(("text", "want"), [("A", 1), ("(A | B) & C", 0), ("(A|B)", 3), ("A | (B & C) | C", 5), ("A |", None), ("(A", None), ("~A", None), ("Z", None)])
-def test_nested_enums(text, want):
-    assert lookups._mask(text.replace(" ", ""), FLAGS) == want
+def test_nested_enums(spark):
+    want = {"A": 1, "(A | B) & C": 0, "(A|B)": 3, "A | (B & C) | C": 5, "((A))": 1, "A |": None, "(A": None, "A)": None, "()": None, "A B": None, "~A": None, "Z": None, "A | Z": None, "": None, "& A": None}
+    got = lookups.evaluate_enums(spark.createDataFrame([(t,) for t in want], "text string"), "text", FLAGS).collect()
+    assert {r.text: r.mask for r in got} == want
+    assert all((r.mask is None) == (r.mask_error is not None) for r in got)
+
+
+def test_nested_enums_like_python(spark):
+    """Random expressions, fully parenthesised, against Python's own operators."""
+    rng = random.Random(3)
+
+    def make(depth):
+        return rng.choice("ABC") if not depth or rng.random() < 0.2 else f"({make(depth - 1)}{rng.choice('&|')}{make(depth - 1)})"
+
+    texts = sorted({make(4) for _ in range(150)})
+    got = lookups.evaluate_enums(spark.createDataFrame([(t,) for t in texts], "text string"), "text", FLAGS).collect()
+    assert {r.text: r.mask for r in got} == {t: eval(t, {}, FLAGS) for t in texts}  # noqa: S307
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.recursive(st.sampled_from("ABC"), lambda x: st.tuples(x, st.sampled_from("&|"), x).map(lambda p: f"({p[0]}{p[1]}{p[2]})"), max_leaves=8))
-def test_nested_enums_like_python(text):
-    assert lookups._mask(text, FLAGS) == eval(text, {}, FLAGS)  # noqa: S307
+def test_enum_values(spark):
+    """Aliases of any depth, hexadecimal, inversion; circles and unknown names are faults."""
+    tokens = {"A": ["1"], "B": ["A", "|", "0x2"], "C": ["(", "B", "|", "4", ")", "&", "~", "A"], "D": ["C"], "E": ["D", "|", "B"], "X": ["Y"], "Y": ["X"], "Z": ["nope"], "W": ["1", "|"]}
+    got = {r.member: (r.value, r.fault) for r in lookups.enum_values(spark.createDataFrame([("F", m, t) for m, t in tokens.items()], "enum string, member string, tokens array<string>")).collect()}
+    assert {m: v for m, (v, f) in got.items() if f is None} == {"A": 1, "B": 3, "C": 6, "D": 6, "E": 7}
+    assert {m for m, (_, f) in got.items() if f == "unknown or circular name"} == {"X", "Y", "Z"} and got["W"][1] == "not an expression"
 
 
 def test_cells(spark):

@@ -97,19 +97,64 @@ def test_catalog_casts(spark):
         Catalog({"a": {"id": ("*$a", 3)}}).root("$a")
 
 
-def test_recursive_catalogs_stop_at_cycles(spark):
-    columns = spark.createDataFrame([("a", "id", "b", "id", None, False), ("b", "id", None, None, "int", True), ("c", "id", "d", "id", None, False), ("d", "id", "c", "id", None, False)], "table string, name string, target string, target_column string, type string, nullable boolean")
-    got = {r.table: (r.root, r.nullable) for r in root_types(columns).collect()}
-    assert got["a"] == ("int", True) and got["b"] == ("int", True) and got["c"][0] is None
-    based = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b")], "table string, based string")
-    assert {r.table: r.level for r in inheritance_levels(based).collect()} == {"a": 0, "b": 1, "c": 2}
+def test_recursive_catalogs_end_or_say_why(spark):
+    columns = spark.createDataFrame([("a", "id", "b", "id", None, False), ("b", "id", None, None, "int", True), ("c", "id", "d", "id", None, False), ("d", "id", "c", "id", None, False), ("e", "id", "c", "id", None, False), ("f", "id", "zz", "id", None, False), ("g", "id", "f", "id", None, False)], "table string, name string, target string, target_column string, type string, nullable boolean")
+    got = {r.table: (r.root, r.nullable, r.hops, r.fault) for r in root_types(columns).collect()}
+    assert got["a"] == ("int", True, 1, None) and got["b"] == ("int", True, 0, None)
+    assert got["c"] == got["d"] == got["e"] == (None, False, None, "cycle")
+    assert got["f"] == (None, False, 0, "unknown target") and got["g"] == (None, False, 1, "unknown target")
+    based = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x")], "table string, based string")
+    assert {r.table: r.level for r in inheritance_levels(based).collect()} == {"a": 0, "b": 1, "c": 2, "x": None, "y": None}
+    assert root_types(columns.where("false")).count() == inheritance_levels(based.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("n", [25, 1000])
+def test_long_chains(spark, n):
+    chain = spark.range(n + 1).select(F.col("id").cast("string").alias("table"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("based"))
+    got = {int(r.table): (r.level, r.fault) for r in inheritance_levels(chain).collect()}
+    assert got == {k: (k, None) for k in range(n + 1)}
+    ring = chain.withColumn("based", F.coalesce("based", F.lit(str(n))))
+    assert {(r.level, r.fault) for r in inheritance_levels(ring).collect()} == {(None, "cycle")}
+
+
+def test_two_million_links(spark):
+    wide = spark.range(2_000_000).select(F.col("id").alias("table"), F.when(F.col("id") > 0, F.floor(F.col("id") / 40)).alias("based"))
+    r = inheritance_levels(wide).agg(F.count("*").alias("n"), F.max("level").alias("top"), F.count("fault").alias("bad")).first()
+    assert (r.n, r.top, r.bad) == (2_000_000, 4, 0)
 
 
 def test_consts_end(spark):
-    consts = spark.createDataFrame([("T", "a", "Const:T:b"), ("T", "b", "5"), ("T", "loop", "Const:T:loop")], "table string, name string, value string")
-    df = spark.createDataFrame([("Const:T:a",), ("Const:T:zz",), ("Const:U:a",), ("plain",), ("Const:T:loop",)], "c string")
-    got = {(r.c, r.c_error) for r in lookups.resolve_const(df, "c", consts).collect()}
-    assert got == {("5", None), ("Const:T:zz", "unknown const"), ("Const:U:a", "unknown const table"), ("plain", None), ("Const:T:loop", "endless const")}
+    chain = [("T", f"c{k}", f"Const:T:c{k + 1}") for k in range(30)] + [("T", "c30", "7")]
+    consts = spark.createDataFrame([("T", "a", "Const:T:b"), ("T", "b", "5"), ("T", "loop", "Const:T:loop"), ("T", "lost", "Const:V:x"), *chain], "table string, name string, value string")
+    df = spark.createDataFrame([("Const:T:a",), ("Const:T:zz",), ("Const:U:a",), ("plain",), (None,), ("Const:T:loop",), ("Const:T:c0",), ("Const:T:lost",)], "c string").withColumn("part", F.lit(1)).withColumn("__p", F.lit(2))
+    out = lookups.resolve_const(df, "c", consts)
+    assert out.columns == ["c", "part", "__p", "c_error"]
+    assert {(r.c, r.c_error) for r in out.collect()} == {("5", None), ("7", None), ("Const:T:zz", "unknown const"), ("Const:U:a", "unknown const table"), ("plain", None), (None, None), ("Const:T:loop", "endless const"), ("Const:V:x", "unknown const table")}
+
+
+#: The table of accepted and rejected cells: declared type, accepted, rejected.
+CELLS = [
+    ("int", ["12", "-3", "0x1F", "Const:Raid:Fee"], ["1.5", "2147483648", "", "Const:Raid:Missing", "Const:Nope:Fee", "Const:Raid:Name"]), ("int?", ["", "null"], ["x"]), ("uint8_t", ["0", "255"], ["256", "-1"]), ("uint64", ["18446744073709551615"], ["18446744073709551616"]),
+    ("float", ["1.5"], ["1e39"]), ("bool", ["true", "FALSE"], ["1", "yes"]), ("string", ["any", "", "null", "Const:Raid:Name"], []), ("DateTime", ["2021-02-16", "2021-02-16 00:00:00"], ["soon"]),
+    ("TimeSpan", ["01:02:03", "1 02:03:04", "1.02:03:04"], ["1h"]), ("DateRange", ["2021-02-16 ~ 2021-03-16", "1 00:00:00"], ["a ~ b"]), ("[int]", ["1 & 2 & 3", "1\n2", "", "1 & Const:Raid:Fee"], ["1 & x", "1 & Const:Raid:Missing"]),
+    ("{string:int}", ["a:1 & b:2", ""], ["a", "a:1:2", "a:1 & a:2"]), ("point", ["3, 4"], ["3"]), ("size", ["3, 4"], ["3"]), ("range", ["1 ~ 9"], ["1-9"]), ("FLAGS", ["A", "A | B", "(A | B) & C", "(A|B)"], ["Z", "~A", "A |"]),
+    ("dsl", ["item(1)", "item(1, 2)", "item(1, 2, 3.5)", "item(Const:Raid:Fee)", "sex(A|B)", "none()"], ["item()", "item(1,2,3,4)", "nope(1)", "item(x)", "item(1, -1)", "sex(Z)", "item", ""]), ("dsl?", ["", "item(1)"], ["item()"]),
+]
+
+
+def test_whole_cells(spark):
+    calls = {"item": [("id", "$item", False, None), ("count", "uint", True, "1"), ("percent", "double", True, "100.0")], "sex": [("v", "FLAGS", False, None)], "none": []}
+    consts = {("Raid", "Fee"): ("int", "Const:Raid:Base"), ("Raid", "Base"): ("int32", "7"), ("Raid", "Name"): ("string", "boss")}
+    for kind, good, bad in CELLS:
+        catalog = Catalog({"t": {"c": (kind, 3)}, "item": {"id": ("*int", 3)}}, {"FLAGS": {"A": 1, "B": 2, "C": 4}}, calls, consts)
+        df = spark.createDataFrame([(x, True) for x in good] + [(x, False) for x in bad], "c string, fine boolean")
+        wrong = [(kind, r.text, r.errors) for r in cast_declared(df.withColumn("text", F.col("c")), catalog, "t").collect() if (not r.errors) != r.fine]
+        assert not wrong
+    catalog = Catalog({"t": {"n": ("int", 3), "d": ("dsl", 3), "e": ("FLAGS", 3)}}, {"FLAGS": {"A": 1, "B": 2, "C": 4}}, calls | {"item": [("id", "int", False, None), *calls["item"][1:]]}, consts)
+    r = cast_declared(spark.createDataFrame([("Const:Raid:Fee", "item(3)", "(A | B) & C")], "n string, d string, e string"), catalog, "t").first()
+    assert (r.n, r.d.Parameters, r.e.mask) == (7, ["3", "1", "100.0"], 0)
+    with pytest.raises(ValueError, match="cycle"):
+        Catalog(consts={("a", "b"): ("int", "Const:a:b")}).const_text("a", "b")
 
 
 def test_prototypes_and_calls(spark):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions.cells import normalize_cell
+from quernstone.operators.constraints import violations
 
 SHEET = ["file", "sheet"]
 _DIRECTIVE = "^\\s*(based|json)\\s*:\\s*(\\S+)\\s*$"
@@ -24,44 +25,54 @@ def drop_comments(cells: DataFrame) -> DataFrame:
     return full.where(~F.startswith("value", F.lit("#"))).join(commented, [*SHEET, "row"], "left_anti")
 
 
-def _leading(cells: DataFrame) -> DataFrame:
-    """Rows with their rank among the valid rows of a sheet and whether they hold a lone directive."""
-    rows = cells.groupBy(*SHEET, "row").agg(F.count("*").alias("n"), F.min_by("value", "col").alias("first"))
-    lone = (F.col("n") == 1) & F.col("first").rlike(_DIRECTIVE)
-    order = Window.partitionBy(*SHEET).orderBy("row")
-    return rows.withColumn("directive", lone).withColumn("ended", F.max((~lone).cast("int")).over(order))
+def _rows(full: DataFrame) -> DataFrame:
+    """Valid rows of a sheet and whether they hold nothing but a directive."""
+    rows = full.groupBy(*SHEET, "row").agg(F.count("*").alias("n"), F.min_by("value", "col").alias("first"))
+    return rows.withColumn("lone", (F.col("n") == 1) & F.col("first").rlike(_DIRECTIVE))
+
+
+def _heads(rows: DataFrame) -> DataFrame:
+    """(file, sheet, h1, h2, h3): the numbers of the three header rows, by minima, so no sheet is sorted."""
+    heads = rows.where("not lone").groupBy(*SHEET).agg(F.min("row").alias("h1"))
+    for k in (2, 3):
+        later = rows.join(heads, SHEET).where(F.col("row") > F.col(f"h{k - 1}")).groupBy(*SHEET).agg(F.min("row").alias(f"h{k}"))
+        heads = heads.join(later, SHEET, "left")
+    return heads
 
 
 def read_directives(cells: DataFrame) -> DataFrame:
     """(file, sheet, table, based, json) from the lone cells in front; ``json`` defaults to the table."""
-    lead = _leading(drop_comments(cells))
-    word = lambda k: F.max(F.when((F.col("ended") == 0) & (F.regexp_extract("first", _DIRECTIVE, 1) == k), F.regexp_extract("first", _DIRECTIVE, 2)))
+    rows = _rows(drop_comments(cells))
+    lead = rows.join(rows.where("not lone").groupBy(*SHEET).agg(F.min("row").alias("h1")), SHEET, "left").withColumn("front", F.coalesce(F.col("row") < F.col("h1"), F.lit(True)))
+    word = lambda k: F.max(F.when(F.col("front") & (F.regexp_extract("first", _DIRECTIVE, 1) == k), F.regexp_extract("first", _DIRECTIVE, 2)))
     found = lead.groupBy(*SHEET).agg(word("based").alias("based"), word("json").alias("json"))
     table = table_name(F.col("sheet"))
     return found.select(*SHEET, table.alias("table"), "based", F.coalesce("json", table).alias("json"))
 
 
-def _numbered(cells: DataFrame) -> DataFrame:
-    """Cells with the number of their row among the valid ones after the directives, from 1."""
-    full = drop_comments(cells)
-    body = _leading(full).where("ended = 1").withColumn("nth", F.row_number().over(Window.partitionBy(*SHEET).orderBy("row"))).select(*SHEET, "row", "nth")
-    return full.join(body, [*SHEET, "row"])
-
-
 def read_headers(cells: DataFrame) -> DataFrame:
     """(file, sheet, col, name, type, scope, bold) from the first three valid rows."""
-    top = _numbered(cells).where("nth <= 3").groupBy(*SHEET, "col").pivot("nth", [1, 2, 3]).agg(F.first("value").alias("v"), F.first("bold").alias("b"))
+    full = drop_comments(cells)
+    nth = F.when(F.col("row") == F.col("h1"), 1).when(F.col("row") == F.col("h2"), 2).when(F.col("row") == F.col("h3"), 3)
+    top = full.join(_heads(_rows(full)), SHEET).withColumn("nth", nth).where("nth is not null").groupBy(*SHEET, "col").pivot("nth", [1, 2, 3]).agg(F.first("value").alias("v"), F.first("bold").alias("b"))
     return top.where("`1_v` is not null").select(*SHEET, "col", F.col("1_v").alias("name"), F.col("2_v").alias("type"), F.lower("3_v").alias("scope"), F.coalesce("1_b", F.lit(False)).alias("bold"))
 
 
 def read_rows(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """(file, sheet, row, name, bold, value) of the cells under a header, normalised for its type."""
-    below = _numbered(cells).where("nth > 3").select(*SHEET, "row", "col", "kind", "value")
+    full = drop_comments(cells)
+    below = full.join(_heads(_rows(full)).select(*SHEET, "h3"), SHEET).where("row > h3").select(*SHEET, "row", "col", "kind", "value")
     named = below.join(headers.select(*SHEET, "col", "name", "type", "bold"), [*SHEET, "col"])
     value = normalize_cell(F.col("kind"), F.col("value"), F.regexp_replace("type", "[*()$!~?]", ""))
     return named.select(*SHEET, "row", "name", "bold", value.alias("value")).where("value is not null")
 
 
+def scope_faults(headers: DataFrame, scopes: list[str]) -> DataFrame:
+    """Violations for header scopes that are none."""
+    wrong = headers.where(~F.coalesce(F.col("scope").isin(scopes), F.lit(False)))
+    return violations(wrong, "unknown scope", file=F.col("file"), sheet=F.col("sheet"), table=table_name(F.col("sheet")), column=F.col("name"), value=F.col("scope"))
+
+
 def to_models(rows: DataFrame, names: list[str], by: list[str] = [*SHEET, "row"]) -> DataFrame:  # noqa: B006
     """Long to wide: a column per name, null where a row has no cell."""
     return rows.groupBy(*by).pivot("name", names).agg(F.first("value"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.operators.catalog import Catalog, declared, scope_project
+
 JSON = {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
 
 
@@ -14,56 +16,82 @@ def _row(df: DataFrame, columns: list[str] | None) -> Column:
     return F.struct(*[F.col(c) for c in columns or df.columns])
 
 
-def to_list(df: DataFrame, columns: list[str] | None = None, by: list[str] = ()) -> DataFrame:
-    """All rows as one ordered array; a container has no other bound than its table, so large ones go to JSON lines."""
-    return df.groupBy(*by).agg(F.array_sort(F.collect_list(_row(df, columns))).alias("container"))
-
-
-def to_keyed(df: DataFrame, pk: str, columns: list[str] | None = None, by: list[str] = ()) -> DataFrame:
-    """{pk: row}, keys in order; of rows that repeat a key, which the key rules report, one stays."""
-    unique = df.dropDuplicates([*by, pk])
-    return unique.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(pk), _row(df, columns))))).alias("container"))
+def _ordered(df: DataFrame, by: list[str], texts: Column, order: Column) -> DataFrame:
+    return df.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("order"), texts.alias("text")))), lambda x: x["text"]).alias("texts"))
 
 
 def to_grouped(df: DataFrame, gk: str, columns: list[str] | None = None) -> DataFrame:
     """A row (gk, [rows]) per group."""
-    return to_list(df, columns, [gk])
+    return df.groupBy(gk).agg(F.array_sort(F.collect_list(_row(df, columns))).alias("container"))
 
 
 def to_grouped_keyed(df: DataFrame, gk: str, pk: str, columns: list[str] | None = None) -> DataFrame:
-    """A row (gk, {pk: row}) per group."""
-    return to_keyed(df, pk, columns, [gk])
+    """A row (gk, {pk: row}) per group, keys in order; of rows that repeat a key, which the key rules report, the least stays."""
+    unique = df.groupBy(gk, pk).agg(F.min(_row(df, columns)).alias("row"))
+    return unique.groupBy(gk).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(pk), F.col("row"))))).alias("container"))
+
 
+def quoted(c: Column) -> Column:
+    """A value as a JSON string, escaped."""
+    made = F.to_json(F.struct(c.cast("string").alias("k")))
+    return F.substr(made, F.lit(6), F.length(made) - 6)
 
-def nest(groups: DataFrame, gk: str) -> DataFrame:
-    """One map of all groups."""
-    return groups.groupBy().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(gk).alias("key"), F.to_json("container", JSON).alias("value"))))).alias("container"))
 
+def entries(df: DataFrame, gk: str | None, pk: str | None, columns: list[str] | None = None, order: list[str] = ()) -> DataFrame:
+    """(at, key, entry): the container that the keys of a table ask for, an entry a row, so no row holds the table.
 
-def container(df: DataFrame, gk: str | None, pk: str | None, columns: list[str] | None = None) -> DataFrame:
-    """The shape that the keys of a table ask for."""
+    Without keys an entry is a row of the list; with a primary key its row; with a group key the list of the group, or
+    with both keys the map of the group, which the format puts into one entry. ``at`` orders the entries, lists by
+    ``order``; ``key`` is JSON text, null in lists. Of rows that repeat a primary key the one with the least text stays.
+    """
+    body = F.to_json(_row(df, columns), JSON)
     if gk and pk:
-        return to_grouped_keyed(df, gk, pk, columns)
-    if gk:
-        return to_grouped(df, gk, columns)
-    return to_keyed(df, pk, columns) if pk else to_list(df, columns)
+        unique = df.groupBy(gk, pk).agg(F.min(body).alias("body"))
+        made = _ordered(unique, [gk], F.concat(quoted(F.col(pk)), F.lit(":"), F.col("body")), F.col(pk))
+        text = F.concat(F.lit("{"), F.array_join("texts", ","), F.lit("}"))
+    elif gk:
+        made = _ordered(df, [gk], body, F.struct(*order, body))
+        text = F.concat(F.lit("["), F.array_join("texts", ","), F.lit("]"))
+    elif pk:
+        made, text = df.groupBy(pk).agg(F.min(body).alias("body")), F.col("body")
+    else:
+        same = df.select(F.struct(*order, body.alias("body")).alias("at"), body.alias("body")).groupBy("at").agg(F.min("body").alias("body"), F.count("*").alias("n"))
+        return same.select("at", F.lit(None).cast("string").alias("key"), F.array_join(F.array_repeat("body", F.col("n").cast("int")), ",").alias("entry"))
+    key = gk or pk
+    return made.select(F.col(key).alias("at"), quoted(F.col(key)).alias("key"), text.alias("entry"))
 
 
 def merge_sheets(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def by_json(tables: dict[str, DataFrame], groups: dict[str, str], keys: dict[str, tuple[str | None, str | None]]) -> dict[str, DataFrame]:
-    """A container per JSON group: its tables together, under the keys of the table that bears the group's name."""
+def by_json(tables: dict[str, DataFrame], catalog: Catalog, scope: int) -> dict[str, tuple[DataFrame, str | None, str | None]]:
+    """JSON group -> (its tables together, group key, primary key), with the columns that the scope may see.
+
+    The keys are those of the table that bears the group's name; a group without such a table owns no document. A key
+    that the scope can't see is no key of the container (``hidden_keys`` reports it).
+    """
     found: dict[str, list[DataFrame]] = {}
     for name, df in tables.items():
-        found.setdefault(groups.get(name, name), []).append(df)
-    return {g: container(merge_sheets(parts), *keys.get(g, (None, None))) for g, parts in found.items() if g in tables}
+        found.setdefault(catalog.groups.get(name, name), []).append(scope_project(df, catalog, name, scope))
+    made = {}
+    for group, parts in found.items():
+        if group in tables:
+            merged, marks = merge_sheets(parts), {c: declared(t) for c, (t, _) in catalog.columns[group].items()}
+            seen = lambda mark: next((c for c, d in marks.items() if getattr(d, mark) and c in merged.columns), None)  # noqa: B023, E731
+            made[group] = merged, seen("group"), seen("primary")
+    return made
+
 
+def hidden_keys(catalog: Catalog, scope: int) -> list[tuple[str, str]]:
+    """(table, key) of keys out of a scope that sees other columns of the table."""
+    seen = {t for t, columns in catalog.columns.items() if any(s & scope for _, s in columns.values())}
+    return [(t, c) for t in sorted(seen) for c, (kind, s) in catalog.columns[t].items() if not s & scope and (declared(kind).primary or declared(kind).group)]
 
-def by_sheet(df: DataFrame, columns: list[str], sheet: str = "sheet") -> DataFrame:
-    """A list container per sheet."""
-    return to_list(df, columns, [sheet])
+
+def by_sheet(df: DataFrame, columns: list[str], sheet: list[str]) -> DataFrame:
+    """A list container per sheet, or per part of a sheet where ``sheet`` names more columns."""
+    return df.groupBy(*sheet).agg(F.array_sort(F.collect_list(_row(df, columns))).alias("container"))
 
 
 def values_of_json(tables: dict[str, DataFrame], groups: dict[str, str], group: str, column: str) -> DataFrame:
@@ -86,28 +114,60 @@ def write_lines(df: DataFrame, path: str, parts: list[str] = ()) -> None:
     (writer.partitionBy(*parts) if parts else writer).json(path)
 
 
-def write_containers(made: dict[str, DataFrame], scope: str, path: str) -> None:
-    """One JSON document per group under scope and name; the target of the scope is replaced."""
-    rows = []
-    for name, df in made.items():
-        gk = next((c for c in df.columns if c != "container"), None)
-        whole = nest(df, gk) if gk else df
-        body = F.to_json("container", JSON) if not gk else F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries("container"), lambda e: F.concat(F.lit('"'), e["key"].cast("string"), F.lit('":'), e["value"])), ","), F.lit("}"))
-        rows.append(whole.select(F.lit(name).alias("json"), body.alias("value")))
-    reduce(DataFrame.union, rows).write.mode("overwrite").partitionBy("json").text(f"{path}/{scope}")
+def write_document(made: DataFrame, path: str, keyed: bool) -> None:
+    """One JSON document of ``entries`` as a folder of text files, whose contents in order of names are the document.
+
+    An entry is a line. The files are ranges of one sort, so a document of any size is written by many tasks.
+    """
+    begin, end = "{}" if keyed else "[]"
+    if made.isEmpty():
+        made.sparkSession.range(0, 1, 1, 1).select(F.lit(begin + end)).write.mode("overwrite").text(path)
+        return
+    first = F.broadcast(made.agg(F.min("at").alias("first")))  # one row
+    marked = made.join(first, F.col("at").eqNullSafe(F.col("first")), "left").withColumn("lead", F.when(F.col("first").isNotNull(), F.lit(begin)).otherwise(F.lit(",")))
+    lines = marked.select(F.lit(0).alias("rank"), "at", F.concat("lead", F.concat("key", F.lit(":")) if keyed else F.lit(""), F.col("entry")).alias("value"))
+    last = made.agg(F.max("at").alias("at")).select(F.lit(1).alias("rank"), "at", F.lit(end).alias("value"))
+    lines.union(last).orderBy("rank", "at").select("value").write.mode("overwrite").text(path)
 
 
-def read_container(spark, path: str, schema: str, keyed: bool = False) -> DataFrame:
-    """Read an emitted document back: an object gives its key as a column, an array gives rows."""
-    docs = spark.read.text(path, wholetext=True)
-    kind = f"map<string,struct<{schema}>>" if keyed else f"array<struct<{schema}>>"
-    value = F.from_json("value", kind, {"timestampNTZFormat": JSON["timestampNTZFormat"]})
+def write_containers(made: dict[str, tuple[DataFrame, str | None, str | None]], scope: str, path: str, order: list[str] = ()) -> None:
+    """A JSON document per group (rows, group key, primary key) under ``path``/scope/json=name; what was there is replaced."""
+    for name, (df, gk, pk) in made.items():
+        write_document(entries(df, gk, pk, order=[c for c in order if c in df.columns]), f"{path}/{scope}/json={name}", bool(gk or pk))
+
+
+def read_container(spark: SparkSession, path: str, schema: str, keyed: bool = False) -> DataFrame:
+    """Read an emitted document back, a line at a time: an object gives its key as ``container_key``, an array gives rows."""
+    lines = spark.read.text(path).where(~F.col("value").isin("{}", "[]", "}", "]")).select(F.substr("value", F.lit(2)).alias("value"))
+    how = {"timestampNTZFormat": JSON["timestampNTZFormat"]}
     if keyed:
-        return docs.select(F.explode(value).alias("container_key", "__row")).select("container_key", "__row.*")
-    return docs.select(F.explode(value).alias("__row")).select("__row.*")
+        parsed = F.from_json(F.concat(F.lit("{"), F.col("value"), F.lit("}")), f"map<string,struct<{schema}>>", how)
+        return lines.select(F.explode(parsed).alias("container_key", "row")).select("container_key", "row.*")
+    return lines.select(F.explode(F.from_json(F.concat(F.lit("["), F.col("value"), F.lit("]")), f"array<struct<{schema}>>", how)).alias("row")).select("row.*")
+
+
+def write_crc(spark: SparkSession, path: str, target: str) -> None:
+    """The document {file: crc32} of the files under ``path``, which is one scope."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
+    name = F.regexp_extract("path", "([^/]+/[^/]+)$", 1)
+    write_document(files.select(name.alias("at"), quoted(name).alias("key"), F.crc32("content").cast("string").alias("entry")), target, True)
+
+
+def raw_dump(rows: DataFrame) -> DataFrame:
+    """(file, sheet, part, row, json) of uncast rows (file, sheet, row, name, bold, value): a JSON object per row and part.
+
+    Bold columns are the part ``bold``, the others ``normal``. An object has all columns of its part, null where a row has
+    no cell, so two dumps differ only where cells do.
+    """
+    own = ["file", "sheet", "part"]
+    marked = rows.withColumn("part", F.when(F.col("bold"), "bold").otherwise("normal"))
+    names = marked.groupBy(*own).agg(F.array_sort(F.collect_set("name")).alias("names"))
+    held = marked.groupBy(*own, "row").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("held"))
+    whole = F.map_from_arrays("names", F.transform("names", lambda n: F.try_element_at("held", n)))
+    return held.join(names, own).select(*own, "row", F.to_json(whole, JSON).alias("json"))
 
 
-def write_crc(spark, path: str, target: str) -> None:
-    """{file: crc32} of the documents under ``path``, as JSON lines."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files.select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("file"), F.crc32("content").alias("crc32")).write.mode("overwrite").json(target)
+def write_raw_dump(rows: DataFrame, path: str) -> None:
+    """The raw dump as text under file, sheet and part, rows in order; ranges of rows are written by different tasks."""
+    own = ["file", "sheet", "part", "row"]
+    raw_dump(rows).repartitionByRange(*own).sortWithinPartitions(*own).drop("row").withColumnRenamed("json", "value").write.mode("overwrite").partitionBy("file", "sheet", "part").text(path)

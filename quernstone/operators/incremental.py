@@ -41,7 +41,7 @@ def write_snapshot(df: DataFrame, path: str) -> None:
 
 def refresh(spark: SparkSession, path: str, rows: DataFrame, work: DataFrame) -> DataFrame:
     """Recompute the snapshot of the files on the work list; the rest is read as it is."""
-    write_snapshot(rows.join(F.broadcast(work), "file", "left_semi"), path)
+    write_snapshot(rows.join(work, "file", "left_semi"), path)
     return spark.read.parquet(path)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.functions.casts import fresh
+
 
 def split_parent(df: DataFrame, bold: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows of the bold columns that hold any of them, and rows of the others."""
@@ -27,13 +29,23 @@ def parent_of(df: DataFrame, key: Column, by: list[str], order: list, name: str
     return df.withColumn(name, strict_backward_fill(key, by, order))
 
 
+def orphans(df: DataFrame, bold: list[str], rest: list[str], parent: str = "parent") -> DataFrame:
+    """Violations for rows with cells of a child but no parent above them, in sheets that have parent columns."""
+    from quernstone.operators.constraints import violations
+
+    child = F.coalesce(*[F.col(f"`{c}`").cast("string") for c in rest]).isNotNull()
+    lone = df.where(child & F.col(parent).isNull()) if bold else df.where("false")
+    return violations(lone, "orphan row", file=F.col("file"), sheet=F.col("sheet"), row=F.col("row"))
+
+
 def parent_of_ranged(df: DataFrame, key: str, by: list[str], order: str, width: int, name: str = "parent") -> DataFrame:
     """The same for sheets too large for one sort: ranges of ``width`` order values are filled on their own, and the last
     key before each range comes from a second pass over one row per range. ``order`` is a whole number column."""
-    ranged = df.withColumn("__range", F.floor(F.col(order) / width))
-    inner = Window.partitionBy(*by, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    ends = ranged.groupBy(*by, "__range").agg(F.max_by(key, F.when(F.col(key).isNotNull(), F.col(order))).alias("__end"))
-    outer = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.withColumn("__carried", F.last("__end", ignorenulls=True).over(outer)).drop("__end")
-    filled = ranged.withColumn("__own", F.last(key, ignorenulls=True).over(inner)).join(carried, [*by, "__range"])
-    return filled.withColumn(name, F.coalesce("__own", "__carried")).drop("__own", "__carried", "__range")
+    part, own, carry, end = fresh(df.columns, "__range", "__own", "__carried", "__end")
+    ranged = df.withColumn(part, F.floor(F.col(order) / width))
+    inner = Window.partitionBy(*by, part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ranged.groupBy(*by, part).agg(F.max_by(key, F.when(F.col(key).isNotNull(), F.col(order))).alias(end))
+    outer = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn(carry, F.last(end, ignorenulls=True).over(outer)).drop(end)
+    filled = ranged.withColumn(own, F.last(key, ignorenulls=True).over(inner)).join(carried, [*by, part])
+    return filled.withColumn(name, F.coalesce(own, carry)).drop(own, carry, part)

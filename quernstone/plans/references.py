@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions import casts
 from quernstone.operators import constraints as rules
-from quernstone.operators import containers, lookups, parents
+from quernstone.operators import cells, containers, lookups, parents, references
+from quernstone.operators.catalog import Catalog, cast_declared
 from quernstone.plans.registry import query
+from quernstone.sources import prototypes
 
 
 @query("select l_orderkey, l_linenumber, l_suppkey from lineitem where l_orderkey is not null and l_orderkey not in (select o_orderkey from orders where o_orderkey % 7 <> 0)")
@@ -55,16 +58,18 @@ def parent_asof_ranged(t):
 def parent_split(t):
     events = t("events").select(F.lit("f").alias("file"), F.col("user_id").alias("sheet"), F.col("event_id").alias("row"), F.when(F.col("event_type") == "signup", F.col("event_id")).alias("key"), "value")
     heads, rest = parents.split_parent(events, ["key"])
-    own = rest.groupBy("sheet").agg(F.count("*").alias("rows"), F.max("row").alias("max_row"))
-    firsts = heads.groupBy("sheet").agg(F.count("*").alias("parents"))
+    own = rest.groupBy("file", "sheet").agg(F.count("*").alias("rows")).join(cells.max_row(rest), ["file", "sheet"]).drop("file")
+    firsts = cells.parent_rows(heads.withColumn("bold", F.lit(True))).groupBy("sheet").agg(F.count("*").alias("parents"))
     cut = parents.row_slice(rest, 100, 5000).groupBy("sheet").agg(F.count("*").alias("sliced"))
     made = own.join(firsts, "sheet", "left").join(cut, "sheet", "left").na.fill(0, ["parents", "sliced"])
     return made.select(F.col("sheet").alias("user_id"), "rows", "parents", "max_row", "sliced")
 
 
-@query("select c_custkey as missing from customer except select o_custkey from orders where o_orderkey % 5 = 0")
+@query("select c_custkey as missing from customer except select case when o_orderkey % 5 = 0 then o_custkey else -1 - o_custkey end from orders")
 def coverage_missing(t):
-    return rules.coverage(t("orders").where("o_orderkey % 5 = 0"), "o_custkey", t("customer"), "c_custkey")
+    """Four of five orders name a customer that isn't there."""
+    spoilt = t("orders").select(F.when(F.col("o_orderkey") % 5 == 0, F.col("o_custkey")).otherwise(-1 - F.col("o_custkey")).alias("o_custkey"))
+    return rules.coverage(spoilt, "o_custkey", t("customer"), "c_custkey")
 
 
 @query("select event_id, event_type as token from events where event_type not in ('click', 'purchase', 'signup', 'view')")
@@ -88,7 +93,7 @@ def const_lookup(t):
 @query("select p_partkey from part where not regexp_full_match(case when p_partkey % 3 = 0 then replace(p_name, ' ', '_') when p_partkey % 3 = 1 then p_name else p_partkey || 'x' end, '[a-zA-Z_$][a-zA-Z_$0-9]*')")
 def name_rule(t):
     name = F.when(F.col("p_partkey") % 3 == 0, F.replace("p_name", F.lit(" "), F.lit("_"))).when(F.col("p_partkey") % 3 == 1, F.col("p_name")).otherwise(F.concat(F.col("p_partkey").cast("string"), F.lit("x")))
-    return t("part").where(~valid_name(name)).select("p_partkey")
+    return rules.invalid_names(t("part").select("p_partkey", name.alias("name")), "name").select("p_partkey")
 
 
 @query("select event_id, user_id, c_name, case when c_custkey is null then 'no such key' end as lookup_error from events left join customer on user_id = c_custkey and c_custkey % 3 <> 0")
@@ -107,17 +112,94 @@ def nth_row(t):
     return lookups.nth(t("conversations"), ["conv_id"], ["turn"], 2).select("conv_id", "turn", "role")
 
 
-@query("select * from (select s_nationkey as nation, 'supplier' as side from supplier where s_acctbal < 0 union all select c_nationkey, 'customer' from customer where c_acctbal < 0)")
+@query("select * from (select s_nationkey as nation, 'supplier' as side from supplier union all select c_nationkey, 'customer' from customer)")
 def json_group_union(t):
-    sides = {n: t(n).where(f"{n[0]}_acctbal < 0").select(F.col(f"{n[0]}_nationkey").alias("nation"), F.lit(n).alias("side")) for n in ("supplier", "customer")}
+    sides = {n: t(n).select(F.col(f"{n[0]}_nationkey").alias("nation"), F.lit(n).alias("side")) for n in ("supplier", "customer")}
     return containers.merge_sheets([*sides.values()])
 
 
-@query("select n_nationkey from nation where n_nationkey not in (select s_nationkey from supplier where s_suppkey % 4 = 0 union all select c_nationkey from customer where c_custkey % 97 = 0)")
+@query("select n_nationkey from nation where n_nationkey not in (select case when s_suppkey % 4 = 0 then s_nationkey else -1 end from supplier union all select case when c_custkey % 97 = 0 then c_nationkey else -1 end from customer)")
 def json_group_fk(t):
-    tables = {"supplier": t("supplier").where("s_suppkey % 4 = 0").select(F.col("s_nationkey").alias("nation")), "customer": t("customer").where("c_custkey % 97 = 0").select(F.col("c_nationkey").alias("nation"))}
-    held = containers.values_of_json(tables, {"supplier": "party", "customer": "party"}, "party", "nation")
-    return lookups.fk_check(t("nation"), "n_nationkey", held, "nation").select("n_nationkey")
+    """Most parties name a nation that isn't there."""
+    held = lambda n, key, kept: t(n).select(F.when(F.col(key) % kept == 0, F.col(f"{n[0]}_nationkey")).otherwise(-1).alias("nation"))
+    tables = {"supplier": held("supplier", "s_suppkey", 4), "customer": held("customer", "c_custkey", 97)}
+    values = containers.values_of_json(tables, {"supplier": "party", "customer": "party"}, "party", "nation")
+    return lookups.fk_check(t("nation"), "n_nationkey", values, "nation").select("n_nationkey")
+
+
+@query("""with c as (select o_orderkey as k, case when o_orderkey % 11 = 0 then o_custkey + 10000000 else o_custkey end as cust from orders)
+    select k as row, 'cust' as "column", cust::varchar as value from c where cust not in (select c_custkey from customer)
+    union all select k, 'tags', (k % 30)::varchar from c where k % 30 not in (select n_nationkey from nation) union all select k, 'tags', (k % 27)::varchar from c where k % 27 not in (select n_nationkey from nation)
+    union all select k, 'weights', (k % 26)::varchar from c where k % 26 not in (select n_nationkey from nation) union all select k, 'reward', (k % 28)::varchar from c where k % 28 not in (select n_nationkey from nation)""")
+def reference_values(t):
+    """References in a cell, in a list, as the keys of a map and as the argument of a call."""
+    k = F.col("o_orderkey")
+    text = lambda n: (k % n).cast("string")
+    catalog = Catalog(
+        {"orders": {"cust": ("$customer", 3), "tags": ("[$nation]", 3), "weights": ("{$nation.id:int}", 3), "reward": ("dsl", 3)}, "customer": {"id": ("*long", 3)}, "nation": {"id": ("*int", 3)}},
+        calls={"give": [("to", "$nation", False, None), ("count", "uint", True, "1")]},
+    )
+    cust = F.when(k % 11 == 0, F.col("o_custkey") + 10000000).otherwise(F.col("o_custkey")).cast("string")
+    cells = t("orders").select(k.alias("row"), cust.alias("cust"), F.concat(text(30), F.lit(" & "), text(27)).alias("tags"), F.concat(text(26), F.lit(":1")).alias("weights"), F.concat(F.lit("give("), text(28), F.lit(")")).alias("reward"))
+    tables = {"orders": cast_declared(cells, catalog, "orders"), "customer": t("customer").select(F.col("c_custkey").alias("id")), "nation": t("nation").select(F.col("n_nationkey").alias("id"))}
+    checked = {"orders": tables["orders"]}
+    leaves = references.reference_leaves(checked, Catalog({**catalog.columns}, calls=catalog.calls), ["row"])
+    found = [lost.join(references.group_values(tables, catalog, *target), F.col("v") == F.col("held"), "left_anti") for target, lost in leaves.items()]
+    return containers.merge_sheets(found).select("row", "column", F.col("v").alias("value"))
+
+
+@query("""select 'lineitem' as "table", 'flag' as "column", m as value from (select unnest(['A', 'N', 'X', 'Y']) as m except select case when l_quantity > 10 then l_returnflag end from lineitem)
+    union all select 'lineitem', 'ship', null union all select 'orders', 'nation', n_nationkey::varchar from nation where n_nationkey not in (select o_custkey % 20 from orders)""")
+def coverage_enum(t):
+    """Members of an enum and keys of a table that a strong column lacks, and a strong column that refers to no key."""
+    catalog = Catalog(
+        {"lineitem": {"flag": ("!FLAG?", 3), "ship": ("!$nation.name", 3)}, "orders": {"nation": ("!$nation", 3)}, "nation": {"id": ("*int", 3), "name": ("string", 3)}},
+        {"FLAG": {"A": 1, "N": 2, "X": 4, "Y": 8, "R": 16}},
+    )
+    flags = t("lineitem").select(F.when(F.col("l_quantity") > 10, F.col("l_returnflag")).alias("flag"), F.lit("x").alias("ship"))
+    small = Catalog(catalog.columns, {"FLAG": {"A": 1, "N": 2, "X": 4, "Y": 8}})
+    tables = {"lineitem": cast_declared(flags, Catalog({"lineitem": {"flag": ("FLAG?", 3)}}, catalog.enums), "lineitem"), "orders": t("orders").select((F.col("o_custkey") % 20).alias("nation")), "nation": t("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))}
+    return references.coverage_faults(tables, small).select("table", "column", "value")
+
+
+@query(f"select event_id as row from (select event_id, event_type, {_SIGNUP} as parent from events) where parent is null and event_type <> 'signup'")
+def orphan_rows(t):
+    """Events before the first signup of their user have no parent."""
+    found = _events_with_parent(t).select(F.lit("f").alias("file"), F.col("user_id").cast("string").alias("sheet"), F.col("event_id").alias("row"), F.when(F.col("event_type") != "signup", F.col("event_type")).alias("child"), "parent")
+    return parents.orphans(found, ["key"], ["child"]).select("row")
+
+
+@query("""select 'E' || (p_partkey // 3) as enum, ['a', 'b', 'c'][p_partkey % 3 + 1] as member, case p_partkey % 3 when 0 then b when 1 then b | 256 else ((b | 256) & ~b) | 1 end as value, null::varchar as fault from (select p_partkey, p_partkey - p_partkey % 3 as b from part)""")
+def enum_values(t):
+    """Enum sheets of three members: a hexadecimal number, one that names it, one that names both and inverts."""
+    k = F.col("p_partkey") % 3
+    text = F.when(k == 0, F.concat(F.lit("0x"), F.hex("p_partkey"))).when(k == 1, F.lit("a | 0x100")).otherwise("(b & ~a) | 1")
+    name = F.when(k == 0, "a").when(k == 1, "b").otherwise("c")
+    sheets = t("part").select(F.concat(F.lit("E"), F.floor(F.col("p_partkey") / 3).cast("string")).alias("sheet"), k.cast("int").alias("row"), F.posexplode(F.array(name, text)).alias("col", "value"))
+    return lookups.enum_values(cells.read_enums(sheets.select(F.lit("enum.xlsx").alias("file"), "sheet", "row", "col", F.lit("string").alias("kind"), "value", F.lit(False).alias("bold"))))
+
+
+@query("""select c_custkey, case c_custkey % 7 when 4 then c_nationkey when 5 then 7 when 6 then 7 end::integer as value,
+    case c_custkey % 7 when 0 then 'unknown const' when 1 then 'unknown const table' when 2 then 'const of another type' when 3 then 'not a int32' end as error from customer""")
+def cast_const(t):
+    """Cells that are numbers or name constants: of the table, through another one, of another type, or none."""
+    consts = {("Fee", "BASE"): ("int", "7"), ("Fee", "SAME"): ("int32", "Const:Fee:BASE"), ("Fee", "NAME"): ("string", "x")}
+    k = F.col("c_custkey") % 7
+    text = F.element_at(F.array(F.lit("Const:Fee:NONE"), F.lit("Const:Nope:BASE"), F.lit("Const:Fee:NAME"), F.lit("much"), F.col("c_nationkey").cast("string"), F.lit("Const:Fee:BASE"), F.lit("Const:Fee:SAME")), (k + 1).cast("int"))
+    cast = cast_declared(t("customer").select("c_custkey", text.alias("value")), Catalog({"t": {"value": ("int", 3)}}, consts=consts), "t")
+    return cast.select("c_custkey", "value", F.get("errors", F.lit(0))["error"].alias("error"))
+
+
+@query("""select l_orderkey, l_linenumber, case l_linenumber % 5 when 0 then l_partkey || '|1|100.0' when 1 then l_partkey || '|' || l_linenumber || '|2.5' end as bound,
+    case l_linenumber % 5 when 2 then 'count: above uint8' when 3 then 'too few arguments' when 4 then 'unknown header' end as error from lineitem""")
+def cast_call(t):
+    """Calls in cells: defaults filled in, an argument out of its type, too few, unknown."""
+    calls = {"item": [("id", "$part", False, None), ("count", "uint8", True, "1"), ("percent", "double", True, "100.0")]}
+    n, key = F.col("l_linenumber"), F.col("l_partkey").cast("string")
+    text = F.concat(F.when(n % 5 == 4, "nope(").otherwise("item("), F.when(n % 5 == 3, "").otherwise(key), F.when(n % 5 == 1, F.concat(F.lit(", "), n.cast("string"), F.lit(", 2.5"))).when(n % 5 == 2, ", 256").otherwise(""), F.lit(")"))
+    catalog = Catalog({"t": {"c": ("dsl", 3)}, "part": {"id": ("*long", 3)}}, calls=calls)
+    cast = cast_declared(t("lineitem").select("l_orderkey", "l_linenumber", text.alias("c")), catalog, "t")
+    return cast.select("l_orderkey", "l_linenumber", F.array_join("c.Parameters", "|").alias("bound"), F.get("errors", F.lit(0))["error"].alias("error"))
 
 
 @query("""select l_orderkey, l_linenumber, l_returnflag as name, case l_returnflag when 'A' then 1 when 'N' then 2 end as flag_value, case l_returnflag when 'R' then 'unknown member' end as enum_error from lineitem""")
@@ -135,8 +217,8 @@ def _calls(t) -> DataFrame:
     text = F.concat(F.lit("item("), key, F.when(n % 3 == 0, "").when(n % 3 == 1, F.concat(F.lit(", "), n.cast("string"))).otherwise(F.concat(F.lit(", "), n.cast("string"), F.lit(", 5, 6"))), F.lit(")"))
     found = casts.cast_columns(t("lineitem").select("l_orderkey", "l_linenumber", text.alias("text")), {"c": (casts.to_call, F.col("text"))})
     calls = found.select("l_orderkey", "l_linenumber", "c.value.Type", "c.value.Parameters")
-    params = [(0, "id", "$part", False, None), (1, "count", "uint", True, "1"), (2, "percent", "double", True, "100.0")]
-    one = t("region").where("r_regionkey = 0").select(F.explode(F.array(*[F.struct(F.lit("item").alias("header"), *[F.lit(v).cast(k).alias(n) for n, k, v in zip(("pos", "name", "type", "has_default", "default"), ("int", "string", "string", "boolean", "string"), p, strict=True)]) for p in params])).alias("p")).select("p.*")
+    params = [{"name": "id", "type": "$part"}, {"name": "count", "type": "uint", "default": 1}, {"name": "percent", "type": "double", "default": 100.0}]
+    one = prototypes.read_prototypes(t("region").where("r_regionkey = 0").select(F.lit(json.dumps({"item": params})).alias("value")))
     return lookups.bind_calls(calls, lookups.call_catalog(one))
 
 
@@ -159,12 +241,13 @@ def dsl_typed_view(t):
 @query("""select 'duplicate key' as rule, 'lineitem' as "table", count(*) as n from (select 1 from lineitem group by l_orderkey, l_linenumber having count(*) > 1)
     union all select 'unknown reference', 'lineitem', count(*) from lineitem where l_suppkey not in (select s_suppkey from supplier where s_suppkey % 9 <> 0)
     union all select 'unknown reference', 'orders', count(*) from orders where o_custkey not in (select c_custkey from customer where c_custkey % 10 <> 0)
-    union all select 'not covered', 'supplier', count(*) from (select n_nationkey from nation except select s_nationkey from supplier where s_suppkey % 6 = 0)""")
+    union all select 'not covered', 'supplier', count(*) from (select n_nationkey from nation except select case when s_suppkey % 6 = 0 then s_nationkey else -1 end from supplier)""")
 def violation_report(t):
     twice = rules.duplicates(t("lineitem"), ["l_orderkey", "l_linenumber"])
     lost = lookups.fk_check(t("lineitem"), "l_suppkey", t("supplier").where("s_suppkey % 9 <> 0"), "s_suppkey")
     strays = lookups.fk_check(t("orders"), "o_custkey", t("customer").where("c_custkey % 10 <> 0"), "c_custkey")
-    gaps = rules.coverage(t("supplier").where("s_suppkey % 6 = 0"), "s_nationkey", t("nation"), "n_nationkey")
+    spoilt = t("supplier").select(F.when(F.col("s_suppkey") % 6 == 0, F.col("s_nationkey")).otherwise(-1).alias("s_nationkey"))
+    gaps = rules.coverage(spoilt, "s_nationkey", t("nation"), "n_nationkey")
     found = [
         rules.violations(twice, "duplicate key", table="lineitem", value=F.concat_ws(",", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))),
         rules.violations(lost, "unknown reference", table="lineitem", column="l_suppkey", value=F.col("l_suppkey").cast("string")),

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.operators import catalog, cells, containers, incremental
+from quernstone.operators import catalog, cells, containers, hooks, incremental
 from quernstone.operators.catalog import CLIENT, COMMON, SERVER, Catalog
 from quernstone.operators.constraints import leaves
 from quernstone.plans.registry import query
+from quernstone.sources import prototypes
 
 
 @query("""select user_id, cast(max(event_id) filter (event_type = 'click') as varchar) as click, cast(max(event_id) filter (event_type = 'purchase') as varchar) as purchase,
@@ -70,7 +71,7 @@ def merge_lookup_tables(t):
     each = t("customer").groupBy(sheet.alias("sheet"), name.alias("name")).agg(F.count("*").cast("string").alias("value"), F.min("c_custkey").cast("int").alias("row"))
     made = each.select("sheet", "row", F.posexplode(F.array("name", F.lit("Server"), F.lit("int"), "value")).alias("col", "value")).select(F.lit("c.xlsx").alias("file"), "sheet", "row", "col", F.lit("string").alias("kind"), "value", F.lit(False).alias("bold"))
     consts = cells.read_consts(made)
-    return consts.groupBy("table", "name").agg(F.first("value").alias("value"), F.count("*").alias("n"))
+    return cells.const_order(consts).groupBy("table", "name").agg(F.first("value").alias("value"), F.count("*").alias("n"))
 
 
 @query("""select o_custkey, '[' || string_agg('{"key":' || o_orderkey || ',"status":"' || o_orderstatus || '"}', ',' order by o_orderkey) || ']' as container, count(*)::integer as size from orders group by o_custkey""")
@@ -87,26 +88,64 @@ def container_grouped_keyed(t):
     return made.select("c_nationkey", containers.text(F.col("container")).alias("container"))
 
 
-@query("""select 'list' as shape, '[' || string_agg('{"id":' || s_suppkey || ',"nation":' || s_nationkey || '}', ',' order by s_suppkey) || ']' as container from supplier
-    union all select 'keyed', '{' || string_agg('"' || s_suppkey || '":{"id":' || s_suppkey || ',"nation":' || s_nationkey || '}', ',' order by s_suppkey) || '}' from supplier""")
+@query("""select 'list' as shape, null::varchar as key, '{"id":' || s_suppkey || ',"nation":' || s_nationkey || '}' as entry from supplier
+    union all select 'keyed', '"' || s_suppkey || '"', '{"id":' || s_suppkey || ',"nation":' || s_nationkey || '}' from supplier""")
 def container_list_keyed(t):
     rows = t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"))
-    shapes = {"list": containers.container(rows, None, None), "keyed": containers.container(rows, None, "id")}
-    made = [df.select(F.lit(n).alias("shape"), containers.text(F.col("container")).alias("container")) for n, df in shapes.items()]
+    shapes = {"list": containers.entries(rows, None, None, order=["id"]), "keyed": containers.entries(rows, None, "id")}
+    made = [df.select(F.lit(n).alias("shape"), "key", "entry") for n, df in shapes.items()]
     return made[0].union(made[1])
 
 
-@query("""select o_orderstatus as sheet, '[' || string_agg('{"key":' || o_orderkey || '}', ',' order by o_orderkey) || ']' as container from orders where o_custkey % 50 = 0 group by o_orderstatus""")
+@query("""select o_orderstatus as sheet, o_custkey as part, '[' || string_agg('{"key":' || o_orderkey || '}', ',' order by o_orderkey) || ']' as container from orders group by all""")
 def container_by_sheet(t):
-    rows = t("orders").where("o_custkey % 50 = 0").select(F.col("o_orderstatus").alias("sheet"), F.col("o_orderkey").alias("key"))
-    return containers.by_sheet(rows, ["key"]).select("sheet", containers.text(F.col("container")).alias("container"))
+    rows = t("orders").select(F.col("o_orderstatus").alias("sheet"), F.col("o_custkey").alias("part"), F.col("o_orderkey").alias("key"))
+    return containers.by_sheet(rows, ["key"], ["sheet", "part"]).select("sheet", "part", containers.text(F.col("container")).alias("container"))
 
 
-@query("""select side as json, nation, string_agg(id::varchar, ',' order by id) as ids from (select 'party' as side, s_nationkey as nation, s_suppkey as id from supplier union all select 'party', c_nationkey, 1000000 + c_custkey from customer) group by all""")
+_PARTY = "(select s_nationkey as nation, s_suppkey as id from supplier union all select c_nationkey, 1000000 + c_custkey from customer)"
+
+
+@query(f"""select 'party' as json, nation, string_agg(id::varchar, ',' order by id) as ids, 2::integer as columns from {_PARTY} group by all""")
 def container_by_json(t):
-    tables = {"party": t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation")), "client": t("customer").select((F.col("c_custkey") + 1000000).alias("id"), F.col("c_nationkey").alias("nation"))}
-    made = containers.by_json(tables, {"client": "party"}, {"party": ("nation", None)})["party"]
-    return made.select(F.lit("party").alias("json"), "nation", F.array_join(F.transform("container", lambda r: r["id"].cast("string")), ",").alias("ids"))
+    """Two tables of one JSON group; the balance is of the other scope."""
+    own = {"id": ("*long", COMMON), "nation": ("(int)", COMMON), "balance": ("double", SERVER)}
+    tables = {
+        "party": t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance")),
+        "client": t("customer").select((F.col("c_custkey") + 1000000).alias("id"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance")),
+    }
+    merged, gk, _ = containers.by_json(tables, Catalog({"party": own, "client": own}, groups={"client": "party"}), CLIENT)["party"]
+    made = containers.to_grouped(merged, gk)
+    return made.select(F.lit("party").alias("json"), "nation", F.array_join(F.transform("container", lambda r: r["id"].cast("string")), ",").alias("ids"), F.lit(len(merged.columns)).alias("columns"))
+
+
+@query(f"""select '"' || nation || '"' as key, '{{' || string_agg('"' || id || '":{{"id":' || id || ',"nation":' || nation || '}}', ',' order by id) || '}}' as entry from {_PARTY} group by nation""")
+def document_entries(t):
+    """The entries of a document with both keys."""
+    rows = t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation")).union(t("customer").select(F.col("c_custkey") + 1000000, "c_nationkey"))
+    return containers.entries(rows, "nation", "id").select("key", "entry")
+
+
+@query("""select 'Party.supplier' as sheet, 'normal' as part, (s_suppkey * 2 + 10)::integer as row, '{"s_name":"' || s_name || '","s_nationkey":"' || s_nationkey || '","s_suppkey":"' || s_suppkey || '"}' as json from supplier
+    union all select 'Party.customer', 'normal', (c_custkey * 2 + 10)::integer, '{"c_custkey":"' || c_custkey || '","c_name":"' || c_name || '","c_nationkey":"' || c_nationkey || '"}' from customer""")
+def raw_dump_rows(t):
+    found = _party_cells(t)
+    return containers.raw_dump(cells.read_rows(found, cells.read_headers(found))).select("sheet", "part", "row", "json")
+
+
+@query("select n_nationkey, upper(n_name) as n_name, n_nationkey % 2 = 0 as even from nation")
+def hook_build(t):
+    """A user's row builder, then a user's decoder of strings."""
+    made = hooks.build(t("nation").select("n_nationkey", "n_name"), lambda df: df.withColumn("even", F.col("n_nationkey") % 2 == 0))
+    return hooks.decoding(made, F.upper)
+
+
+@query("""select 'h' || p_size as header, 0 as pos, 'id' as name, '$part' as type, false as has_default, null::varchar as "default" from part union select 'h' || p_size, 1, 'count', 'uint', true, p_size::varchar from part union select 'h' || p_size, 2, 'max', 'int?', true, null from part""")
+def call_prototypes(t):
+    """A document of prototypes for every size of part; a default of null still makes a parameter optional."""
+    size = F.col("p_size").cast("string")
+    text = F.concat(F.lit('{"h'), size, F.lit('": [{"name": "id", "type": "$part"}, {"name": "count", "type": "uint", "default": '), size, F.lit('}, {"name": "max", "type": "int?", "default": null}]}'))
+    return prototypes.read_prototypes(t("part").select(text.alias("value")).distinct()).drop("ordinal")
 
 
 @query("""select vec_id, part, count(*) as n, sum(case when x > 0 then 1 else 0 end)::bigint as positive from (select vec_id, 'item' as part, unnest(embedding) as x from embeddings) group by all

@@ -3,12 +3,14 @@
 import io
 import json
 import zipfile
+import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from quernstone.functions.cells import fingerprint
-from quernstone.operators import cells, constraints, containers, hooks, incremental, lookups, parents
+from quernstone.operators import cells, constraints, containers, hooks, incremental, lookups, parents, references
 from quernstone.operators.catalog import Catalog, cast_declared, declared, inheritance_levels, parts_of, root_types
 from quernstone.sources import prototypes, workbooks
 
@@ -166,19 +168,83 @@ def test_prototypes_and_calls(spark):
     assert got == {("item", 1): (["7", "1", None], None), ("item", 0): (None, "too few arguments"), ("item", 4): (None, "too many arguments"), ("nope", 1): (None, "unknown header")}
 
 
+def document(path):
+    """The text of a document, from its files in order."""
+    return "".join(f.read_text() for f in sorted(Path(path).glob("part-*.txt")))
+
+
 def test_containers_round_trip(spark, tmp_path):
-    df = spark.createDataFrame([(1, "a", None), (2, "b", "x")], "id long, g string, note string")
-    made = {"keyed": containers.container(df, None, "id"), "listed": containers.container(df, None, None), "grouped": containers.container(df, "g", "id")}
-    containers.write_containers(made, "server", str(tmp_path))
-    back = containers.read_container(spark, f"{tmp_path}/server/json=keyed", "id long, g string, note string", keyed=True)
-    assert sorted(tuple(r) for r in back.collect()) == [("1", 1, "a", None), ("2", 2, "b", "x")]
-    assert sorted(tuple(r) for r in containers.read_container(spark, f"{tmp_path}/server/json=listed", "id long, g string, note string").collect()) == [(1, "a", None), (2, "b", "x")]
-    text = spark.read.text(f"{tmp_path}/server/json=grouped", wholetext=True).first().value
-    assert json.loads(text) == {"a": {"1": {"id": 1, "g": "a", "note": None}}, "b": {"2": {"id": 2, "g": "b", "note": "x"}}}
+    rows = [(1, 'a"b', None), (2, "c\\d", "x"), (3, "c\\d", "\n"), (10, "é", "y")]
+    df = spark.createDataFrame(rows, "id long, g string, note string").repartition(3)
+    made = {"keyed": (df, None, "id"), "listed": (df, None, None), "grouped": (df, "g", None), "both": (df, "g", "id"), "byname": (df, None, "g"), "none": (df.where("false"), None, "id")}
+    containers.write_containers(made, "server", str(tmp_path), order=["id"])
+    row = lambda r: dict(zip(("id", "g", "note"), r, strict=True))
+    got = {n: json.loads(document(f"{tmp_path}/server/json={n}")) for n in made}
+    assert got["keyed"] == {str(r[0]): row(r) for r in rows} and got["listed"] == [row(r) for r in rows] and got["none"] == {}
+    assert [*got["keyed"]] == ["1", "2", "3", "10"]
+    groups = {g: [row(r) for r in rows if r[1] == g] for g in dict.fromkeys(r[1] for r in rows)}
+    assert got["grouped"] == groups and got["both"] == {g: {str(r["id"]): r for r in rs} for g, rs in groups.items()}
+    assert got["byname"]["c\\d"]["id"] == 2
+    schema = "id long, g string, note string"
+    back = containers.read_container(spark, f"{tmp_path}/server/json=keyed", schema, keyed=True)
+    assert sorted(tuple(r) for r in back.collect()) == sorted((str(r[0]), *r) for r in rows)
+    assert sorted(tuple(r) for r in containers.read_container(spark, f"{tmp_path}/server/json=listed", schema).collect()) == rows
+    assert containers.read_container(spark, f"{tmp_path}/server/json=none", schema, keyed=True).count() == 0
     containers.write_crc(spark, f"{tmp_path}/server", f"{tmp_path}/crc")
-    assert spark.read.json(f"{tmp_path}/crc").where("crc32 > 0").count() >= 3
+    crc = json.loads(document(f"{tmp_path}/crc"))
+    files = {f"{f.parent.name}/{f.name}": zlib.crc32(f.read_bytes()) for f in tmp_path.glob("server/*/part-*.txt") if f.stat().st_size}
+    assert crc == files and len(files) >= 6
     containers.write_lines(df, f"{tmp_path}/lines", ["g"])
-    assert spark.read.json(f"{tmp_path}/lines").count() == 2
+    assert spark.read.json(f"{tmp_path}/lines").count() == 4
+    repeated = df.union(df)
+    assert json.loads("[" + containers.entries(repeated, None, None, order=["id"]).where("at.id = 1").first().entry + "]") == [row(rows[0])] * 2
+
+
+def test_scoped_groups(spark):
+    own = {"id": ("*int", 1), "g": ("(string)", 3), "seen": ("string", 2)}
+    catalog = Catalog({"a": own, "b": own, "c": {"id": ("*int", 3)}}, groups={"b": "a", "c": "lost"})
+    df = spark.createDataFrame([(1, "x", "y")], "id int, g string, seen string")
+    made = containers.by_json({"a": df, "b": df, "c": df.select("id")}, catalog, 2)
+    assert [*made] == ["a"] and made["a"][0].columns == ["g", "seen"] and made["a"][1:] == ("g", None) and made["a"][0].count() == 2
+    assert containers.hidden_keys(catalog, 2) == [("a", "id"), ("b", "id")]
+
+
+def test_raw_dump(spark, tmp_path):
+    rows = spark.createDataFrame([("f", "s", 4, "g", True, "P"), ("f", "s", 5, "b", False, "1"), ("f", "s", 5, "a", False, '"'), ("f", "s", 6, "b", False, "2")], "file string, sheet string, row int, name string, bold boolean, value string")
+    assert sorted(tuple(r)[2:] for r in containers.raw_dump(rows).collect()) == [("bold", 4, '{"g":"P"}'), ("normal", 5, '{"a":"\\"","b":"1"}'), ("normal", 6, '{"a":null,"b":"2"}')]
+    containers.write_raw_dump(rows, f"{tmp_path}/dump")
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/dump/file=f/sheet=s/part=normal").collect()) == ['{"a":"\\"","b":"1"}', '{"a":null,"b":"2"}']
+
+
+def test_references_by_declared_types(spark):
+    catalog = Catalog(
+        {"category": {"id": ("*string", 3)}, "more": {"id": ("*string", 3)}, "item": {"id": ("*int", 3), "category": ("$category?", 3), "tags": ("[$category]", 3), "weights": ("{$category:int}", 3), "give": ("dsl?", 3)}, "quota": {"category": ("!$category", 3), "flag": ("!FLAG", 3), "bad": ("!$item.tags", 3)}},
+        {"FLAG": {"A": 1, "B": 2}}, {"pick": [("what", "$category", False, None), ("many", "[$item]", True, None)]}, groups={"more": "category"},
+    )
+    cast = lambda name, rows, schema: cast_declared(spark.createDataFrame(rows, schema), catalog, name)
+    tables = {
+        "category": cast("category", [("a",), ("b",)], "id string"), "more": cast("more", [("m",)], "id string"),
+        "item": cast("item", [("f1", 4, "1", "a", "a & zz", "b:1", "pick(m)"), ("f2", 5, "2", "x", "", "y:2 & a:1", "pick(w, 1 & 9)"), ("f2", 6, "3", "", "m", "", "")], "file string, row int, id string, category string, tags string, weights string, give string"),
+        "quota": cast("quota", [("a", "A", "q")], "category string, flag string, bad string"),
+    }
+    place = ["file", "row"]
+    own = {n: (df if n == "item" else df.withColumn("file", F.lit(n)).withColumn("row", F.lit(0))) for n, df in tables.items() if n != "quota"}
+    found = references.reference_faults(own, catalog, place)
+    want = {("f1", 4, "tags", "zz"), ("f2", 5, "category", "x"), ("f2", 5, "weights", "y"), ("f2", 5, "give", "w"), ("f2", 5, "give", "9")}
+    assert {(r.file, r.row, r.column, r.value) for r in found.collect()} == want
+    some = references.reference_faults(own, catalog, place, changed=spark.createDataFrame([("f1",)], "file string"))
+    assert {(r.file, r.column) for r in some.collect()} == {("f1", "tags")}
+    gaps = {(r.column, r.value, r.detail) for r in references.coverage_faults(tables, catalog).collect()}
+    assert gaps == {("category", "b", None), ("flag", "B", None), ("bad", None, "must refer to the key")}
+
+
+def test_scopes_and_orphans(spark):
+    headers = spark.createDataFrame([("f", "S.x", 0, "a", "int", "server", False), ("f", "S.x", 1, "b", "int", "sever", False), ("f", "S.x", 2, "c", "int", None, False)], "file string, sheet string, col int, name string, type string, scope string, bold boolean")
+    assert {(r.table, r.column, r.value) for r in cells.scope_faults(headers, ["server", "client", "common"]).collect()} == {("S", "b", "sever"), ("S", "c", None)}
+    wide = spark.createDataFrame([("f", "s", 3, None, "0"), ("f", "s", 4, "P1", None), ("f", "s", 5, None, "1"), ("f", "s", 6, "P2", "2")], "file string, sheet string, row int, grp string, id string")
+    owned = parents.parent_of(wide, F.col("grp"), ["file", "sheet"], ["row"])
+    assert [(r.rule, r.row) for r in parents.orphans(owned, ["grp"], ["id"]).collect()] == [("orphan row", 3)]
+    assert parents.orphans(owned, [], ["id"]).count() == 0
 
 
 def test_incremental(spark, tmp_path):

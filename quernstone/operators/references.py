@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.casts import cast_columns
 from quernstone.operators.catalog import Catalog, declared, parts_of
+from quernstone.operators.checkpoints import cut
 from quernstone.operators.constraints import violations
 
 Tables = dict[str, DataFrame]
@@ -37,10 +38,16 @@ def _walk(df: DataFrame, keep: list[str], catalog: Catalog, kind: str) -> Iterat
 
 
 def reference_leaves(tables: Tables, catalog: Catalog, place: list[str]) -> dict[tuple[str, str], DataFrame]:
-    """(place.., table, column, v) by target (table, column): every reference in lists, maps and arguments of calls."""
+    """(place.., table, column, v) by target (table, column): every reference in lists, maps and arguments of calls.
+
+    The columns with references are saved once per table: each path reads them, none repeats their cast.
+    """
     found: dict[tuple[str, str], list[DataFrame]] = {}
     for name, df in tables.items():
-        for column, (kind, _) in catalog.columns[name].items():
+        wanted = {c: kind for c, (kind, _) in catalog.columns[name].items() if "$" in kind or "dsl" in kind}
+        if wanted:
+            df = cut(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*place, *wanted])]))
+        for column, kind in wanted.items():
             cells = df.select(*[F.col(f"`{c}`") for c in place], F.lit(name).alias("table"), F.lit(column).alias("column"), F.col(f"`{column}`").alias("v"))
             for table, key, leaves in _walk(cells, [*place, "table", "column"], catalog, kind):
                 found.setdefault((table, key), []).append(leaves)

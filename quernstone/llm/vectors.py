@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.llm.common import components, cut
@@ -49,8 +49,7 @@ def _batch(v: list, u: list, s: list) -> pa.RecordBatch:
 
 
 def _best(ids: np.ndarray, sims: np.ndarray, need: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row its ``k`` most similar others above what it needs."""
-    np.fill_diagonal(sims, -2.0)
+    """For each row its ``k`` most similar others above what it needs; those at -2 are no candidates."""
     k = min(k, len(ids) - 1)
     top = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < len(ids) else np.argsort(-sims, axis=1)[:, :k]
     s = np.take_along_axis(sims, top, axis=1)
@@ -74,9 +73,15 @@ def _bridges(ids: np.ndarray, sims: np.ndarray, roots: np.ndarray, threshold: fl
     return np.array(v, dtype=np.int64), np.array(u, dtype=np.int64), np.array(s, dtype=np.float64)
 
 
+def _tasks(spark: SparkSession, rows: int) -> int:
+    """Partitions for a step that compares ``rows`` vectors with others: one per core at least, 8,192 rows each beyond."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // 8192))
+
+
 def _joined(groups: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Rows (ids, xs, need, roots) of vectors that meet: each one's best candidates among the others, and bridges.
+    """Rows (ids, xs, need, roots) of vectors that meet: each one's best candidates in other components, and bridges.
 
+    Pairs of one component are settled at the end and take no place in the lists.
     A bridge is a link that joins two components as they stand, however many better candidates its ends have.
     """
 
@@ -90,8 +95,10 @@ def _joined(groups: DataFrame, k: int, threshold: float) -> DataFrame:
                     x = _units(batch.column("xs")[n].values)
                     need, roots = (batch.column(c)[n].values.to_numpy() for c in ("need", "roots"))
                     sims = x @ x.T
-                    best = _best(ids, sims, need, k)
-                    for bridge, some in ((False, best), (True, _bridges(ids, sims, roots, threshold))):
+                    np.fill_diagonal(sims, -2.0)
+                    bridges = _bridges(ids, sims, roots, threshold)
+                    sims[roots[:, None] == roots] = -2.0
+                    for bridge, some in ((False, _best(ids, sims, need, k)), (True, bridges)):
                         for column, found in zip(out, some, strict=True):
                             column.append(found)
                         marks.append(np.full(len(some[0]), bridge))
@@ -144,26 +151,28 @@ def _seed_lists(points: DataFrame, named: DataFrame, threshold: float, how: Desc
     sizes = coded.groupBy("t", "code").agg(F.count("*").alias("n"))
     # a crowded block is dealt out by chance; what then doesn't meet is left to the other tables and to the descent
     part = F.pmod(F.xxhash64("v", "t"), F.ceil(F.col("n") / (2 * how.block))).alias("part")
-    blocks = coded.join(sizes, ["t", "code"]).select("t", "code", part, "v", "x").join(named, "v", "left").withColumn("root", F.coalesce("root", "v")).groupBy("t", "code", "part")
+    blocks = coded.join(sizes, ["t", "code"]).select("t", "code", part, "v", "x").join(named, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    blocks = blocks.repartition(_tasks(points.sparkSession, how.tables * size), "t", "code", "part").groupBy("t", "code", "part")
     return _joined(blocks.agg(F.collect_list("v").alias("ids"), F.collect_list("x").alias("xs"), F.collect_list(F.lit(-2.0)).alias("need"), F.collect_list("root").alias("roots")), how.k, threshold)
 
 
-def _descend(lists: DataFrame, points: DataFrame, lengths: DataFrame, named: DataFrame, threshold: float, how: Descent) -> DataFrame:
+def _descend(lists: DataFrame, points: DataFrame, state: DataFrame, named: DataFrame, threshold: float, how: Descent, size: int) -> DataFrame:
     """One round: the neighbours of each vector, in either direction, meet one another.
 
-    Neighbours of a vector that got no fresh one have met before. A vector that many others list is joined over several
-    groups of them, so no group outgrows a task and none is dropped.
+    Neighbours of a vector that got no fresh one have met before, and neighbours that are all of one component have no
+    link to find, as its pairs are settled at the end; neither are moved. A vector that many others list is joined over
+    several groups of them, so no group outgrows a task and none is dropped. ``state`` holds (v, k, need) of the lists.
     """
     both = lists.select(F.col("v").alias("at"), F.col("u").alias("v"), "fresh").union(lists.select(F.col("u").alias("at"), "v", "fresh"))
     both = both.groupBy("at", "v").agg(F.min("fresh").alias("fresh"))
-    sizes = both.groupBy("at").agg(F.count("*").alias("n"), F.max("fresh").alias("news")).where("news")
-    worst = lists.groupBy("v").agg(F.min("s").alias("worst"), F.count("*").alias("held")).join(lengths, "v", "left")
-    need = F.when(F.col("held") >= F.coalesce("k", F.lit(how.k)), F.col("worst")).otherwise(F.lit(-2.0)).alias("need")
-    known = points.select("v", "x").join(worst.select("v", need), "v", "left").withColumn("need", F.coalesce("need", F.lit(-2.0)))
-    known = known.join(named, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    known = points.select("v", "x").join(named, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    known = cut(known.join(state.select("v", "need"), "v", "left").withColumn("need", F.coalesce("need", F.lit(-2.0))))
+    rooted = cut(both.join(known.select("v", "root"), "v"))
+    sizes = rooted.groupBy("at").agg(F.count("*").alias("n"), F.max("fresh").alias("news"), (F.min("root") != F.max("root")).alias("mixed")).where("news and mixed")
     part = F.pmod(F.xxhash64("v", "at"), F.ceil(F.col("n") / (4 * how.k))).alias("part")
-    near = both.join(sizes, "at").select("at", part, "v").join(known, "v")
-    groups = near.groupBy("at", "part").agg(F.collect_list("v").alias("ids"), F.collect_list("x").alias("xs"), F.collect_list("need").alias("need"), F.collect_list("root").alias("roots"))
+    near = rooted.join(sizes, "at").select("at", part, "v").join(known, "v")
+    # small rows, but work enough for every core: the number of partitions is given, so that none are merged
+    groups = near.repartition(_tasks(points.sparkSession, size), "at", "part").groupBy("at", "part").agg(F.collect_list("v").alias("ids"), F.collect_list("x").alias("xs"), F.collect_list("need").alias("need"), F.collect_list("root").alias("roots"))
     return _joined(groups.where("size(ids) > 1"), how.k, threshold)
 
 
@@ -263,7 +272,7 @@ def near_vectors(vectors: DataFrame, id_col: str, vector_col: str, threshold: fl
     each round joins neighbours of neighbours and keeps the best. A list whose last entry still reaches the threshold
     is saturated: it is made twice as long, up to ``longest``, and the descent goes on. Wherever vectors meet, a
     spanning forest of the links between components comes out beside the lists, so a link that ranks below full lists
-    joins them all the same. When links stand still and no list grows, an audit compares a bounded sample with all
+    joins them all the same. When a round joins no components and no list grows, an audit compares a bounded sample with all
     others; below ``recall`` the search goes on with fresh planes, and one that stays below it fails. Pairs at or above
     the threshold, by cosine in double precision, make components, within which every pair is then compared and counted.
 
@@ -291,7 +300,7 @@ def near_vectors(vectors: DataFrame, id_col: str, vector_col: str, threshold: fl
     smallest = cut(merged.groupBy("root").agg(F.min("first").alias("component_id")))
     merged = merged.join(smallest, "root").select("x", F.col("others").alias("n_links"), "component_id")
     all_rows = rows.join(merged, "x", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    out = all_rows.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id")
+    out = cut(all_rows.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id"))
     first = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n_links"))) == 1
     heads = out.where(F.col("id") == F.col("component_id")).withColumn("kept", first)
     rest = out.where(~F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))).withColumn("kept", F.isnull("component_id"))
@@ -301,29 +310,25 @@ def near_vectors(vectors: DataFrame, id_col: str, vector_col: str, threshold: fl
 def _links(points: DataFrame, threshold: float, how: Descent) -> tuple[DataFrame, float]:
     """((v, n, root) of the points with links, audited recall) for vectors of one length."""
     size = points.count()
-    lengths = points.select("v", F.lit(how.k).alias("k")).where("false")
+    state = points.select("v", F.lit(how.k).alias("k"), F.lit(-2.0).alias("need")).where("false")
     named = points.select("v", F.col("v").alias("root")).where("false")
     met = cut(_lists(_seed_lists(points, named, threshold, how, size, 0).withColumn("fresh", F.lit(True)), None, how.k))
     named, _ = _merged(named, met.where("bridge"))
-    before, turn, missed, audits = -1, 0, False, 0
+    missed, audits = False, 0
     while True:
-        turn += 1
         lists = met.where("listed").drop("listed", "bridge")
-        found = _descend(lists, points, lengths, named, threshold, how)
+        found = _descend(lists, points, state, named, threshold, how, size)
         if missed:
-            found = found.union(_seed_lists(points, named, threshold, how, size, turn))
+            found = found.union(_seed_lists(points, named, threshold, how, size, audits))
         known = lists.withColumn("bridge", F.lit(False))
-        met = cut(_lists(known.union(found.withColumn("fresh", F.lit(True)).select(known.columns)), lengths, how.k))
-        lists = met.where("listed")
-        full = lists.groupBy("v").agg(F.count("*").alias("held"), F.min("s").alias("worst")).join(lengths, "v", "left")
+        met = cut(_lists(known.union(found.withColumn("fresh", F.lit(True)).select(known.columns)), state.select("v", "k"), how.k))
+        full = met.where("listed").groupBy("v").agg(F.count("*").alias("held"), F.min("s").alias("worst")).join(state.select("v", "k"), "v", "left")
         k = F.coalesce("k", F.lit(how.k))
         longer = F.when((F.col("held") >= k) & (F.col("worst") >= threshold), F.least(2 * k, F.lit(how.longest))).otherwise(k)
-        grown = cut(full.select("v", longer.alias("k"), (longer > k).alias("grew")))
-        lengths = grown.drop("grew")
-        now, grew = lists.where(F.col("s") >= threshold).count(), grown.where("grew").count()
+        grown = cut(full.select("v", longer.alias("k"), F.when(F.col("held") >= longer, F.col("worst")).otherwise(F.lit(-2.0)).alias("need"), (longer > k).alias("grew")))
+        state, grew = grown.drop("grew"), not grown.where("grew").isEmpty()
         named, joined = _merged(named, met.where("bridge"))
-        # a list never loses a link, so with the same count none has gained one
-        missed = now == before and not grew and not joined
+        missed = not grew and not joined
         if missed:
             audits += 1
             recall = _audit(points, named, threshold, how, size)
@@ -332,4 +337,3 @@ def _links(points: DataFrame, threshold: float, how: Descent) -> tuple[DataFrame
                 return named.join(counted, "v", "left").select("v", F.coalesce("n", F.lit(0)).alias("n"), "root"), recall
             if audits >= 3 * how.rounds:
                 raise RuntimeError(f"links of sampled vectors found: {recall:.3f}, below {how.recall} after {audits} searches")
-        before = now

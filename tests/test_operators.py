@@ -5,6 +5,7 @@ import json
 import zipfile
 import zlib
 from pathlib import Path
+from xml.sax.saxutils import escape
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ def workbook(path, sheets):
                     if v is None:
                         continue
                     if isinstance(v, str):
-                        xml.write(f'<c r="{at}" t="s"><v>0</v></c>' if v == "shared" else f'<c r="{at}" t="inlineStr" s="{int(bold)}"><is><t>{v.rstrip("*") if bold else v}</t></is></c>')
+                        xml.write(f'<c r="{at}" t="s"><v>0</v></c>' if v == "shared" else f'<c r="{at}" t="inlineStr" s="{int(bold)}"><is><t>{escape(v.rstrip("*") if bold else v)}</t></is></c>')
                     else:
                         xml.write(f'<c r="{at}"><v>{v}</v></c>')
                 xml.write("</row>")

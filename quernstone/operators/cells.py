@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions.cells import normalize_cell
+from quernstone.operators.checkpoints import cut
 from quernstone.operators.constraints import violations
 
 SHEET = ["file", "sheet"]
@@ -40,9 +43,28 @@ def _heads(rows: DataFrame) -> DataFrame:
     return heads
 
 
-def read_directives(cells: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Layout:
+    """Cells without comments, their rows, and the header rows of sheets."""
+
+    full: DataFrame
+    rows: DataFrame
+    heads: DataFrame
+
+
+def layout(cells: DataFrame | Layout, save: bool = False) -> Layout:
+    """What directives, headers and rows are read from; with ``save`` each part is saved, so that all three share it."""
+    if isinstance(cells, Layout):
+        return cells
+    keep = cut if save else lambda df: df
+    full = keep(drop_comments(cells))
+    rows = keep(_rows(full))
+    return Layout(full, rows, keep(_heads(rows)))
+
+
+def read_directives(cells: DataFrame | Layout) -> DataFrame:
     """(file, sheet, table, based, json) from the lone cells in front; ``json`` defaults to the table."""
-    rows = _rows(drop_comments(cells))
+    rows = layout(cells).rows
     lead = rows.join(rows.where("not lone").groupBy(*SHEET).agg(F.min("row").alias("h1")), SHEET, "left").withColumn("front", F.coalesce(F.col("row") < F.col("h1"), F.lit(True)))
     word = lambda k: F.max(F.when(F.col("front") & (F.regexp_extract("first", _DIRECTIVE, 1) == k), F.regexp_extract("first", _DIRECTIVE, 2)))
     found = lead.groupBy(*SHEET).agg(word("based").alias("based"), word("json").alias("json"))
@@ -50,18 +72,18 @@ def read_directives(cells: DataFrame) -> DataFrame:
     return found.select(*SHEET, table.alias("table"), "based", F.coalesce("json", table).alias("json"))
 
 
-def read_headers(cells: DataFrame) -> DataFrame:
+def read_headers(cells: DataFrame | Layout) -> DataFrame:
     """(file, sheet, col, name, type, scope, bold) from the first three valid rows."""
-    full = drop_comments(cells)
+    made = layout(cells)
     nth = F.when(F.col("row") == F.col("h1"), 1).when(F.col("row") == F.col("h2"), 2).when(F.col("row") == F.col("h3"), 3)
-    top = full.join(_heads(_rows(full)), SHEET).withColumn("nth", nth).where("nth is not null").groupBy(*SHEET, "col").pivot("nth", [1, 2, 3]).agg(F.first("value").alias("v"), F.first("bold").alias("b"))
+    top = made.full.join(made.heads, SHEET).withColumn("nth", nth).where("nth is not null").groupBy(*SHEET, "col").pivot("nth", [1, 2, 3]).agg(F.first("value").alias("v"), F.first("bold").alias("b"))
     return top.where("`1_v` is not null").select(*SHEET, "col", F.col("1_v").alias("name"), F.col("2_v").alias("type"), F.lower("3_v").alias("scope"), F.coalesce("1_b", F.lit(False)).alias("bold"))
 
 
-def read_rows(cells: DataFrame, headers: DataFrame) -> DataFrame:
+def read_rows(cells: DataFrame | Layout, headers: DataFrame) -> DataFrame:
     """(file, sheet, row, name, bold, value) of the cells under a header, normalised for its type."""
-    full = drop_comments(cells)
-    below = full.join(_heads(_rows(full)).select(*SHEET, "h3"), SHEET).where("row > h3").select(*SHEET, "row", "col", "kind", "value")
+    made = layout(cells)
+    below = made.full.join(made.heads.select(*SHEET, "h3"), SHEET).where("row > h3").select(*SHEET, "row", "col", "kind", "value")
     named = below.join(headers.select(*SHEET, "col", "name", "type", "bold"), [*SHEET, "col"])
     value = normalize_cell(F.col("kind"), F.col("value"), F.regexp_replace("type", "[*()$!~?]", ""))
     return named.select(*SHEET, "row", "name", "bold", value.alias("value")).where("value is not null")

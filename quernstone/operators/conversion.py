@@ -189,18 +189,19 @@ def convert(cells: DataFrame, const_cells: DataFrame | None = None, enum_cells:
 
     ``const_cells`` and ``enum_cells`` are cells of lookup sheets, ``params`` the rows of ``read_prototypes``; ``changed``
     (file) limits the check of references to rows of these files. Declarations (headers, constants, enums, prototypes) come
-    to the driver; rows never do. Rows are saved once, apart by table, so a table reads only its own, and each cast
+    to the driver; rows never do. Cells without comments and rows are saved once, rows apart by table, so a table reads only its own, and each cast
     table once. Parents are found in ranges of ``width`` rows. A declaration that can't be used is a violation, and its
     column isn't cast. Without any table there are no tables and no violations.
     """
     session = cells.sparkSession
-    headers = cut(sheets.read_headers(cells).withColumn("table", sheets.table_name(F.col("sheet"))))
-    directives = cut(sheets.read_directives(cells))
+    shape = sheets.layout(cells, save=True)
+    headers = cut(sheets.read_headers(shape).withColumn("table", sheets.table_name(F.col("sheet"))))
+    directives = cut(sheets.read_directives(shape))
     consts = cut(sheets.read_consts(const_cells)) if const_cells is not None else None
     members = cut(sheets.read_enums(enum_cells)) if enum_cells is not None else None
     values = cut(lookups.enum_values(members.dropDuplicates(["enum", "member"]))) if members is not None else None
     catalog, bad = _catalog(headers, directives, consts, values, params)
-    rows = sheets.read_rows(cells, headers).withColumn("table", sheets.table_name(F.col("sheet")))
+    rows = sheets.read_rows(shape, headers).withColumn("table", sheets.table_name(F.col("sheet")))
     folder = f"{shared_folder(session)}/rows-{uuid.uuid4().hex}"
     rows.write.partitionBy("table").parquet(folder)
     saved = session.read.schema(rows.schema).parquet(folder)

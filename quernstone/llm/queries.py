@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import bpe, exact_dedup, language, licenses, packing, secrets, simhash, token_counts, toxicity, vectors
+from quernstone.llm import bpe, exact_dedup, language, language_model, licenses, merkle, packing, prefix_trie, secrets, simhash, token_counts, toxicity, vectors
 from quernstone.llm.common import in_fold, table
 
 
@@ -67,7 +67,24 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id").drop("row")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_license_scan, op4_toxicity, op5_bpe, op6_embedding_near_dedup, op7_simhash_near_dedup, op8_language_id, op9_exact_dedup, op10_secret_scan)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, text = table(spark, sf_dir, "documents"), F.col("text")
+    found = merkle.manifest(docs, "doc_id", ["doc_id", "source", "lang", "n_chars", "text"], "lang", in_fold("doc_id", 3, 0), {"text": merkle.ascii_lower(text)})
+    return found.drop("copied")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.regrown(prefix_trie.turns(table(spark, sf_dir, "conversations")), family=5, shared=9))
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_model.train(docs.where(~in_fold("doc_id", 7, 2)), "text", order=2)
+    scored = language_model.score(model, docs, "doc_id", "text")
+    return scored.select("doc_id", in_fold("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_license_scan, op4_toxicity, op5_bpe, op6_embedding_near_dedup, op7_simhash_near_dedup, op8_language_id, op9_exact_dedup, op10_secret_scan, op11_merkle_manifest, op12_prefix_trie, op13_lm_scoring)}
 
 #: The others are held against brute-force versions in tests/llm: fitted models, library tokenizers, 64-bit XXH64, label sets of their own.
 ORACLE_SQL = {

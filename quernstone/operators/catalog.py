@@ -95,28 +95,35 @@ class Catalog:
         marks = {c: declared(t) for c, (t, _) in self.columns[table].items()}
         return next((c for c, d in marks.items() if d.group), next((c for c, d in marks.items() if d.primary), None))
 
-    def root(self, text: str, seen: tuple[str, ...] = ()) -> Declared:
+    def root(self, text: str) -> Declared:
         """The type that references end in; a null anywhere on the way makes it nullable."""
-        d = declared(text)
-        if d.reference is None:
-            return replace(d, name="int") if d.sequence else d
-        if text in seen:
-            raise ValueError(f"{text}: references form a cycle")
-        if d.reference not in self.columns:
-            raise ValueError(f"{text}: unknown table")
-        column = d.reference_column or self.key(d.reference)
-        if column not in self.columns[d.reference]:
-            raise ValueError(f"{text}: unknown column or no key")
-        end = self.root(self.columns[d.reference][column][0], (*seen, text))
-        return replace(end, nullable=end.nullable or d.nullable)
-
-    def const_text(self, table: str, name: str, seen: tuple = ()) -> str | None:
+        d, seen, optional = declared(text), {text}, False
+        while d.reference is not None:
+            optional |= d.nullable
+            if d.reference not in self.columns:
+                raise ValueError(f"{text}: unknown table")
+            column = d.reference_column or self.key(d.reference)
+            if column not in self.columns[d.reference]:
+                raise ValueError(f"{text}: unknown column or no key")
+            kind = self.columns[d.reference][column][0]
+            if kind in seen:
+                raise ValueError(f"{text}: references form a cycle")
+            seen.add(kind)
+            d = declared(kind)
+        end = replace(d, name="int") if d.sequence else d
+        return replace(end, nullable=end.nullable or optional)
+
+    def const_text(self, table: str, name: str) -> str | None:
         """The text a constant ends in; a circle of constants is an error."""
-        if (table, name) in seen:
-            raise ValueError(f"Const:{table}:{name}: constants form a cycle")
-        text = self.consts[table, name][1]
-        named = re.fullmatch(CONST, text or "")
-        return self.const_text(*named.groups(), (*seen, (table, name))) if named and named.groups() in self.consts else text
+        at, seen = (table, name), set()
+        while at not in seen:
+            seen.add(at)
+            text = self.consts[at][1]
+            named = re.fullmatch(CONST, text or "")
+            if not named or named.groups() not in self.consts:
+                return text
+            at = named.groups()
+        raise ValueError(f"Const:{table}:{name}: constants form a cycle")
 
     def same_type(self, a: str, b: str) -> bool:
         """Whether two declared types end in the same one, nullability aside."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import dataclass
 from functools import reduce
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quernstone.operators import cells as sheets
 from quernstone.operators import constraints as rules
-from quernstone.operators import containers, lookups, parents, references
+from quernstone.operators import containers, documents, incremental, lookups, parents, references
 from quernstone.operators.catalog import SCOPES, SERVER, Catalog, cast_declared, declared, inheritance_levels
 from quernstone.operators.checkpoints import cut, shared_folder
 
@@ -48,7 +49,7 @@ def refreshed_cells(sources: DataFrame, path: str, work: DataFrame) -> DataFrame
     read = workbook_cells(again)
     blank = again.select("file", *[(F.lit("blank") if f.name == "kind" else F.lit(None).cast(f.dataType)).alias(f.name) for f in read.schema if f.name != "file"])
     read.unionByName(blank).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(path)
-    kept = sources.sparkSession.read.parquet(path).join(sources.select(name), "file", "left_semi")
+    kept = incremental.read_snapshot(sources.sparkSession, path, read.schema).join(sources.select(name), "file", "left_semi")
     return kept.where("kind <> 'blank'").select(read.columns)
 
 
@@ -65,7 +66,11 @@ def _catalog(headers: DataFrame, directives: DataFrame, consts: DataFrame | None
         if r.name.lower() in _TAKEN or (r.name == PARENT and not r.bold):
             bad.append((r.table, r.name, r.type, "reserved name"))
             continue
-        made.columns.setdefault(root_of(r.table) if r.bold else r.table, {})[r.name] = (r.type or "", SCOPES.get(r.scope, 0))
+        columns = made.columns.setdefault(root_of(r.table) if r.bold else r.table, {})
+        if r.name not in columns and r.name.lower() in {c.lower() for c in columns}:
+            bad.append((r.table, r.name, r.type, "differs from another column by case alone"))
+            continue
+        columns[r.name] = (r.type or "", SCOPES.get(r.scope, 0))
     made.groups.update({r.table: r.json for r in directives.groupBy("table").agg(F.min("json").alias("json")).collect()})
     for r in values.collect() if values is not None else ():
         if r.value is not None:
@@ -82,6 +87,9 @@ def _catalog(headers: DataFrame, directives: DataFrame, consts: DataFrame | None
                 bad.append((root, None, None, "parent without a primary key"))
             else:
                 made.columns[table] = {PARENT: (f"(${root}.{key})", made.columns[root][key][1]), **columns}
+    for header, name, kind in [(h, n, k) for h, ps in made.calls.items() for n, k, _, _ in ps if re.search(r"\bdsl\b", k)]:
+        made.calls.pop(header, None)
+        bad.append((header, name, kind, "a call can't be an argument of a call"))
     # first what isn't a type, then what leads to something that isn't there, until all that is left can be cast
     for check in (declared, made.cast):
         while True:
@@ -128,10 +136,12 @@ def _declarations(headers: DataFrame, directives: DataFrame, catalog: Catalog, c
         hidden = session.createDataFrame(containers.hidden_keys(catalog, part), "table string, column string")
         found.append(rules.violations(hidden, "hidden key", table=F.col("table"), column=F.col("column")))
     if members is not None:
+        found.append(rules.violations(rules.invalid_names(members, "member"), "name", table=F.col("enum"), column=F.col("member"), value=F.col("member"), **{c: F.col(c) for c in PLACE}))
         found.append(rules.violations(rules.enum_grammar(members), "enum", table=F.col("enum"), column=F.col("member"), detail=F.col("fault")))
         found.append(rules.violations(values.where("fault is not null"), "enum", table=F.col("enum"), column=F.col("member"), detail=F.col("fault")))
         found.append(rules.violations(sheets.duplicate_members(members, ["enum", "member"]), "enum repeated", table=F.col("enum"), column=F.col("member"), detail=F.col("places")))
     if consts is not None:
+        found.append(rules.violations(rules.invalid_names(consts, "name"), "name", table=F.col("table"), column=F.col("name"), value=F.col("name"), **{c: F.col(c) for c in PLACE}))
         found.append(rules.violations(sheets.duplicate_members(consts, ["table", "name"]), "const repeated", table=F.col("table"), column=F.col("name"), detail=F.col("places")))
     if params is not None:
         keys = session.createDataFrame([(t, catalog.key(t)) for t in catalog.columns], "table string, key string")
@@ -235,9 +245,10 @@ def publish(made: Conversion, path: str) -> int:
         return count
     session = faults.sparkSession
     for scope in ("server", "client"):
-        documents = containers.by_json(made.tables, made.catalog, SCOPES[scope])
-        containers.write_containers(documents, scope, f"{path}/json")
-        if documents:
-            containers.write_crc(session, f"{path}/json/{scope}", f"{path}/crc/{scope}")
+        held = containers.by_json(made.tables, made.catalog, SCOPES[scope])
+        groups = {g: [g, *(t for t in made.tables if t != g and made.catalog.groups.get(t, t) == g)] for g in held}
+        values = {g: documents.written_columns(made.catalog, tables) for g, tables in groups.items()}
+        containers.write_containers(session, held, scope, f"{path}/json", values=values)
+        containers.write_crc(session, f"{path}/json/{scope}", f"{path}/crc/{scope}")
     containers.write_raw_dump(made.rows.drop("table"), f"{path}/diff")
     return 0

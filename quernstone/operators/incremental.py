@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def manifest(files: DataFrame, version: str) -> DataFrame:
@@ -39,10 +40,15 @@ def write_snapshot(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("table", "file").parquet(path)
 
 
+def read_snapshot(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Rows as they were written: names of tables and files are texts, whatever they look like."""
+    return spark.read.schema(schema).parquet(path).select([f"`{c}`" for c in schema.names])
+
+
 def refresh(spark: SparkSession, path: str, rows: DataFrame, work: DataFrame) -> DataFrame:
     """Recompute the snapshot of the files on the work list; the rest is read as it is."""
     write_snapshot(rows.join(work, "file", "left_semi"), path)
-    return spark.read.parquet(path)
+    return read_snapshot(spark, path, rows.schema)
 
 
 def write_error_files(found: DataFrame, path: str) -> None:

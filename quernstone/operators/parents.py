@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,11 +43,12 @@ def orphans(df: DataFrame, bold: list[str], rest: list[str], parent: str = "pare
 def parent_of_ranged(df: DataFrame, key: str, by: list[str], order: str, width: int, name: str = "parent") -> DataFrame:
     """The same for sheets too large for one sort: ranges of ``width`` order values are filled on their own, and the last
     key before each range comes from a second pass over one row per range. ``order`` is a whole number column."""
-    part, own, carry, end = fresh(df.columns, "__range", "__own", "__carried", "__end")
+    part, own, carry, end, *names = fresh(df.columns, "__range", "__own", "__carried", "__end", *[f"__by{k}" for k in range(len(by) + 1)])
     ranged = df.withColumn(part, F.floor(F.col(order) / width))
     inner = Window.partitionBy(*by, part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     ends = ranged.groupBy(*by, part).agg(F.max_by(key, F.when(F.col(key).isNotNull(), F.col(order))).alias(end))
     outer = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.withColumn(carry, F.last(end, ignorenulls=True).over(outer)).drop(end)
-    filled = ranged.withColumn(own, F.last(key, ignorenulls=True).over(inner)).join(carried, [*by, part])
-    return filled.withColumn(name, F.coalesce(own, carry)).drop(own, carry, part)
+    carried = ends.withColumn(carry, F.last(end, ignorenulls=True).over(outer)).select(carry, *[F.col(f"`{c}`").alias(n) for c, n in zip([*by, part], names, strict=True)])
+    same = reduce(Column.__and__, [F.col(f"`{c}`").eqNullSafe(F.col(n)) for c, n in zip([*by, part], names, strict=True)])
+    filled = ranged.withColumn(own, F.last(key, ignorenulls=True).over(inner)).join(carried, same)
+    return filled.withColumn(name, F.coalesce(own, carry)).drop(own, carry, part, *names)

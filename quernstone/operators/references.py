@@ -12,6 +12,7 @@ from quernstone.functions.casts import cast_columns
 from quernstone.operators.catalog import Catalog, declared, parts_of
 from quernstone.operators.checkpoints import cut
 from quernstone.operators.constraints import violations
+from quernstone.operators.documents import written
 
 Tables = dict[str, DataFrame]
 
@@ -22,7 +23,7 @@ def _walk(df: DataFrame, keep: list[str], catalog: Catalog, kind: str) -> Iterat
     d = declared(kind)
     shape, inner = parts_of(d.name)
     if d.reference:
-        yield d.reference, d.reference_column or catalog.key(d.reference), df.where("v is not null").select(*own, F.col("v").cast("string").alias("v"))
+        yield d.reference, d.reference_column or catalog.key(d.reference), df.where("v is not null").select(*own, written(catalog, kind).text(F.col("v")).alias("v"))
     elif shape == "list":
         yield from _walk(df.select(*own, F.explode("v").alias("v")), keep, catalog, inner[0])
     elif shape == "map":
@@ -56,7 +57,8 @@ def reference_leaves(tables: Tables, catalog: Catalog, place: list[str]) -> dict
 
 def group_values(tables: Tables, catalog: Catalog, group: str, column: str) -> DataFrame:
     """Distinct texts of a column over all tables of a JSON group that have it."""
-    own = [df.select(F.col(f"`{column}`").cast("string").alias("held")) for name, df in tables.items() if catalog.groups.get(name, name) == group and column in df.columns]
+    text = lambda name: written(catalog, catalog.columns[name][column][0]).text(F.col(f"`{column}`"))
+    own = [df.select(text(name).alias("held")) for name, df in tables.items() if catalog.groups.get(name, name) == group and column in catalog.columns[name] and column in df.columns]
     if not own:
         return next(iter(tables.values())).select(F.lit(None).cast("string").alias("held")).where("false")
     return reduce(DataFrame.union, own).where("held is not null").distinct()
@@ -67,7 +69,7 @@ def reference_faults(tables: Tables, catalog: Catalog, place: list[str], changed
 
     ``changed`` (file) limits the check to rows of these files; a value that went from the other side then stays unseen.
     """
-    found = []
+    found = [violations(next(iter(tables.values())).sparkSession.range(0), "unknown reference")]
     for (table, column), leaves in reference_leaves(tables, catalog, place).items():
         if changed is not None:
             leaves = leaves.join(changed.select("file").distinct(), "file", "left_semi")
@@ -99,7 +101,7 @@ def coverage_faults(tables: Tables, catalog: Catalog) -> DataFrame:
                     found.append(say(name, column, "must refer to the key"))
                 else:
                     missing = group_values({d.reference: tables[d.reference]}, catalog, catalog.groups.get(d.reference, d.reference), key)
-                    held: Column = F.col(f"`{column}`").cast("string")
+                    held: Column = written(catalog, kind).text(F.col(f"`{column}`"))
             elif d.name in catalog.enums:
                 missing, held = session.createDataFrame([(m,) for m in catalog.enums[d.name]], "held string"), F.col(f"`{column}`.name")
             else:

@@ -178,7 +178,7 @@ def test_containers_round_trip(spark, tmp_path):
     rows = [(1, 'a"b', None), (2, "c\\d", "x"), (3, "c\\d", "\n"), (10, "é", "y")]
     df = spark.createDataFrame(rows, "id long, g string, note string").repartition(3)
     made = {"keyed": (df, None, "id"), "listed": (df, None, None), "grouped": (df, "g", None), "both": (df, "g", "id"), "byname": (df, None, "g"), "none": (df.where("false"), None, "id")}
-    containers.write_containers(made, "server", str(tmp_path), order=["id"])
+    containers.write_containers(spark, made, "server", str(tmp_path), order=["id"])
     row = lambda r: dict(zip(("id", "g", "note"), r, strict=True))
     got = {n: json.loads(document(f"{tmp_path}/server/json={n}")) for n in made}
     assert got["keyed"] == {str(r[0]): row(r) for r in rows} and got["listed"] == [row(r) for r in rows] and got["none"] == {}
@@ -193,8 +193,13 @@ def test_containers_round_trip(spark, tmp_path):
     assert containers.read_container(spark, f"{tmp_path}/server/json=none", schema, keyed=True).count() == 0
     containers.write_crc(spark, f"{tmp_path}/server", f"{tmp_path}/crc")
     crc = json.loads(document(f"{tmp_path}/crc"))
-    files = {f"{f.parent.name}/{f.name}": zlib.crc32(f.read_bytes()) for f in tmp_path.glob("server/*/part-*.txt") if f.stat().st_size}
-    assert crc == files and len(files) >= 6
+    assert crc == {f"{n}.json": zlib.crc32(document(f"{tmp_path}/server/json={n}").encode()) for n in made}
+    containers.write_containers(spark, {n: (d.repartition(7) if n == "listed" else d.coalesce(1), *keys) for n, (d, *keys) in made.items() if n != "both"}, "server", str(tmp_path), order=["id"])
+    assert {k: v for k, v in crc.items() if k != "both.json"} == {r.file: r.crc32 for r in containers.document_checksums(spark, f"{tmp_path}/server").collect()}
+    assert not (tmp_path / "server" / "json=both").exists()
+    with pytest.raises(Exception, match="nowhere"):
+        containers.write_containers(spark, {"keyed": (df.limit(1), None, "id"), "bad": (df.select(F.raise_error(F.lit("nowhere")).cast("long").alias("id")), None, "id")}, "server", str(tmp_path))
+    assert json.loads(document(f"{tmp_path}/server/json=keyed")) == got["keyed"] and sorted(p.name for p in tmp_path.iterdir() if p.is_dir()) == ["crc", "server"]
     containers.write_lines(df, f"{tmp_path}/lines", ["g"])
     assert spark.read.json(f"{tmp_path}/lines").count() == 4
     repeated = df.union(df)

@@ -106,10 +106,13 @@ def nullable(cast: Cast) -> Cast:
     return replace(cast, judge=lambda c, found: F.when(~is_null_literal(c), cast.judge(c, found)))
 
 
-def substituted(cast: Cast, consts: dict[str, str], others: list[str]) -> Cast:
-    """The same conversion where ``Const:T:N`` stands for a text of ``consts``; ``others`` are constants of other types."""
+def substituted(cast: Cast, consts: dict[str, str], others: list[str], tables: list[str]) -> Cast:
+    """The same conversion where ``Const:T:N`` stands for a text of ``consts``; ``others`` are constants of other types.
+
+    ``tables`` are all that have constants, whether any of theirs is in ``consts`` or not.
+    """
     of = lambda c: F.try_element_at(F.from_json(F.lit(json.dumps(consts)), "map<string,string>"), c)
-    known = [*{":".join(c.split(":")[:2]) + ":" for c in consts}]
+    known = [f"Const:{t}:" for t in tables]
     put = lambda c: F.when(F.startswith(c, F.lit("Const:")), F.coalesce(of(c), c)).otherwise(c)
 
     def judge(c: Column, found: Column) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
+from collections.abc import Collection
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -81,7 +84,8 @@ class Catalog:
     """Small declarations, held by the driver: columns by table (name, type text, scope), enums, call parameters.
 
     ``calls``: header -> [(name, type, has default, default)]. ``consts``: (table, name) -> (type, text), where a text may
-    name another constant. ``groups``: table -> JSON group, the table's own name where it isn't listed.
+    name another constant; ``used`` are those that cells to be cast name, all if it isn't given. ``groups``: table -> JSON
+    group, the table's own name where it isn't listed.
     """
 
     columns: dict[str, dict[str, tuple[str, int]]] = field(default_factory=dict)
@@ -89,6 +93,7 @@ class Catalog:
     calls: dict[str, list[tuple[str, str, bool, str | None]]] = field(default_factory=dict)
     consts: dict[tuple[str, str], tuple[str, str | None]] = field(default_factory=dict)
     groups: dict[str, str] = field(default_factory=dict)
+    used: Collection[tuple[str, str]] | None = None
 
     def key(self, table: str) -> str | None:
         """The group key if there is one, else the primary key."""
@@ -135,8 +140,29 @@ class Catalog:
         found = self._plain_cast(text)
         if not self.consts:
             return found
-        texts = {f"Const:{t}:{n}": self.const_text(t, n) or "" for t, n in self.consts}
-        return casts.substituted(found, texts, [f"Const:{t}:{n}" for (t, n), (kind, _) in self.consts.items() if not self.same_type(kind, text)])
+        own = {k: v for k, v in self.consts.items() if self.used is None or k in self.used}
+        texts = {f"Const:{t}:{n}": self.const_text(t, n) or "" for t, n in own}
+        others = [f"Const:{t}:{n}" for (t, n), (kind, _) in own.items() if not self.same_type(kind, text)]
+        return casts.substituted(found, texts, others, sorted({t for t, _ in self.consts}))
+
+    def described(self, text: str) -> object:
+        """All that the cast of a declared type depends on, but for constants: roots of references, enums, prototypes."""
+        d = self.root(text)
+        shape, inner = parts_of(d.name)
+        own: object = d.name
+        if shape in ("list", "map"):
+            own = [shape, *(self.described(k) for k in inner)]
+        elif d.name in self.enums:
+            own = [d.name, sorted(self.enums[d.name].items())]
+        elif d.name == "dsl":
+            own = ["dsl", [[h, [[n, self.described(k), has, default] for n, k, has, default in ps]] for h, ps in sorted(self.calls.items())]]
+        return [own, d.nullable]
+
+    def fingerprint(self, table: str, used: Collection[tuple[str, str]]) -> str:
+        """Of all declarations that the cast of a table depends on; ``used`` are the constants that its cells name."""
+        consts = [[*c, self.described(self.consts[c][0]), self.const_text(*c)] if c in self.consts else [*c] for c in sorted(used)]
+        whole = [[[c, self.described(kind)] for c, (kind, _) in self.columns[table].items()], consts, sorted({t for t, _ in self.consts}) if used else []]
+        return hashlib.sha256(json.dumps(whole).encode()).hexdigest()[:24]
 
     def _plain_cast(self, text: str) -> casts.Cast:
         d = self.root(text)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.functions.casts import fresh
 from quernstone.functions.cells import valid_name
 
 FIELDS = {"rule": "string", "file": "string", "sheet": "string", "table": "string", "column": "string", "row": "long", "value": "string", "detail": "string"}
@@ -43,6 +44,38 @@ def duplicates_across(df: DataFrame, keys: list[str], place: Column) -> DataFram
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct(place).alias("places")).where("n > 1")
 
 
+def _least(df: DataFrame, by: list[Column], order: list[str], most: int) -> DataFrame:
+    (rank,) = fresh(df.columns, "__rank")
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= most).drop(rank)
+
+
+def duplicate_places(df: DataFrame, keys: list[str], place: list[str], most: int = 10) -> DataFrame:
+    """(keys.., n, places) of keys in more than one row: their exact number and the ``most`` least places, in order.
+
+    Only rows of such keys are ranked, under 64 salts before the key itself, so one key may hold any share of the rows and
+    no more than 64 * ``most`` places of it meet in a task. Null keys are not compared.
+    """
+    repeated = duplicates(df, keys)
+    own = df.select(*keys, *place).join(repeated.select(*keys), keys, "left_semi")
+    key, salt = [F.col(k) for k in keys], F.pmod(F.xxhash64(*place), F.lit(64))
+    few = _least(_least(own, [*key, salt], place, most), key, place, most)
+    listed = few.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*place))).alias("places"))
+    return repeated.join(listed, keys)
+
+
+def repeated_keys(df: DataFrame, keys: list[str], place: list[str], most: int = 10) -> DataFrame:
+    """(keys.., <place>.., n, places) for each file with rows of a repeated key: the first row there, the number of rows in
+    all files and the ``most`` least places as text. ``place`` begins with the file.
+
+    Files are told apart in a pre-aggregated minimum, so none of them is lost, however often a key is repeated.
+    """
+    told = duplicate_places(df, keys, place, most)
+    text = F.array_join(F.transform("places", lambda p: F.concat_ws("!", *[p[c].cast("string") for c in place])), ", ")
+    told = told.select(*keys, "n", text.alias("places"))
+    first = df.join(told.select(*keys), keys, "left_semi").groupBy(*keys, place[0]).agg(F.min(F.struct(*place[1:])).alias("first"))
+    return first.join(told, keys).select(*keys, place[0], *[F.col(f"first.{c}").alias(c) for c in place[1:]], "n", "places")
+
+
 def coverage(df: DataFrame, column: str, reference: DataFrame, ref_column: str) -> DataFrame:
     """Reference keys that never occur in a strong column."""
     return reference.select(F.col(ref_column).alias("missing")).where("missing is not null").subtract(df.select(column))

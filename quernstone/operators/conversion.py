@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import re
 import uuid
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.functions.cells import CONST
 from quernstone.operators import cells as sheets
 from quernstone.operators import constraints as rules
 from quernstone.operators import containers, documents, incremental, lookups, parents, references
 from quernstone.operators.catalog import SCOPES, SERVER, Catalog, cast_declared, declared, inheritance_levels
 from quernstone.operators.checkpoints import cut, shared_folder
+from quernstone.operators.saved import Saved
 
 PARENT = "parent"
 #: Names that a declared column can't have, as they say where a row stands.
@@ -149,11 +152,11 @@ def _declarations(headers: DataFrame, directives: DataFrame, catalog: Catalog, c
     return found
 
 
-def _raw_tables(rows: DataFrame, catalog: Catalog, width: int) -> tuple[dict[str, DataFrame], list[DataFrame]]:
-    """Wide tables of text, children with the text of their parent's key, and orphans."""
+def _raw_tables(rows: DataFrame, catalog: Catalog, width: int) -> dict[str, DataFrame]:
+    """Wide tables of text, children with the text of their parent's key."""
     names = {t: [c for c in columns if c != PARENT] for t, columns in catalog.columns.items()}
     roots = {root_of(t): t for t in names if root_of(t) in names}
-    made, found = {}, []
+    made = {}
     for table, own in names.items():
         if table in roots:
             continue
@@ -166,70 +169,150 @@ def _raw_tables(rows: DataFrame, catalog: Catalog, width: int) -> tuple[dict[str
             made[root_of(table)] = part(wide, "+", bold)
             wide = parents.parent_of_ranged(wide, "+" + _primary(catalog, root_of(table)), ["file", "sheet"], "row", width, PARENT)
             made[table] = part(wide, "-", own, PARENT)
-            found.append(rules.violations(made[table].where(F.col(PARENT).isNull()), "orphan row", table=table, **{c: F.col(c) for c in PLACE}))
         else:
             made[table] = part(wide, "-", own)
     # a sheet of nothing but bold columns
     for table in (t for t in roots if t not in made):
         wide = sheets.to_models(rows.where((F.col("table") == roots[table]) & F.col("bold")), names[table])
         made[table] = wide.select(*PLACE, *names[table])
-    return made, found
+    return made
 
 
-def _keys(raw: DataFrame, cast: DataFrame, catalog: Catalog, table: str) -> list[DataFrame]:
-    """Violations of keys: null, repeated (under one parent, or in the table), or a combination of an enum's members."""
-    found = []
-    marks = {c: declared(kind) for c, (kind, _) in catalog.columns[table].items()}
+def _keys(cast: DataFrame, catalog: Catalog, table: str) -> list[DataFrame]:
+    """Violations of keys: null, repeated (under one parent, or in the table), or a combination of an enum's members; and orphans."""
+    found, place = [], {p: F.col(p) for p in PLACE}
+    columns = catalog.columns[table]
+    marks = {c: declared(kind) for c, (kind, _) in columns.items()}
     by = [PARENT] if PARENT in marks else []
-    for c, d in marks.items():
-        if (d.primary or d.group) and c != PARENT:
-            found.append(rules.violations(raw.where(F.col(f"`{c}`").isNull()), "key without value", table=table, column=c, **{p: F.col(p) for p in PLACE}))
-            if catalog.root(catalog.columns[table][c][0]).name in catalog.enums:
-                found.append(rules.violations(rules.combined_enum_keys(raw, f"`{c}`"), "combined enum key", table=table, column=c, value=F.col(f"`{c}`"), **{p: F.col(p) for p in PLACE}))
-        if d.primary:
-            # texts that differ may be one value, so values are compared; those of enums and pairs as text
-            keyed = cast.select(*[F.col(f"`{k}`").cast("string").alias(f"k{n}") for n, k in enumerate([*by, c])])
-            repeated = rules.duplicates(keyed, [f"k{len(by)}"], ["k0"] if by else [])
-            found.append(rules.violations(repeated, "key repeated", table=table, column=c, value=F.col(f"k{len(by)}"), detail=F.col("k0") if by else F.lit(None)))
+    # a cell that is there but is no value has an error that names its text
+    told = lambda c, test: F.exists("errors", lambda e: (e["column"] == c) & F.coalesce(test(e["value"]), F.lit(False)))
+    empty = lambda c: F.col(f"`{c}`").isNull() & ~told(c, lambda v: v.isNotNull())
+    if by:
+        found.append(rules.violations(cast.where(empty(PARENT)), "orphan row", table=table, **place))
+    texts = {c: documents.written(catalog, columns[c][0]).text(F.col(f"`{c}`")) for c, d in marks.items() if d.primary or d.group}
+    for c, text in texts.items():
+        if c == PARENT:
+            continue
+        found.append(rules.violations(cast.where(empty(c)), "key without value", table=table, column=c, **place))
+        if catalog.root(columns[c][0]).name in catalog.enums:
+            combined = F.col(f"`{c}`.mask").isNotNull() & F.col(f"`{c}`.name").isNull() | told(c, lambda v: v.rlike("[&|]"))
+            found.append(rules.violations(cast.where(combined), "combined enum key", table=table, column=c, value=text, **place))
+        if marks[c].primary:
+            # texts that differ may be one value, so values are compared
+            keyed = cast.select(*[texts[k].alias(f"k{n}") for n, k in enumerate([*by, c])], *PLACE)
+            repeated = rules.repeated_keys(keyed, [f"k{n}" for n in range(len(by) + 1)], PLACE)
+            detail = F.concat(F.lit("parent ") if by else F.lit(""), F.concat("k0", F.lit(": ")) if by else F.lit(""), F.col("n").cast("string"), F.lit(" rows: "), "places")
+            found.append(rules.violations(repeated, "key repeated", table=table, column=c, value=F.col(f"k{len(by)}"), detail=detail, **place))
     return found
 
 
-def convert(cells: DataFrame, const_cells: DataFrame | None = None, enum_cells: DataFrame | None = None, params: DataFrame | None = None, changed: DataFrame | None = None, width: int = 1 << 20) -> Conversion:
+def _used(rows: DataFrame) -> DataFrame:
+    """(file, table, const, name) of the constants that cells name, once per file and table."""
+    named = F.explode(F.regexp_extract_all("value", F.lit(CONST.strip("^$")), F.lit(0))).alias("token")
+    found = rows.where(F.contains("value", F.lit("Const:"))).select("file", "table", named).distinct()
+    return found.select("file", "table", F.split_part("token", F.lit(":"), F.lit(2)).alias("const"), F.split_part("token", F.lit(":"), F.lit(3)).alias("name"))
+
+
+def _cast_tables(catalog: Catalog, rows: Callable[[DataFrame | None], DataFrame], used: DataFrame | None, saved: Saved | None, width: int) -> dict[str, DataFrame]:
+    """All tables cast and saved once; ``rows`` gives the uncast rows of some files, or of all for None."""
+    named: dict[str, set[tuple[str, str]]] = {}
+    for r in used.select("table", "const", "name").distinct().collect() if used is not None else ():
+        named.setdefault(r.table, set()).add((r.const, r.name))
+    own = lambda table: {*named.get(table, ()), *named.get(table.removesuffix(root_of("")), ())}
+    cast = lambda df, name: cast_declared(df, replace(catalog, used=own(name)), name)
+    raw = {}
+
+    def tables(files: DataFrame | None) -> dict[str, DataFrame]:
+        if files is None or "some" not in raw:
+            raw["all" if files is None else "some"] = _raw_tables(rows(files), catalog, width)
+        return raw["all" if files is None else "some"]
+
+    whole = tables(None)
+    if saved is None:
+        return {name: cut(cast(df, name)) for name, df in whole.items()}
+    fresh = {r.table for r in rows(saved.work).select("table").distinct().collect()}
+    made = lambda name: lambda files: cast(tables(files)[name], name)
+    found = {name: saved.cast(name, catalog.fingerprint(name, own(name)), cast(df.limit(0), name).schema, not fresh.isdisjoint({name, name.removesuffix(root_of(""))}), made(name)) for name, df in whole.items()}
+    saved.forget(found)
+    return found
+
+
+def convert(cells: DataFrame, const_cells: DataFrame | None = None, enum_cells: DataFrame | None = None, params: DataFrame | None = None, changed: DataFrame | None = None, width: int = 1 << 20, saved: Saved | None = None) -> Conversion:
     """Cast all tables of ``cells`` and check every rule.
 
     ``const_cells`` and ``enum_cells`` are cells of lookup sheets, ``params`` the rows of ``read_prototypes``; ``changed``
     (file) limits the check of references to rows of these files. Declarations (headers, constants, enums, prototypes) come
-    to the driver; rows never do. Cells without comments and rows are saved once, rows apart by table, so a table reads only its own, and each cast
-    table once. Parents are found in ranges of ``width`` rows. A declaration that can't be used is a violation, and its
-    column isn't cast. Without any table there are no tables and no violations.
+    to the driver; rows never do. Cells without comments and rows are saved once, rows apart by table, so a table reads only
+    its own, and each cast table once. Parents are found in ranges of ``width`` rows. A declaration that can't be used is a
+    violation, and its column isn't cast. Without any table there are no tables and no violations.
+
+    With ``saved`` the cells are those of the files on its work list. What other files hold is taken from there: their rows,
+    headers and directives as they are, and their cast rows too where all that a table's cast depends on (types, what
+    references end in, enums, prototypes, the constants that its cells name) is the same; else the table is cast anew.
+    The rules are checked over all rows.
     """
     session = cells.sparkSession
     shape = sheets.layout(cells, save=True)
-    headers = cut(sheets.read_headers(shape).withColumn("table", sheets.table_name(F.col("sheet"))))
-    directives = cut(sheets.read_directives(shape))
+    table = sheets.table_name(F.col("sheet"))
+    headers, directives = sheets.read_headers(shape).withColumn("table", table), sheets.read_directives(shape)
     consts = cut(sheets.read_consts(const_cells)) if const_cells is not None else None
     members = cut(sheets.read_enums(enum_cells)) if enum_cells is not None else None
     values = cut(lookups.enum_values(members.dropDuplicates(["enum", "member"]))) if members is not None else None
+    if saved is None:
+        headers, directives = cut(headers), cut(directives)
+        fresh = sheets.read_rows(shape, headers).withColumn("table", table)
+        folder = f"{shared_folder(session)}/rows-{uuid.uuid4().hex}"
+        fresh.write.partitionBy("table").parquet(folder)
+        rows = session.read.schema(fresh.schema).parquet(folder)
+        used = _used(rows) if consts is not None else None
+    else:
+        parts = {"headers": cut(headers), "directives": cut(directives)}
+        parts["rows"] = sheets.read_rows(shape, parts["headers"]).withColumn("table", table).sortWithinPartitions("table")
+        for name in ("headers", "directives", "rows"):
+            saved.put(name, parts[name])
+        headers, directives, rows = (saved.get(name, df.schema) for name, df in parts.items())
+        own = _used(rows.join(saved.work, "file", "left_semi"))
+        saved.put("used", own)
+        used = saved.get("used", own.schema)
     catalog, bad = _catalog(headers, directives, consts, values, params)
-    rows = sheets.read_rows(shape, headers).withColumn("table", sheets.table_name(F.col("sheet")))
-    folder = f"{shared_folder(session)}/rows-{uuid.uuid4().hex}"
-    rows.write.partitionBy("table").parquet(folder)
-    saved = session.read.schema(rows.schema).parquet(folder)
-    raw, found = _raw_tables(saved, catalog, width)
-    broken = session.createDataFrame(bad, _FAULT)
-    found.append(rules.violations(broken, "declaration", **{c: F.col(c) for c in ("table", "column", "value", "detail")}))
+    tables = _cast_tables(catalog, lambda files: rows if files is None else rows.join(files, "file", "left_semi"), used, saved, width)
+    found = [rules.violations(session.createDataFrame(bad, _FAULT), "declaration", **{c: F.col(c) for c in ("table", "column", "value", "detail")})]
     found += _declarations(headers, directives, catalog, consts, members, values, params)
-    tables = {}
-    for name, df in raw.items():
-        tables[name] = cut(cast_declared(df, catalog, name))
-        found.append(rules.cast_faults(tables[name], name, PLACE))
-        found += _keys(df, tables[name], catalog, name)
+    for name, df in tables.items():
+        found.append(rules.cast_faults(df, name, PLACE))
+        found += _keys(df, catalog, name)
     if tables:
         marked = [kind for columns in catalog.columns.values() for kind, _ in columns.values()]
         if any("$" in kind or "dsl" in kind for kind in marked):
             found.append(references.reference_faults(tables, catalog, PLACE, changed))
         found.append(references.coverage_faults(tables, catalog))
-    return Conversion(catalog, tables, saved, reduce(DataFrame.unionByName, found))
+    return Conversion(catalog, tables, rows, reduce(DataFrame.unionByName, found))
+
+
+def reconvert(sources: DataFrame, path: str, version: str, const_cells: DataFrame | None = None, enum_cells: DataFrame | None = None, params: DataFrame | None = None, width: int = 1 << 20) -> tuple[Conversion, Callable[[], None]]:
+    """Convert ``sources`` (path, content) with what the last run left under ``path``, and a function to call at the end.
+
+    Files are read again if they are new or changed, if ``version`` is another one, or if the last run found faults in
+    them. The function remembers the files and those with faults for the next run; until it is called, the next run has
+    the same work.
+    """
+    from quernstone.sources.workbooks import workbook_cells
+
+    session = sources.sparkSession
+    now = cut(incremental.manifest(sources, version))
+    store = session._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(session._jsc.hadoopConfiguration())
+    held = lambda name: store.exists(session._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS"))
+    before = cut(session.read.schema(now.schema).parquet(f"{path}/manifest")) if held("manifest") else now.limit(0)
+    failed = cut(session.read.schema("file string").json(f"{path}/error_files")) if held("error_files") else now.select("file").limit(0)
+    work = cut(incremental.work_list(incremental.manifest_diff(before, now), failed))
+    again = sources.withColumn("file", F.regexp_extract("path", "([^/]+)$", 1)).join(work, "file", "left_semi").drop("file")
+    made = convert(workbook_cells(again), const_cells, enum_cells, params, width=width, saved=Saved(f"{path}/state", now.select("file"), work))
+
+    def remember() -> None:
+        incremental.write_error_files(made.faults, f"{path}/error_files")
+        now.write.mode("overwrite").parquet(f"{path}/manifest")
+
+    return made, remember
 
 
 def publish(made: Conversion, path: str) -> int:

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quernstone.functions.casts import Cast
 from quernstone.functions.times import total_millis
 from quernstone.operators.catalog import _ALIASES, Catalog, parts_of
 
@@ -31,6 +32,23 @@ class Written:
     text: Callable[[Column], Column]
 
 
+def _bound(c: Column, made: Callable[[Column], Column]) -> Column:
+    """``made`` of ``c``, in which ``c`` stands once however often ``made`` names it."""
+    return F.get(F.transform(F.array(c), made), F.lit(0))
+
+
+def _value(cast: Cast, text: Column) -> Column:
+    """The value of a text that the cast is known to take, each step bound once."""
+
+    def through(own: Column) -> Column:
+        made: Callable[[Column], Column] = lambda v: F.when(cast.judge(own, v).isNull(), cast.finish(v))
+        for step in reversed(cast.steps):
+            made = (lambda step, after: lambda x: _bound(step(x), after))(step, made)
+        return made(own)
+
+    return _bound(text, through)
+
+
 def _or_null(made: Callable[[Column], Column]) -> Callable[[Column], Column]:
     return lambda c: F.coalesce(made(c), F.lit(_NULL))
 
@@ -45,15 +63,16 @@ def _moment(c: Column) -> Column:
 
 def _span(c: Column) -> Column:
     """``[-][d.]hh:mm:ss[.fffffff]``: days and fraction only where they aren't zero."""
-    millis = total_millis(c)
-    rest = F.abs(millis)
-    part = lambda by, of: F.floor(rest / by).cast("long") % of
-    days = F.floor(rest / 86_400_000).cast("long")
-    text = F.concat(
-        F.when(millis < 0, F.lit("-")).otherwise(F.lit("")), F.when(days > 0, F.concat(days.cast("string"), F.lit("."))).otherwise(F.lit("")),
-        F.format_string("%02d:%02d:%02d", part(3_600_000, 24), part(60_000, 60), part(1000, 60)), F.when(rest % 1000 > 0, F.format_string(".%03d0000", rest % 1000)).otherwise(F.lit("")),
-    )
-    return F.when(c.isNotNull(), text)
+
+    def made(millis: Column) -> Column:
+        rest = F.abs(millis)
+        part = lambda by, of: F.floor(rest / by).cast("long") % of
+        days = F.floor(rest / 86_400_000).cast("long")
+        clock = F.format_string("%02d:%02d:%02d", part(3_600_000, 24), part(60_000, 60), part(1000, 60))
+        ahead = F.concat(F.when(millis < 0, F.lit("-")).otherwise(F.lit("")), F.when(days > 0, F.concat(days.cast("string"), F.lit("."))).otherwise(F.lit("")))
+        return F.concat(ahead, clock, F.when(rest % 1000 > 0, F.format_string(".%03d0000", rest % 1000)).otherwise(F.lit("")))
+
+    return F.when(c.isNotNull(), _bound(total_millis(c), made))
 
 
 def _number(c: Column) -> Column:
@@ -76,7 +95,7 @@ def _calls(catalog: Catalog) -> Callable[[Column], Column]:
         given = c["Parameters"]
         listed = F.array_join(F.transform(given, quoted), ",")
         for header, params in catalog.calls.items():
-            own = [written(catalog, kind).json(catalog.cast(kind)(F.get(given, F.lit(k)))["value"]) for k, (_, kind, _, _) in enumerate(params)]
+            own = [_bound(_value(catalog.cast(kind), F.get(given, F.lit(k))), written(catalog, kind).json) for k, (_, kind, _, _) in enumerate(params)]
             listed = F.when(c["Type"] == header, F.concat_ws(",", *own) if own else F.lit("")).otherwise(listed)
         return F.concat(F.lit("["), listed, F.lit("]"))
 

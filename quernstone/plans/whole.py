@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.operators import containers
-from quernstone.operators.catalog import CLIENT
+from quernstone.functions import checksums
+from quernstone.operators import constraints, containers
+from quernstone.operators.catalog import CLIENT, COMMON, Catalog, cast_declared
+from quernstone.operators.checkpoints import cut
 from quernstone.operators.conversion import convert
+from quernstone.operators.documents import written_columns
 from quernstone.plans.registry import query
 
 
@@ -46,3 +49,52 @@ def conversion_faults(t):
     nation = F.when(own % 5 == 0, 1000 + F.col("c_nationkey")).otherwise(F.col("c_nationkey"))
     balance = F.when(own % 7 == 0, F.concat(F.lit("b"), own.cast("string"))).otherwise(F.col("c_acctbal").cast("string"))
     return convert(_cells(t, nation, balance)).faults.select("rule", "table", "column", "row", "value")
+
+
+_VALUES = Catalog(
+    {"order": {k: (kind, COMMON) for k, kind in {
+        "id": "*int", "flag": "FLAGS", "flags": "[FLAGS]", "wait": "TimeSpan", "period": "DateRange", "price": "{string:long}", "at": "point", "give": "dsl", "note": "string?",
+    }.items()}},
+    {"FLAGS": {"A": 1, "B": 2}}, {"item": [("id", "int", False, None), ("wait", "TimeSpan", True, "01:00:00")]},
+)
+
+
+@query("""select '"' || o_orderkey || '"' as key, '{"id":' || o_orderkey || ',"flag":' || case o_orderkey % 3 when 0 then '"A"' when 1 then '"B"' else '3' end || ',"flags":' || case o_orderkey % 2 when 0 then '["A","B"]' else '["B"]' end
+    || ',"wait":"' || case when o_custkey % 3 = 0 then '' else (o_custkey % 3) || '.' end || printf('%02d:%02d:%02d', o_orderkey % 24, o_custkey % 60, o_orderkey % 60) || '"'
+    || ',"period":{"Start":"' || strftime(o_orderdate::date, '%Y-%m-%d') || ' 00:00:00","End":"' || strftime(o_orderdate::date + 1, '%Y-%m-%d') || ' 00:00:00"},"price":{"all":' || round(o_totalprice)::bigint || ',"none":0}'
+    || ',"at":{"x":' || (o_orderkey % 100) || ',"y":' || (o_custkey % 100) || '},"give":{"Type":"item","Parameters":[' || (o_custkey % 9) || ',"' || case o_orderkey % 2 when 0 then '01:00:00' else '00:00:0' || (o_custkey % 10) end || '"]}'
+    || ',"note":' || case o_orderkey % 5 when 0 then 'null' else '"' || o_orderstatus || '\\"' || o_orderpriority || '"' end || '}' as entry from orders""")
+def document_values(t):
+    """Orders as members of a document, with an enum, lists, a map, a span, a range, a pair, a call and a text that may be null."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    day = F.col("o_orderdate").cast("date")
+    text = {
+        "id": key, "flag": F.when(key % 3 == 0, "A").when(key % 3 == 1, "B").otherwise("A | B"), "flags": F.when(key % 2 == 0, "A & B").otherwise("B"),
+        "wait": F.concat((customer % 3).cast("string"), F.lit("."), two(key % 24), F.lit(":"), two(customer % 60), F.lit(":"), two(key % 60)), "period": F.concat(day.cast("string"), F.lit(" ~ "), F.date_add(day, 1).cast("string")),
+        "price": F.concat(F.lit("all:"), F.round("o_totalprice").cast("long").cast("string"), F.lit(" & none:0")), "at": F.concat((key % 100).cast("string"), F.lit(","), (customer % 100).cast("string")),
+        "give": F.when(key % 2 == 0, F.concat(F.lit("item("), (customer % 9).cast("string"), F.lit(")"))).otherwise(F.concat(F.lit("item("), (customer % 9).cast("string"), F.lit(", 00:00:0"), (customer % 10).cast("string"), F.lit(")"))),
+        "note": F.when(key % 5 != 0, F.concat("o_orderstatus", F.lit('"'), "o_orderpriority")),
+    }
+    made = cut(cast_declared(t("orders").select(*[c.cast("string").alias(n) for n, c in text.items()]), _VALUES, "order"))
+    return containers.entries(made.drop("errors"), None, "id", values=written_columns(_VALUES, ["order"])).select("key", "entry")
+
+
+@query("""select c_nationkey, sum(octet_length(encode(c_name || c_mktsegment)))::bigint as length, true as same from customer group by c_nationkey""")
+def checksum_of_parts(t):
+    """Checksums of the customers' texts, put together by nation, beside that of the whole text."""
+    text = F.concat("c_name", "c_mktsegment")
+    rows = t("customer").select("c_nationkey", "c_custkey", text.alias("text"), F.crc32(text.cast("binary")).alias("crc32"), F.octet_length(text).cast("long").alias("length"))
+    whole = rows.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "text"))).alias("rows")).select("c_nationkey", F.crc32(F.array_join(F.transform("rows", lambda r: r["text"]), "").cast("binary")).alias("whole"))
+    made = checksums.combined(rows.drop("text"), ["c_nationkey"], ["c_custkey"])
+    return made.join(whole, "c_nationkey").select("c_nationkey", "length", (F.col("crc32") == F.col("whole")).alias("same"))
+
+
+@query("""with r as (select l_partkey, l_returnflag, l_orderkey * 8 + l_linenumber as row from lineitem), n as (select l_partkey, count(*) as n from r group by 1 having count(*) > 1),
+    k as (select *, row_number() over (partition by l_partkey order by l_returnflag, row) as k from r)
+    select l_partkey, n, string_agg(l_returnflag || '!' || row, ',' order by k) as places from k join n using (l_partkey) where k <= 5 group by l_partkey, n""")
+def duplicate_places(t):
+    """Parts in several line items: how many rows, and the five least places."""
+    rows = t("lineitem").select("l_partkey", "l_returnflag", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row"))
+    made = constraints.duplicate_places(rows, ["l_partkey"], ["l_returnflag", "row"], most=5)
+    return made.select("l_partkey", "n", F.array_join(F.transform("places", lambda p: F.concat_ws("!", p["l_returnflag"], p["row"].cast("string"))), ",").alias("places"))

@@ -6,7 +6,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from quernstone.operators import conversion
-from quernstone.operators.catalog import SCOPES
+from quernstone.operators.catalog import SCOPES, cast_declared
 from quernstone.sources import prototypes, workbooks
 from tests.test_operators import document, workbook
 
@@ -81,3 +81,52 @@ def test_no_tables(spark, tmp_path):
     made = conversion.convert(spark.createDataFrame([], workbooks.CELLS))
     assert made.tables == {} and made.faults.count() == 0 and conversion.publish(made, f"{tmp_path}/out") == 0
     assert SCOPES["common"] == 3
+
+
+def test_unchanged_files_and_tables_are_not_cast_again(spark, tmp_path, monkeypatch):
+    """After a change only the rows of changed files, or of tables whose declarations changed, are cast; the result is that of a full run."""
+    books, state = tmp_path / "books", f"{tmp_path}/state"
+    books.mkdir()
+    cast_rows = {}
+
+    def counted(df, catalog, table):
+        own = df.groupBy("file").count().collect()
+        cast_rows.update({(table, r.file): r["count"] for r in own})
+        return cast_declared(df, catalog, table)
+
+    def run(compared=False):
+        cast_rows.clear()
+        sources = workbooks.list_sources(spark, str(books))
+        data = sources.where(F.col("kind") == "data").select("path", "content")
+        other = {k: workbooks.workbook_cells(sources.where(F.col("kind") == k)) for k in ("const", "enum")}
+        calls = prototypes.read_prototypes(spark.createDataFrame([(DSL,)], "value string"))
+        with monkeypatch.context() as m:
+            m.setattr(conversion, "cast_declared", counted)
+            made, remember = conversion.reconvert(data, state, "1", other["const"], other["enum"], calls, width=3)
+        done = {*cast_rows}
+        if compared:
+            whole = conversion.convert(workbooks.workbook_cells(data), other["const"], other["enum"], calls, width=3)
+            shown = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+            assert made.tables.keys() == whole.tables.keys() and shown(made.faults) == shown(whole.faults)
+            for name, df in whole.tables.items():
+                assert shown(made.tables[name]) == shown(df), name
+        remember()
+        return done
+
+    other = [["id", "category"], ["*int", "$category"], ["common", "common"], [7, "a"]]
+    tags = [["id", "tags"], ["*int", "[FLAGS]"], ["common", "common"], [1, "A & B"]]
+    workbook(books / "data.xlsx", {"item.a": ITEM, "category": CATEGORY})
+    workbook(books / "drop.xlsx", {"drop": DROP})
+    workbook(books / "more.xlsx", {"other": other, "flagged": tags})
+    for name, sheets in lookups().items():
+        workbook(books / f"{name}.xlsx", sheets)
+    everything = {("item", "data.xlsx"), ("category", "data.xlsx"), ("drop", "drop.xlsx"), ("drop_attribute", "drop.xlsx"), ("other", "more.xlsx"), ("flagged", "more.xlsx")}
+    assert run() == everything
+    workbook(books / "more.xlsx", {"other": [*other, [8, "gone"]]})
+    assert run(compared=True) == {("other", "more.xlsx")}
+    workbook(books / "enum.xlsx", {"FLAGS": [["A", "1"], ["B", "A | 0x4"]]})
+    # the file with a fault is read again; the enum's table has no sheet any more
+    assert run() == {("other", "more.xlsx"), ("item", "data.xlsx")}
+    (books / "more.xlsx").unlink()
+    workbook(books / "const.xlsx", {"Raid": [["Fee", "server", "int", "4"]]})
+    assert run(compared=True) == {("item", "data.xlsx")}

@@ -6,6 +6,8 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import batched
+from typing import IO
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -27,37 +29,57 @@ def list_sources(spark: SparkSession, folder: str, const: str = "const", enum: s
     return files.where(~F.startswith(name, F.lit("~$"))).select("path", "content", kind.alias("kind"))
 
 
-def workbook_cells(sources: DataFrame) -> DataFrame:
-    """Cells of all sheets but those named ``#...``; a task reads whole files, one at a time."""
+def workbook_cells(sources: DataFrame, cells_at_once: int = 10_000) -> DataFrame:
+    """Cells of all sheets but those named ``#...``.
+
+    A task reads its files one at a time and gives a sheet in frames of ``cells_at_once``. A sheet is pulled through the
+    parser, so of a file no more than its compressed bytes and its shared texts stand in memory.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 for sheet, rows in _sheets(content):
-                    yield pd.DataFrame([(path.rsplit("/", 1)[-1], sheet, *r) for r in rows], columns=[c.split()[0] for c in CELLS.split(", ")])
+                    for some in batched(rows, cells_at_once):
+                        yield pd.DataFrame([(path.rsplit("/", 1)[-1], sheet, *r) for r in some], columns=[c.split()[0] for c in CELLS.split(", ")])
 
     return sources.select("path", "content").mapInPandas(read, CELLS)
 
 
-def _sheets(content: bytes) -> Iterator[tuple[str, list[tuple]]]:
+def _pulled(part: IO[bytes], tag: str) -> Iterator[ElementTree.Element]:
+    """The elements ``tag`` of a part, each dropped with all around it once it is done with."""
+    above: list[ElementTree.Element] = []
+    for event, element in ElementTree.iterparse(part, events=("start", "end")):
+        if event == "start":
+            above.append(element)
+            continue
+        above.pop()
+        if element.tag == tag:
+            yield element
+        if above and not any(a.tag == tag for a in above):
+            above[-1].remove(element)
+
+
+def _sheets(content: bytes) -> Iterator[tuple[str, Iterator[tuple]]]:
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         names = book.namelist()
         tree = lambda part: ElementTree.fromstring(book.read(part))
-        shared = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in tree("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in names else []
+        shared = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in _pulled(book.open("xl/sharedStrings.xml"), f"{_MAIN}si")] if "xl/sharedStrings.xml" in names else []
         bold = _bold_styles(tree("xl/styles.xml")) if "xl/styles.xml" in names else []
         targets = {r.get("Id"): r.get("Target") for r in tree("xl/_rels/workbook.xml.rels")}
         for s in tree("xl/workbook.xml").iter(f"{_MAIN}sheet"):
             if not s.get("name").startswith("#"):
-                yield s.get("name"), [*_cells(tree("xl/" + targets[s.get(_REL)].removeprefix("/xl/")), shared, bold)]
+                with book.open("xl/" + targets[s.get(_REL)].removeprefix("/xl/")) as part:
+                    yield s.get("name"), _cells(_pulled(part, f"{_MAIN}c"), shared, bold)
 
 
 def _bold_styles(styles: ElementTree.Element) -> list[bool]:
-    fonts = [f.find(f"{_MAIN}b") is not None for f in styles.find(f"{_MAIN}fonts") or []]
-    return [fonts[int(x.get("fontId", 0))] if fonts else False for x in styles.find(f"{_MAIN}cellXfs") or []]
+    fonts = [f.find(f"{_MAIN}b") is not None for f in styles.iterfind(f"{_MAIN}fonts/*")]
+    return [fonts[int(x.get("fontId", 0))] if fonts else False for x in styles.iterfind(f"{_MAIN}cellXfs/*")]
 
 
-def _cells(sheet: ElementTree.Element, shared: list[str], bold: list[bool]) -> Iterator[tuple]:
-    for c in sheet.iter(f"{_MAIN}c"):
+def _cells(found: Iterator[ElementTree.Element], shared: list[str], bold: list[bool]) -> Iterator[tuple]:
+    for c in found:
         letters, row = re.fullmatch(r"([A-Z]+)([0-9]+)", c.get("r")).groups()
         col = 0
         for x in letters:

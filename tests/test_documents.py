@@ -2,6 +2,7 @@
 
 import json
 import random
+import tracemalloc
 import zlib
 
 import pytest
@@ -11,6 +12,8 @@ from quernstone.functions import checksums
 from quernstone.operators import containers, conversion, incremental, parents, references
 from quernstone.operators.catalog import Catalog, cast_declared
 from quernstone.operators.documents import written_columns
+from quernstone.sources import workbooks
+from tests.test_operators import workbook
 
 CATALOG = Catalog(
     {
@@ -69,6 +72,20 @@ def test_checksums_of_wholes(spark):
     assert zeros ^ zlib.crc32(bytes(1 << 20)) == zlib.crc32(b"x" + bytes(1 << 20))
 
 
+def test_large_sheets_in_bounded_memory(spark, tmp_path):
+    rows = [[f"text {k}", k, None, "shared", "bold*"] for k in range(30_000)]
+    workbook(tmp_path / "large.xlsx", {"one": rows, "two": [["x"]], "none": []})
+    content = (tmp_path / "large.xlsx").read_bytes()
+    tracemalloc.start()
+    count = {name: sum(1 for _ in found) for name, found in workbooks._sheets(content)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == {"one": 120_000, "two": 1, "none": 0} and peak < 4_000_000
+    cells = workbooks.workbook_cells(workbooks.list_sources(spark, str(tmp_path)), 7000)
+    got = cells.groupBy("sheet", "col").agg(F.count("*").alias("n"), F.max("row").alias("last"), F.min("value").alias("least"), F.max("bold").alias("bold")).collect()
+    assert sorted(tuple(r) for r in got) == [("one", 0, 30000, 29999, "text 0", False), ("one", 1, 30000, 29999, "0", False), ("one", 3, 30000, 29999, "shared", False), ("one", 4, 30000, 29999, "bold", True), ("two", 0, 1, 0, "x", False)]
+
+
 def book(spark, sheet, header, *body):
     rows = [(r, c, v) for r, line in enumerate([*zip(*header, strict=True), *body]) for c, v in enumerate(line) if v is not None]
     return spark.createDataFrame([("f.xlsx", sheet, r, c, "string", str(v), False) for r, c, v in rows], "file string, sheet string, row int, col int, kind string, value string, bold boolean")

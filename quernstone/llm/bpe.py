@@ -221,7 +221,8 @@ def encode(docs: DataFrame, id_col: str, text_col: str, vocabulary_path: str, di
 
     With ``digests`` the last two come as lower-case hex SHA-256 of the ids (little-endian unsigned 32-bit) and of the
     decoded text in UTF-8, and are never put together as one array. A null text is empty and has no ids. Every word
-    is merged once per worker while its table of words has room. Other columns are not read.
+    is merged once per worker while its table of words has room. Other columns are not read. Repeated rows and null
+    identifiers give a row each; a very long text is divided into words like any other.
     """
     outs = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
 

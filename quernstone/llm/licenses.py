@@ -349,7 +349,9 @@ def scan(docs: DataFrame, id_col: str, text_col: str, phrases: dict[str, str] =
     Words count from 0, ends are exclusive. A document without any detection has one row with a null label. Texts without
     what the rules need cost one word count; in the others a rule's pattern is only tried where its own keyword
     stands. A detection is suppressed if another one that covers it begins earlier or ends later, or has the same
-    place and a higher priority; base detections are never suppressed. A null text is empty.
+    place and a higher priority; base detections are never suppressed. A null text is empty. Repeated rows and null
+    identifiers are kept apart by ``row``, the place of a row in the plan: save the result of a shuffle before it is
+    scanned, as a lost executor may bring its rows back in another order. Other columns are not read.
     """
     text = body(text_col)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), F.translate(text, UPPER, LOWER).alias("low"))

@@ -375,7 +375,13 @@ def pack(pieces: DataFrame, capacity: int = 1024, cell_items: int = 16384, islan
 
 
 def pack_documents(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end_id: int | None = 2, capacity: int = 1024, ranks_path: str | None = None, **how) -> DataFrame:
-    """Tokenise, cut and pack whole documents: (<id>, piece, start, length, ids_crc32, sequence_id, offset)."""
+    """Tokenise, cut and pack whole documents: (<id>, piece, start, length, ids_crc32, sequence_id, offset).
+
+    A null text is empty and has the end id alone, so it has a piece like any other; without an end id it has none.
+    Repeated rows and null identifiers are packed each; a text of any length is cut into pieces; other columns are not
+    read; an empty table gives no rows. The pieces are saved before they are packed, so their numbers can't change; save
+    the result of a shuffle before it comes here.
+    """
     pieces = cut(token_pieces(docs, id_col, text_col, tokenizer_path, end_id, capacity, ranks_path))
     packed = pack(pieces, capacity, **how)
     return packed.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -146,7 +146,9 @@ def near_dedup(docs: DataFrame, id_col: str, text_col: str, size: int = 4, dista
     """(id, hash, row, fp, component_id) for every row: smallest identifier among the texts reachable by links.
 
     Equal fingerprints are linked, those of texts without words (zero) like any other; a null text is empty. Null
-    identifiers are never the smallest unless a component has no other. Other columns are not read.
+    identifiers are never the smallest unless a component has no other. Repeated rows give a row each and are told apart
+    by ``row``; fingerprints are saved before they are compared, so a lost executor can't renumber them half-way. A very
+    long text is one fingerprint, computed from hashes in pieces. Other columns are not read.
     """
     signed = cut(fingerprints(docs, id_col, text_col, size))
     distinct = cut(signed.groupBy("fp").agg(F.min("id").alias("first")))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quernstone.functions.cells import CONST
 from quernstone.operators import cells as sheets
 from quernstone.operators import constraints as rules
-from quernstone.operators import containers, documents, incremental, lookups, parents, references
+from quernstone.operators import containers, documents, incremental, long_form, lookups, parents, references
 from quernstone.operators.catalog import SCOPES, SERVER, Catalog, cast_declared, declared, inheritance_levels
 from quernstone.operators.checkpoints import cut, shared_folder
 from quernstone.operators.saved import Saved
@@ -289,6 +289,29 @@ def convert(cells: DataFrame, const_cells: DataFrame | None = None, enum_cells:
     return Conversion(catalog, tables, rows, reduce(DataFrame.unionByName, found))
 
 
+def validate(cells: DataFrame, const_cells: DataFrame | None = None, enum_cells: DataFrame | None = None, params: DataFrame | None = None, width: int = 1 << 20) -> DataFrame:
+    """The violations that ``convert`` tells of, without its tables: cells are cast by type, so the plan doesn't grow with
+    the number of tables. Combined enum keys and coverage need whole columns and are left to ``convert``.
+    """
+    session = cells.sparkSession
+    shape = sheets.layout(cells, save=True)
+    table = sheets.table_name(F.col("sheet"))
+    headers, directives = cut(sheets.read_headers(shape).withColumn("table", table)), cut(sheets.read_directives(shape))
+    consts = cut(sheets.read_consts(const_cells)) if const_cells is not None else None
+    members = cut(sheets.read_enums(enum_cells)) if enum_cells is not None else None
+    values = cut(lookups.enum_values(members.dropDuplicates(["enum", "member"]))) if members is not None else None
+    rows = cut(sheets.read_rows(shape, headers).withColumn("table", table))
+    catalog, bad = _catalog(headers, directives, consts, values, params)
+    if consts is not None:
+        catalog.used = {(r.const, r.name) for r in _used(rows).select("const", "name").distinct().collect()}
+    found = [rules.violations(session.createDataFrame(bad, _FAULT), "declaration", **{c: F.col(c) for c in ("table", "column", "value", "detail")})]
+    found += _declarations(headers, directives, catalog, consts, members, values, params)
+    if catalog.columns:
+        owned = rows.withColumn("table", F.when(F.col("bold"), F.concat("table", F.lit(root_of("")))).otherwise(F.col("table")))
+        found.append(long_form.check(owned, catalog, PARENT, width))
+    return reduce(DataFrame.unionByName, found)
+
+
 def reconvert(sources: DataFrame, path: str, version: str, const_cells: DataFrame | None = None, enum_cells: DataFrame | None = None, params: DataFrame | None = None, width: int = 1 << 20) -> tuple[Conversion, Callable[[], None]]:
     """Convert ``sources`` (path, content) with what the last run left under ``path``, and a function to call at the end.
 

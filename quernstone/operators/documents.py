@@ -49,6 +49,11 @@ def _value(cast: Cast, text: Column) -> Column:
     return _bound(text, through)
 
 
+def text_of_argument(catalog: Catalog, kind: str, text: Column, made: Callable[[Column], Column]) -> Column:
+    """``made`` of an argument of a call, which is kept as text, cast to the type of its parameter."""
+    return _bound(_value(catalog.cast(kind), text), made)
+
+
 def _or_null(made: Callable[[Column], Column]) -> Callable[[Column], Column]:
     return lambda c: F.coalesce(made(c), F.lit(_NULL))
 
@@ -95,7 +100,7 @@ def _calls(catalog: Catalog) -> Callable[[Column], Column]:
         given = c["Parameters"]
         listed = F.array_join(F.transform(given, quoted), ",")
         for header, params in catalog.calls.items():
-            own = [_bound(_value(catalog.cast(kind), F.get(given, F.lit(k))), written(catalog, kind).json) for k, (_, kind, _, _) in enumerate(params)]
+            own = [text_of_argument(catalog, kind, F.get(given, F.lit(k)), written(catalog, kind).json) for k, (_, kind, _, _) in enumerate(params)]
             listed = F.when(c["Type"] == header, F.concat_ws(",", *own) if own else F.lit("")).otherwise(listed)
         return F.concat(F.lit("["), listed, F.lit("]"))
 

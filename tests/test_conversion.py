@@ -2,6 +2,7 @@
 
 import json
 import zlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -56,6 +57,12 @@ def test_every_fault_is_told_and_nothing_written(spark, tmp_path):
         ("unknown reference", "category"), ("key repeated", "id"), ("key repeated", "day"), ("orphan row", None), ("enum repeated", "B"), ("enum", "A"),
     } - {(r, c) for r, _, c, _ in found} == {("scope", "row")}
     assert ("unknown reference", "item", "category", "zz") in found and ("key repeated", "drop", "id", "1") in found
+    told = ("rule", "file", "sheet", "table", "column", "row", "value", "detail")
+    shown = lambda df: Counter(tuple(r[c] for c in told) for r in df.collect() if r.rule not in ("combined enum key", "not covered"))
+    sources = workbooks.list_sources(spark, str(tmp_path))
+    cells = {k: workbooks.workbook_cells(sources.where(F.col("kind") == k)) for k in ("data", "const", "enum")}
+    calls = prototypes.read_prototypes(spark.createDataFrame([(DSL,)], "value string"))
+    assert shown(conversion.validate(cells["data"], cells["const"], cells["enum"], calls, width=3)) == shown(made.faults)
     assert conversion.publish(made, f"{tmp_path}/out") == len(made.faults.collect()) > 0
     assert not (tmp_path / "out" / "json").exists()
     assert {r.file for r in spark.read.json(f"{tmp_path}/out/error_files").collect()} >= {"data.xlsx", "drop.xlsx"}

@@ -9,7 +9,7 @@ from quernstone.functions import checksums
 from quernstone.operators import constraints, containers
 from quernstone.operators.catalog import CLIENT, COMMON, Catalog, cast_declared
 from quernstone.operators.checkpoints import cut
-from quernstone.operators.conversion import convert
+from quernstone.operators.conversion import convert, validate
 from quernstone.operators.documents import written_columns
 from quernstone.plans.registry import query
 
@@ -41,14 +41,28 @@ def converted_document(t):
     return containers.entries(rows, gk, pk).select("key", "entry")
 
 
-@query("""select 'unknown reference' as rule, 'Place' as "table", 'home' as "column", c_nationkey::bigint * 80000000 + c_custkey + 11 as row, (1000 + c_nationkey)::varchar as value from customer where c_custkey % 5 = 0
-    union all select 'cast', 'Place', 'balance', c_nationkey::bigint * 80000000 + c_custkey + 11, 'b' || c_custkey from customer where c_custkey % 7 = 0""")
-def conversion_faults(t):
-    """All violations where some customers name a nation that isn't there and the balance of some is no number."""
+_FAULTS = """select 'unknown reference' as rule, 'Place' as "table", 'home' as "column", c_nationkey::bigint * 80000000 + c_custkey + 11 as row, (1000 + c_nationkey)::varchar as value from customer where c_custkey % 5 = 0
+    union all select 'cast', 'Place', 'balance', c_nationkey::bigint * 80000000 + c_custkey + 11, 'b' || c_custkey from customer where c_custkey % 7 = 0"""
+
+
+def _faulty(t) -> DataFrame:
+    """Cells where some customers name a nation that isn't there and the balance of some is no number."""
     own = F.col("c_custkey")
     nation = F.when(own % 5 == 0, 1000 + F.col("c_nationkey")).otherwise(F.col("c_nationkey"))
     balance = F.when(own % 7 == 0, F.concat(F.lit("b"), own.cast("string"))).otherwise(F.col("c_acctbal").cast("string"))
-    return convert(_cells(t, nation, balance)).faults.select("rule", "table", "column", "row", "value")
+    return _cells(t, nation, balance)
+
+
+@query(_FAULTS)
+def conversion_faults(t):
+    """All violations that a conversion tells of."""
+    return convert(_faulty(t)).faults.select("rule", "table", "column", "row", "value")
+
+
+@query(_FAULTS)
+def validation_faults(t):
+    """The same from cells in long form."""
+    return validate(_faulty(t)).select("rule", "table", "column", "row", "value")
 
 
 _VALUES = Catalog(

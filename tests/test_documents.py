@@ -91,6 +91,27 @@ def book(spark, sheet, header, *body):
     return spark.createDataFrame([("f.xlsx", sheet, r, c, "string", str(v), False) for r, c, v in rows], "file string, sheet string, row int, col int, kind string, value string, bold boolean")
 
 
+def test_the_plan_of_a_validation_does_not_grow_with_tables(spark):
+    kinds = ["*int", "string?", "uint8", "double", "[int]", "{int:string}", "$t0"]
+    cell = {"*int": "{r}", "string?": "x", "uint8": "7", "double": "1.5", "[int]": "1 & 2", "{int:string}": "1:a", "$t0": "1"}
+
+    def cells(n):
+        tables = [[(0, k, f"c{k}"), (1, k, kind), (2, k, "common"), *((3 + r, k, cell[kind].format(r=r)) for r in range(3))] for _ in range(n) for k, kind in enumerate(kinds)]
+        rows = [("b.xlsx", f"t{j // len(kinds)}", r, c, "string", v, False) for j, some in enumerate(tables) for r, c, v in some]
+        wrong = {("t1", 3, 2): "300", ("t1", 4, 6): "99", ("t2", 5, 0): "0", ("t2", 5, 3): None}
+        rows = [(f, s, r, c, k, wrong.get((s, r, c), v), b) for f, s, r, c, k, v, b in rows]
+        return spark.createDataFrame(rows, "file string, sheet string, row int, col int, kind string, value string, bold boolean")
+
+    lines = []
+    for n in (3, 40):
+        found = conversion.validate(cells(n))
+        lines.append(found._jdf.queryExecution().analyzed().toString().count("\n"))
+        assert sorted((r.rule, r.table, r.column, r.row, r.value) for r in found.collect()) == [
+            ("cast", "t1", "c2", 3, "300"), ("cast", "t2", "c3", 5, None), ("key repeated", "t2", "c0", 3, "0"), ("unknown reference", "t1", "c6", 4, "99"),
+        ]
+    assert lines[0] == lines[1]
+
+
 def prototypes(spark, **calls):
     rows = [(h, 0, k, n, t, False, None) for h, ps in calls.items() for k, (n, t) in enumerate(ps)]
     return spark.createDataFrame(rows, "header string, ordinal int, pos int, name string, type string, has_default boolean, default string")

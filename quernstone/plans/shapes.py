@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.operators import catalog, cells, containers, hooks, incremental
 from quernstone.operators.catalog import CLIENT, COMMON, SERVER, Catalog
+from quernstone.operators.checkpoints import cut
 from quernstone.operators.constraints import leaves
 from quernstone.plans.registry import query
 from quernstone.sources import prototypes
@@ -50,14 +51,15 @@ def _party_cells(t) -> DataFrame:
 @query("select cast(s_suppkey as varchar) as s_suppkey, s_name, cast(s_nationkey as varchar) as s_nationkey from supplier")
 def cells_roundtrip(t):
     found = _party_cells(t).where("sheet = 'Party.supplier'")
+    found = cells.layout(found, save=True)
     rows = cells.read_rows(found, cells.read_headers(found))
     return cells.sheet_order(cells.to_models(rows, ["s_suppkey", "s_name", "s_nationkey"])).select("s_suppkey", "s_name", "s_nationkey")
 
 
 @query("""select 'Party.' || side as sheet, 'Party' as "table", 'party' as json, 3::bigint as columns, n as rows from (select 'supplier' as side, count(*) as n from supplier union all select 'customer', count(*) from customer)""")
 def sheet_directives(t):
-    found = _party_cells(t)
-    headers = cells.read_headers(found)
+    found = cells.layout(_party_cells(t), save=True)
+    headers = cut(cells.read_headers(found))
     rows = cells.read_rows(found, headers).groupBy("file", "sheet").agg(F.count_distinct("row").alias("rows"))
     columns = headers.groupBy("file", "sheet").agg(F.count("*").alias("columns"))
     return cells.read_directives(found).join(columns, ["file", "sheet"]).join(rows, ["file", "sheet"]).select("sheet", "table", "json", "columns", "rows")
@@ -129,8 +131,8 @@ def document_entries(t):
 @query("""select 'Party.supplier' as sheet, 'normal' as part, (s_suppkey * 2 + 10)::integer as row, '{"s_name":"' || s_name || '","s_nationkey":"' || s_nationkey || '","s_suppkey":"' || s_suppkey || '"}' as json from supplier
     union all select 'Party.customer', 'normal', (c_custkey * 2 + 10)::integer, '{"c_custkey":"' || c_custkey || '","c_name":"' || c_name || '","c_nationkey":"' || c_nationkey || '"}' from customer""")
 def raw_dump_rows(t):
-    found = _party_cells(t)
-    return containers.raw_dump(cells.read_rows(found, cells.read_headers(found))).select("sheet", "part", "row", "json")
+    found = cells.layout(_party_cells(t), save=True)
+    return containers.raw_dump(cut(cells.read_rows(found, cells.read_headers(found)))).select("sheet", "part", "row", "json")
 
 
 @query("select n_nationkey, upper(n_name) as n_name, n_nationkey % 2 = 0 as even from nation")

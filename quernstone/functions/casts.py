@@ -316,6 +316,14 @@ def _parts(c: Column) -> Column:
 to_call = _scalar(_parts, "call")
 
 
+def _apart(step: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """The step as a lambda over one element, null for null, so that its code isn't part of the method of the whole stage.
+
+    The JVM doesn't compile methods of more than 8,000 bytes, and the checks of a few arguments exceed that.
+    """
+    return lambda c: F.get(F.transform(F.when(c.isNotNull(), F.array(c)), step), F.lit(0))
+
+
 def to_dsl(calls: dict[str, list[tuple[str, str, bool, str | None]]], cast_of: Callable[[str], Cast]) -> Cast:
     """A call that is known, with as many arguments as its prototype takes, each of the declared type: struct(Type, Parameters).
 
@@ -324,24 +332,27 @@ def to_dsl(calls: dict[str, list[tuple[str, str, bool, str | None]]], cast_of: C
     used = {(k, kind): f"a{nr}" for nr, (k, kind) in enumerate(dict.fromkeys((k, p[1]) for ps in calls.values() for k, p in enumerate(ps)))}
     casts = {kind: cast_of(kind) for _, kind in used}
 
+    text = lambda p, k: F.get(p["Parameters"], F.lit(k))
+    own = lambda p: [p["Type"].alias("Type"), p["Parameters"].alias("Parameters")]
+
     def typed(p: Column) -> Column:
         args = []
         for (k, kind), name in used.items():
             mine = [h for h, ps in calls.items() if k < len(ps) and ps[k][1] == kind]
-            text = F.when(p["Type"].isin(mine), F.get(p["Parameters"], F.lit(k)))
-            args.append(reduce(lambda x, step: step(x), casts[kind].steps, text).alias(name))
-        return F.when(p.isNotNull(), F.struct(p["Type"].alias("Type"), p["Parameters"].alias("Parameters"), *args))
+            args.append(reduce(lambda x, step: step(x), casts[kind].steps, F.when(p["Type"].isin(mine), text(p, k))).alias(name))
+        return F.struct(*own(p), *args)
 
-    def judge(c: Column, p: Column) -> Column:
-        error = F.when(is_null_literal(c), F.lit("null")).when(p.isNull(), F.lit("not a call")).when(~p["Type"].isin([*calls]), F.lit("unknown header"))
+    def told(p: Column) -> Column:
+        given = F.size(p["Parameters"])
+        error = F.when(~p["Type"].isin([*calls]), F.lit("unknown header"))
         for h, ps in calls.items():
-            own, given = p["Type"] == h, F.size(p["Parameters"])
-            error = error.when(own & (given < sum(not x[2] for x in ps)), F.lit("too few arguments")).when(own & (given > len(ps)), F.lit("too many arguments"))
-            for k, (name, kind, _, _) in enumerate(ps):
-                text = F.get(p["Parameters"], F.lit(k))
-                bad = F.when(text.isNotNull(), casts[kind].judge(text, p[used[k, kind]]))
-                error = error.when(own & bad.isNotNull(), F.concat(F.lit(f"{name}: "), bad))
-        return error
+            count = F.when(given < sum(not x[2] for x in ps), F.lit("too few arguments")).when(given > len(ps), F.lit("too many arguments"))
+            bad = [F.when(text(p, k).isNotNull(), F.concat(F.lit(f"{name}: "), casts[kind].judge(text(p, k), p[used[k, kind]]))) for k, (name, kind, _, _) in enumerate(ps)]
+            error = error.when(p["Type"] == h, F.coalesce(count, *bad))
+        return F.struct(*own(p), error.alias("error"))
+
+    def judge(c: Column, p: Column) -> Column:
+        return F.when(is_null_literal(c), F.lit("null")).when(p.isNull(), F.lit("not a call")).otherwise(p["error"])
 
     def finish(p: Column) -> Column:
         full = p["Parameters"]
@@ -350,7 +361,7 @@ def to_dsl(calls: dict[str, list[tuple[str, str, bool, str | None]]], cast_of: C
             full = F.when(p["Type"] == h, F.concat(p["Parameters"], rest)).otherwise(full) if ps else full
         return F.when(p.isNotNull(), F.struct(p["Type"].alias("Type"), full.alias("Parameters")))
 
-    return Cast((_parts, typed), judge, finish)
+    return Cast((_parts, _apart(typed), _apart(told)), judge, finish)
 
 
 TOKENS = "0x[0-9A-Fa-f]+|[A-Za-z_0-9]+|[&|~()]"

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.functions.cells import CONST, call_parts, is_null_literal, split_items
+from quernstone.functions.cells import CONST, ITEM_END, call_parts, is_null_literal, split_items
 from quernstone.operators.checkpoints import cut
 
 DECIMAL = "^[+-]?[0-9]+$"
@@ -71,19 +71,21 @@ def _staged(df: DataFrame, wanted: dict[str, tuple[Cast, Column]]) -> DataFrame:
     return made.select(*own, *results)
 
 
-def cast_columns(df: DataFrame, wanted: dict[str, tuple[Cast, Column]], most: int = 100_000) -> DataFrame:
+def cast_columns(df: DataFrame, wanted: dict[str, tuple[Cast, Column]], most: int = 100_000, hold: Callable[[DataFrame, list[Column]], DataFrame] = lambda df, _: df) -> DataFrame:
     """``df`` with a column struct(value, error) for each name, cast from text. The names must be new.
 
     Conversions marked ``few`` are made for distinct texts and joined back, by broadcast where a count shows at most
-    ``most`` of them and by AQE's choice beyond.
+    ``most`` of them and by AQE's choice beyond. ``hold`` adds what the casts read beside some texts, to be dropped after.
     """
-    made = _staged(df, {n: w for n, w in wanted.items() if not w[0].few})
+    plain = {n: w for n, w in wanted.items() if not w[0].few}
+    made = _staged(hold(df, [c.cast("string") for _, c in plain.values()]), plain)
+    made = made.select(*[F.col(f"`{c}`") for c in df.columns], *plain)
     for name, (cast, c) in wanted.items():
         if cast.few:
             (own,) = fresh(made.columns, "__text")
             made = made.withColumn(own, c.cast("string"))
             texts = cut(made.select(F.col(own).alias("text")).distinct())
-            table = _staged(texts, {"found": (replace(cast, few=False), F.col("text"))}).select(F.col("text").alias(f"{own}_"), F.col("found").alias(name))
+            table = _staged(hold(texts, [F.col("text")]), {"found": (replace(cast, few=False), F.col("text"))}).select(F.col("text").alias(f"{own}_"), F.col("found").alias(name))
             table = F.broadcast(table) if texts.count() <= most else table
             made = made.join(table, F.col(own).eqNullSafe(F.col(f"{own}_")), "left").drop(own, f"{own}_")
     return made
@@ -106,18 +108,26 @@ def nullable(cast: Cast) -> Cast:
     return replace(cast, judge=lambda c, found: F.when(~is_null_literal(c), cast.judge(c, found)))
 
 
-def substituted(cast: Cast, consts: dict[str, str], others: list[str], tables: list[str]) -> Cast:
-    """The same conversion where ``Const:T:N`` stands for a text of ``consts``; ``others`` are constants of other types.
+#: Constants by token ``Const:T:N``: what a constant ends in, and its declared type.
+HELD = "map<string,struct<text:string,kind:string>>"
 
-    ``tables`` are all that have constants, whether any of theirs is in ``consts`` or not.
+
+def placed(held: Column) -> Callable[[Column], Column]:
+    """The text of a constant for its token, any other text as it is."""
+    return lambda c: F.when(F.startswith(c, F.lit("Const:")), F.coalesce(F.try_element_at(held, c)["text"], c)).otherwise(c)
+
+
+def substituted(cast: Cast, held: Column, others: list[str], tables: list[str]) -> Cast:
+    """The same conversion where ``Const:T:N`` stands for a text of ``held``; ``others`` are declared types that differ.
+
+    ``tables`` are all that have constants, whether any of theirs is in ``held`` or not.
     """
-    of = lambda c: F.try_element_at(F.from_json(F.lit(json.dumps(consts)), "map<string,string>"), c)
-    known = [f"Const:{t}:" for t in tables]
-    put = lambda c: F.when(F.startswith(c, F.lit("Const:")), F.coalesce(of(c), c)).otherwise(c)
+    put = placed(held)
 
     def judge(c: Column, found: Column) -> Column:
-        missing = F.when(F.regexp_extract(c, "^(Const:[^:]*:)", 1).isin(known), F.lit("unknown const")).otherwise(F.lit("unknown const table"))
-        wrong = F.when(c.rlike(CONST), F.when(of(c).isNull(), missing).when(c.isin(others), F.lit("const of another type")))
+        hit = F.try_element_at(held, c)
+        missing = F.when(F.regexp_extract(c, "^(Const:[^:]*:)", 1).isin([f"Const:{t}:" for t in tables]), F.lit("unknown const")).otherwise(F.lit("unknown const table"))
+        wrong = F.when(c.rlike(CONST), F.when(hit.isNull(), missing).when(hit["kind"].isin(others), F.lit("const of another type")))
         return F.coalesce(wrong, cast.judge(put(c), found))
 
     return replace(cast, steps=(put, *cast.steps), judge=judge)
@@ -324,11 +334,13 @@ def _apart(step: Callable[[Column], Column]) -> Callable[[Column], Column]:
     return lambda c: F.get(F.transform(F.when(c.isNotNull(), F.array(c)), step), F.lit(0))
 
 
-def to_dsl(calls: dict[str, list[tuple[str, str, bool, str | None]]], cast_of: Callable[[str], Cast]) -> Cast:
+def to_dsl(calls: dict[str, list[tuple[str, str, bool, str | None]]], cast_of: Callable[[str], Cast], put: Callable[[Column], Column] | None = None) -> Cast:
     """A call that is known, with as many arguments as its prototype takes, each of the declared type: struct(Type, Parameters).
 
-    ``calls``: header -> [(name, type, has default, default)]. Parameters come as text with defaults filled in.
+    ``calls``: header -> [(name, type, has default, default)]. Parameters come as text with defaults filled in; with ``put``
+    constants in them are replaced by their texts, so what reads the value needs no constants.
     """
+    lists = [f"{h}:{k}" for h, ps in calls.items() for k, p in enumerate(ps) if p[1].lstrip("*!~").startswith("[")]
     used = {(k, kind): f"a{nr}" for nr, (k, kind) in enumerate(dict.fromkeys((k, p[1]) for ps in calls.values() for k, p in enumerate(ps)))}
     casts = {kind: cast_of(kind) for _, kind in used}
 
@@ -354,11 +366,16 @@ def to_dsl(calls: dict[str, list[tuple[str, str, bool, str | None]]], cast_of: C
     def judge(c: Column, p: Column) -> Column:
         return F.when(is_null_literal(c), F.lit("null")).when(p.isNull(), F.lit("not a call")).otherwise(p["error"])
 
+    def resolved(header: Column, x: Column, k: Column) -> Column:
+        each = F.array_join(F.transform(split_items(x), lambda item: F.concat(put(item), F.lit(ITEM_END))), "")
+        inside = F.contains(x, F.lit("Const:")) & ~x.rlike(CONST) & F.concat_ws(":", header, k.cast("string")).isin(lists)
+        return F.when(inside, each).otherwise(put(x))
+
     def finish(p: Column) -> Column:
-        full = p["Parameters"]
+        full = given = p["Parameters"] if put is None else F.transform(p["Parameters"], lambda x, k: resolved(p["Type"], x, k))
         for h, ps in calls.items():
             rest = F.slice(F.array(*[F.lit(x[3]).cast("string") for x in ps]), F.size(p["Parameters"]) + 1, F.greatest(F.lit(len(ps)) - F.size(p["Parameters"]), F.lit(0)))
-            full = F.when(p["Type"] == h, F.concat(p["Parameters"], rest)).otherwise(full) if ps else full
+            full = F.when(p["Type"] == h, F.concat(given, rest)).otherwise(full) if ps else full
         return F.when(p.isNotNull(), F.struct(p["Type"].alias("Type"), full.alias("Parameters")))
 
     return Cast((_parts, _apart(typed), _apart(told)), judge, finish)

@@ -11,6 +11,8 @@ CALL = "(?s)^\\s*([A-Za-z_][A-Za-z_0-9]*)\\s*\\((.*)\\)\\s*$"
 NAME = "^[a-zA-Z_$][a-zA-Z_$0-9]*$"
 #: Fixed value: separators of a list cell, outside parentheses.
 SEPARATOR = "[&|\\n](?![^()]*\\))"
+#: Ends each item of a list put together from texts that may hold separators.
+ITEM_END = "\x1e"
 
 
 def is_null_literal(c: Column) -> Column:
@@ -43,8 +45,9 @@ def valid_name(c: Column) -> Column:
 
 
 def split_items(c: Column) -> Column:
-    """Items of a list cell, trimmed, without empty ones; an empty array for a null literal."""
-    items = F.filter(F.transform(F.split(c, SEPARATOR), lambda x: F.trim(x)), lambda x: x != "")
+    """Items of a list cell, trimmed, without empty ones; an empty array for a null literal. A text with ``ITEM_END`` has no other separators."""
+    parts = F.when(F.contains(c, F.lit(ITEM_END)), F.split(c, ITEM_END)).otherwise(F.split(c, SEPARATOR))
+    items = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
     return F.when(is_null_literal(c), F.array().cast("array<string>")).otherwise(items)
 
 

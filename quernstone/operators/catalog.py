@@ -8,11 +8,12 @@ import re
 from collections.abc import Collection
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions import casts
 from quernstone.functions.cells import CONST
+from quernstone.operators import constants
 from quernstone.operators.chains import chain_ends
 
 SERVER, CLIENT, COMMON = 1, 2, 3
@@ -84,8 +85,8 @@ class Catalog:
     """Small declarations, held by the driver: columns by table (name, type text, scope), enums, call parameters.
 
     ``calls``: header -> [(name, type, has default, default)]. ``consts``: (table, name) -> (type, text), where a text may
-    name another constant; ``used`` are those that cells to be cast name, all if it isn't given. ``groups``: table -> JSON
-    group, the table's own name where it isn't listed.
+    name another constant; ``texts`` is ``const_rows`` as a saved table, if there is one, and ``names_consts`` tells whether
+    cells to be cast name any. ``groups``: table -> JSON group, the table's own name where it isn't listed.
     """
 
     columns: dict[str, dict[str, tuple[str, int]]] = field(default_factory=dict)
@@ -93,7 +94,8 @@ class Catalog:
     calls: dict[str, list[tuple[str, str, bool, str | None]]] = field(default_factory=dict)
     consts: dict[tuple[str, str], tuple[str, str | None]] = field(default_factory=dict)
     groups: dict[str, str] = field(default_factory=dict)
-    used: Collection[tuple[str, str]] | None = None
+    texts: DataFrame | None = None
+    names_consts: bool = True
 
     def key(self, table: str) -> str | None:
         """The group key if there is one, else the primary key."""
@@ -118,16 +120,35 @@ class Catalog:
         end = replace(d, name="int") if d.sequence else d
         return replace(end, nullable=end.nullable or optional)
 
+    def const_ends(self) -> dict[tuple[str, str], str | None]:
+        """The text that each constant ends in; those in a circle of constants, or on the way into one, are left out."""
+        ends: dict[tuple[str, str], str | None] = {}
+        seen: set[tuple[str, str]] = set()
+        for at in self.consts:
+            way: list[tuple[str, str]] = []
+            while at not in seen:
+                seen.add(at)
+                way.append(at)
+                text = self.consts[at][1]
+                link = re.fullmatch(CONST, text or "")
+                if not link or link.groups() not in self.consts:
+                    ends[at] = text
+                    break
+                at = link.groups()
+            if at in ends:
+                ends.update(dict.fromkeys(way, ends[at]))
+        return ends
+
     def const_text(self, table: str, name: str) -> str | None:
         """The text a constant ends in; a circle of constants is an error."""
         at, seen = (table, name), set()
         while at not in seen:
             seen.add(at)
             text = self.consts[at][1]
-            named = re.fullmatch(CONST, text or "")
-            if not named or named.groups() not in self.consts:
+            link = re.fullmatch(CONST, text or "")
+            if not link or link.groups() not in self.consts:
                 return text
-            at = named.groups()
+            at = link.groups()
         raise ValueError(f"Const:{table}:{name}: constants form a cycle")
 
     def same_type(self, a: str, b: str) -> bool:
@@ -135,15 +156,31 @@ class Catalog:
         one, other = self.root(a).name, self.root(b).name
         return _ALIASES.get(one, one) == _ALIASES.get(other, other)
 
-    def cast(self, text: str) -> casts.Cast:
-        """The conversion of a declared type, of which a constant may stand for any value or element."""
-        found = self._plain_cast(text)
+    def const_rows(self) -> list[tuple[str, str, str]]:
+        """(token, text, kind) of the constants."""
+        return [(f"Const:{t}:{n}", text or "", self.consts[t, n][0]) for (t, n), text in self.const_ends().items()]
+
+    def const_texts(self, session: SparkSession) -> DataFrame:
+        """``const_rows`` as a table; ``convert`` saves it once in ``texts``."""
+        return self.texts if self.texts is not None else session.createDataFrame(self.const_rows(), "token string, text string, kind string")
+
+    def without_consts(self) -> Catalog:
+        """For texts in which constants are replaced already."""
+        return replace(self, consts={}, texts=None)
+
+    def cast(self, text: str, held: Column | None = None) -> casts.Cast:
+        """The conversion of a declared type, of which a constant may stand for any value or element.
+
+        ``held`` is the column that ``constants.hold`` gives the rows. Without it all constants stand in the expression,
+        which is for few of them.
+        """
+        if self.consts and held is None:
+            held = F.from_json(F.lit(json.dumps({token: {"text": own, "kind": kind} for token, own, kind in self.const_rows()})), casts.HELD)
+        found = self._plain_cast(text, held)
         if not self.consts:
             return found
-        own = {k: v for k, v in self.consts.items() if self.used is None or k in self.used}
-        texts = {f"Const:{t}:{n}": self.const_text(t, n) or "" for t, n in own}
-        others = [f"Const:{t}:{n}" for (t, n), (kind, _) in own.items() if not self.same_type(kind, text)]
-        return casts.substituted(found, texts, others, sorted({t for t, _ in self.consts}))
+        others = [kind for kind in dict.fromkeys(kind for kind, _ in self.consts.values()) if not self.same_type(kind, text)]
+        return casts.substituted(found, held, others, sorted({t for t, _ in self.consts}))
 
     def described(self, text: str) -> object:
         """All that the cast of a declared type depends on, but for constants: roots of references, enums, prototypes."""
@@ -164,13 +201,18 @@ class Catalog:
         whole = [[[c, self.described(kind)] for c, (kind, _) in self.columns[table].items()], consts, sorted({t for t, _ in self.consts}) if used else []]
         return hashlib.sha256(json.dumps(whole).encode()).hexdigest()[:24]
 
-    def _plain_cast(self, text: str) -> casts.Cast:
+    def _to_dsl(self, held: Column | None) -> casts.Cast:
+        own = lambda text: self.const_text(*m.groups()) if (m := re.fullmatch(CONST, text or "")) and m.groups() in self.consts else text
+        calls = {h: [(n, kind, has, own(default)) for n, kind, has, default in ps] for h, ps in self.calls.items()}
+        return casts.to_dsl(calls, lambda kind: self.cast(kind, held), casts.placed(held) if self.consts else None)
+
+    def _plain_cast(self, text: str, held: Column | None) -> casts.Cast:
         d = self.root(text)
         shape, inner = parts_of(d.name)
         if shape == "list":
-            return casts.to_list(self.cast(inner[0]))
+            return casts.to_list(self.cast(inner[0], held))
         if shape == "map":
-            return casts.to_map(self.cast(inner[0]), self.cast(inner[1]))
+            return casts.to_map(self.cast(inner[0], held), self.cast(inner[1], held))
         if shape in ("point", "size", "range"):
             element = _ALIASES.get(inner[0], "")
             if not element.startswith("uint"):
@@ -182,11 +224,20 @@ class Catalog:
             plain = _ALIASES.get(d.name)
             if plain is None:
                 raise ValueError(f"{text}: unknown type")
-            named = {"bool": casts.to_bool, "float": casts.to_float_checked, "double": casts.to_double, "string": casts.to_string, "DateTime": casts.to_datetime, "TimeSpan": casts.to_timespan, "DateRange": casts.to_date_range, "dsl": casts.to_dsl(self.calls, self.cast) if plain == "dsl" and self.calls else casts.to_call}
+            named = {"bool": casts.to_bool, "float": casts.to_float_checked, "double": casts.to_double, "string": casts.to_string, "DateTime": casts.to_datetime, "TimeSpan": casts.to_timespan, "DateRange": casts.to_date_range, "dsl": self._to_dsl(held) if plain == "dsl" and self.calls else casts.to_call}
             found = named.get(plain) or (casts.to_unsigned if plain[0] == "u" else casts.to_signed)(int(re.sub(r"\D", "", plain)))
         return casts.nullable(found) if d.nullable else found
 
 
+def cast_texts(df: DataFrame, catalog: Catalog, wanted: dict[str, tuple[str, Column]], held: str = "__constants") -> DataFrame:
+    """``df`` with a column struct(value, error) for each (declared type, text); constants are joined to the rows as ``held``."""
+    if not catalog.consts:
+        return casts.cast_columns(df, {name: (catalog.cast(kind), c) for name, (kind, c) in wanted.items()})
+    texts = catalog.const_texts(df.sparkSession)
+    given = lambda rows, columns: constants.hold(rows, columns, texts, held) if catalog.names_consts else rows.withColumn(held, F.lit(None).cast(casts.HELD))
+    return casts.cast_columns(df, {name: (catalog.cast(kind, F.col(held)), c) for name, (kind, c) in wanted.items()}, hold=given)
+
+
 def cast_declared(df: DataFrame, catalog: Catalog, table: str) -> DataFrame:
     """Every declared column of text cast, other columns kept; ``errors`` lists (column, value, error).
 
@@ -194,9 +245,9 @@ def cast_declared(df: DataFrame, catalog: Catalog, table: str) -> DataFrame:
     once per distinct text; calls are checked against their prototypes.
     """
     wanted = catalog.columns[table]
-    names = casts.fresh([*df.columns, "errors"], *[f"__{c}" for c in wanted])
+    held, *names = casts.fresh([*df.columns, "errors", "text"], "__constants", *[f"__{c}" for c in wanted])
     found = dict(zip(wanted, names, strict=True))
-    made = casts.cast_columns(df, {found[c]: (catalog.cast(t), F.col(f"`{c}`")) for c, (t, _) in wanted.items()})
+    made = cast_texts(df, catalog, {found[c]: (t, F.col(f"`{c}`")) for c, (t, _) in wanted.items()}, held)
     error = lambda c: F.col(f"`{found[c]}`.error")
     faults = F.array(*[F.when(error(c).isNotNull(), F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value"), error(c).alias("error"))) for c in wanted])
     keep = [F.col(f"`{found[c]}`.value").alias(c) if c in found else F.col(f"`{c}`") for c in df.columns]

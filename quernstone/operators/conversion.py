@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.functions.casts import HELD
 from quernstone.functions.cells import CONST
 from quernstone.operators import cells as sheets
 from quernstone.operators import constraints as rules
@@ -94,16 +95,19 @@ def _catalog(headers: DataFrame, directives: DataFrame, consts: DataFrame | None
         made.calls.pop(header, None)
         bad.append((header, name, kind, "a call can't be an argument of a call"))
     # first what isn't a type, then what leads to something that isn't there, until all that is left can be cast
-    for check in (declared, made.cast):
+    held = F.lit(None).cast(HELD)
+    for check in (declared, lambda kind: made.cast(kind, held)):
         while True:
-            wrong = []
+            wrong, ends, seen = [], made.const_ends(), {}
             for key in [*made.consts]:
-                try:
-                    declared(made.consts[key][0])
-                    made.const_text(*key)
-                    made.root(made.consts[key][0])
-                except ValueError as e:
-                    wrong.append((*key, made.consts.pop(key)[1], str(e)))
+                kind = made.consts[key][0]
+                if kind not in seen:
+                    try:
+                        seen[kind] = made.root(kind) and None
+                    except ValueError as e:
+                        seen[kind] = str(e)
+                if seen[kind] or key not in ends:
+                    wrong.append((*key, made.consts.pop(key)[1], seen[kind] or f"Const:{key[0]}:{key[1]}: constants form a cycle"))
             for table, column, kind in [(t, c, k) for t, columns in made.columns.items() for c, (k, _) in columns.items()]:
                 try:
                     check(kind)
@@ -114,6 +118,8 @@ def _catalog(headers: DataFrame, directives: DataFrame, consts: DataFrame | None
             if not wrong:
                 break
             bad += wrong
+    if made.consts:
+        made.texts = cut(made.const_texts(headers.sparkSession))
     return made, bad
 
 
@@ -219,7 +225,7 @@ def _cast_tables(catalog: Catalog, rows: Callable[[DataFrame | None], DataFrame]
     for r in used.select("table", "const", "name").distinct().collect() if used is not None else ():
         named.setdefault(r.table, set()).add((r.const, r.name))
     own = lambda table: {*named.get(table, ()), *named.get(table.removesuffix(root_of("")), ())}
-    cast = lambda df, name: cast_declared(df, replace(catalog, used=own(name)), name)
+    cast = lambda df, name: cast_declared(df, replace(catalog, names_consts=bool(own(name))), name)
     raw = {}
 
     def tables(files: DataFrame | None) -> dict[str, DataFrame]:
@@ -302,8 +308,6 @@ def validate(cells: DataFrame, const_cells: DataFrame | None = None, enum_cells:
     values = cut(lookups.enum_values(members.dropDuplicates(["enum", "member"]))) if members is not None else None
     rows = cut(sheets.read_rows(shape, headers).withColumn("table", table))
     catalog, bad = _catalog(headers, directives, consts, values, params)
-    if consts is not None:
-        catalog.used = {(r.const, r.name) for r in _used(rows).select("const", "name").distinct().collect()}
     found = [rules.violations(session.createDataFrame(bad, _FAULT), "declaration", **{c: F.col(c) for c in ("table", "column", "value", "detail")})]
     found += _declarations(headers, directives, catalog, consts, members, values, params)
     if catalog.columns:

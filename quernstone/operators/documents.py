@@ -50,8 +50,8 @@ def _value(cast: Cast, text: Column) -> Column:
 
 
 def text_of_argument(catalog: Catalog, kind: str, text: Column, made: Callable[[Column], Column]) -> Column:
-    """``made`` of an argument of a call, which is kept as text, cast to the type of its parameter."""
-    return _bound(_value(catalog.cast(kind), text), made)
+    """``made`` of an argument of a call, which is kept as text without constants, cast to the type of its parameter."""
+    return _bound(_value(catalog.without_consts().cast(kind), text), made)
 
 
 def _or_null(made: Callable[[Column], Column]) -> Callable[[Column], Column]:

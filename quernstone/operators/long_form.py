@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.casts import cast_columns
 from quernstone.operators import constraints as rules
-from quernstone.operators import parents
+from quernstone.operators import constants, parents
 from quernstone.operators.catalog import Catalog, declared, parts_of
 from quernstone.operators.checkpoints import cut, shared_folder
 from quernstone.operators.documents import text_of_argument, written
@@ -67,12 +67,14 @@ def cast_cells(rows: DataFrame, catalog: Catalog) -> DataFrame:
     session = rows.sparkSession
     known = session.createDataFrame(places, "table string, name string, type int")
     typed = rows.select(*_PLACE, "table", "name", "value").join(known, ["table", "name"])
+    if catalog.consts:
+        typed = constants.hold(typed, [F.col("value")], catalog.const_texts(session), "held")
     folder = f"{shared_folder(session)}/cells-{uuid.uuid4().hex}"
     typed.write.partitionBy("type").parquet(folder)
     saved = session.read.schema(typed.schema).parquet(folder)
     found = []
     for nr, kind in kinds.values():
-        made = cast_columns(saved.where(F.col("type") == nr), {"cast": (catalog.cast(kind), F.col("value"))})
+        made = cast_columns(saved.where(F.col("type") == nr), {"cast": (catalog.cast(kind, F.col("held") if catalog.consts else None), F.col("value"))})
         found.append(made.select(*_PLACE, "table", "name", "value", written(catalog, kind).text(F.col("cast.value")).alias("text"), leaves(catalog, kind, F.col("cast.value")).cast(_LEAVES).alias("leaves"), F.col("cast.error").alias("error")))
     return cut(reduce(DataFrame.union, found))
 

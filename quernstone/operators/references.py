@@ -34,7 +34,7 @@ def _walk(df: DataFrame, keep: list[str], catalog: Catalog, kind: str) -> Iterat
             for k, (_, part, _, _) in enumerate(params):
                 if "$" in part:
                     given = df.where(F.col("v.Type") == header).select(*own, F.get("v.Parameters", F.lit(k)).alias("argument"))
-                    typed = cast_columns(given, {"cast": (catalog.cast(part), F.col("argument"))})
+                    typed = cast_columns(given, {"cast": (catalog.without_consts().cast(part), F.col("argument"))})
                     yield from _walk(typed.select(*own, F.col("cast.value").alias("v")), keep, catalog, part)
 
 

@@ -190,6 +190,26 @@ def cast_const(t):
     return cast.select("c_custkey", "value", F.get("errors", F.lit(0))["error"].alias("error"))
 
 
+@query("""select c_custkey, case when c_custkey % 6 = 5 then null else 1 + c_nationkey + n_regionkey end::bigint as total,
+    case when c_custkey % 6 = 5 then null else c_nationkey || '|' || n_name || ' & ' || n_nationkey end as bound,
+    case when c_custkey % 6 = 5 then 'numbers: unknown const, call: id: const of another type' else '' end as faults
+    from customer join nation on c_nationkey = n_nationkey""")
+def const_elements(t):
+    """Constants in items of lists and in arguments of calls: their texts by a join of the names in the cells, one of them with a separator in it."""
+    nations = t("nation").select("n_nationkey", "n_name", "n_regionkey").collect()
+    consts = {("Nation", f"{kind}{r.n_nationkey}"): made for r in nations for kind, made in (("KEY", ("int", str(r.n_nationkey))), ("REGION", ("int", str(r.n_regionkey))), ("NAME", ("string", f"{r.n_name} & {r.n_nationkey}")))}
+    catalog = Catalog({"t": {"numbers": ("[int]", 3), "call": ("dsl", 3)}}, calls={"f": [("id", "int", False, None), ("names", "[string]", False, None)]}, consts=consts)
+    bad = F.col("c_custkey") % 6 == 5
+    named = lambda kind: F.concat(F.lit(f"Const:Nation:{kind}"), F.col("c_nationkey").cast("string"))
+    numbers = F.concat(F.lit("1 & "), F.when(bad, F.lit("Const:Nation:NONE")).otherwise(named("KEY")), F.lit(" & "), named("REGION"))
+    call = F.concat(F.lit("f("), F.when(bad, named("NAME")).otherwise(named("KEY")), F.lit(", first & "), named("NAME"), F.lit(")"))
+    cast = cast_declared(t("customer").select("c_custkey", numbers.alias("numbers"), call.alias("call")), catalog, "t")
+    names = F.split(F.get("call.Parameters", F.lit(1)), "\x1e")
+    bound = F.concat(F.get("call.Parameters", F.lit(0)), F.lit("|"), F.get(names, F.lit(1)))
+    total = F.aggregate("numbers", F.lit(0).cast("long"), lambda n, x: n + x)
+    return cast.select("c_custkey", total.alias("total"), bound.alias("bound"), F.array_join(F.transform("errors", lambda e: F.concat(e["column"], F.lit(": "), e["error"])), ", ").alias("faults"))
+
+
 @query("""select l_orderkey, l_linenumber, case l_linenumber % 5 when 0 then l_partkey || '|1|100.0' when 1 then l_partkey || '|' || l_linenumber || '|2.5' end as bound,
     case l_linenumber % 5 when 2 then 'count: above uint8' when 3 then 'too few arguments' when 4 then 'unknown header' end as error from lineitem""")
 def cast_call(t):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import uuid
 from collections.abc import Callable
@@ -15,7 +17,7 @@ from quernstone.functions.casts import HELD
 from quernstone.functions.cells import CONST
 from quernstone.operators import cells as sheets
 from quernstone.operators import constraints as rules
-from quernstone.operators import containers, documents, incremental, long_form, lookups, parents, references
+from quernstone.operators import containers, documents, incremental, long_form, lookups, parents, reference_index, references
 from quernstone.operators.catalog import SCOPES, SERVER, Catalog, cast_declared, declared, inheritance_levels
 from quernstone.operators.checkpoints import cut, shared_folder
 from quernstone.operators.saved import Saved
@@ -219,8 +221,11 @@ def _used(rows: DataFrame) -> DataFrame:
     return found.select("file", "table", F.split_part("token", F.lit(":"), F.lit(2)).alias("const"), F.split_part("token", F.lit(":"), F.lit(3)).alias("name"))
 
 
-def _cast_tables(catalog: Catalog, rows: Callable[[DataFrame | None], DataFrame], used: DataFrame | None, saved: Saved | None, width: int) -> dict[str, DataFrame]:
-    """All tables cast and saved once; ``rows`` gives the uncast rows of some files, or of all for None."""
+def _cast_tables(catalog: Catalog, rows: Callable[[DataFrame | None], DataFrame], used: DataFrame | None, saved: Saved | None, width: int) -> tuple[dict[str, DataFrame], str]:
+    """All tables cast and saved once, and a seal of all that they and their references depend on, if they are kept.
+
+    ``rows`` gives the uncast rows of some files, or of all for None.
+    """
     named: dict[str, set[tuple[str, str]]] = {}
     for r in used.select("table", "const", "name").distinct().collect() if used is not None else ():
         named.setdefault(r.table, set()).add((r.const, r.name))
@@ -235,12 +240,14 @@ def _cast_tables(catalog: Catalog, rows: Callable[[DataFrame | None], DataFrame]
 
     whole = tables(None)
     if saved is None:
-        return {name: cut(cast(df, name)) for name, df in whole.items()}
+        return {name: cut(cast(df, name)) for name, df in whole.items()}, ""
     fresh = {r.table for r in rows(saved.work).select("table").distinct().collect()}
     made = lambda name: lambda files: cast(tables(files)[name], name)
-    found = {name: saved.cast(name, catalog.fingerprint(name, own(name)), cast(df.limit(0), name).schema, not fresh.isdisjoint({name, name.removesuffix(root_of(""))}), made(name)) for name, df in whole.items()}
+    seals = {name: catalog.fingerprint(name, own(name)) for name in whole}
+    found = {name: saved.cast(name, seals[name], cast(df.limit(0), name).schema, not fresh.isdisjoint({name, name.removesuffix(root_of(""))}), made(name)) for name, df in whole.items()}
     saved.forget(found)
-    return found
+    seal = json.dumps([sorted(seals.items()), sorted((t, [*columns.items()]) for t, columns in catalog.columns.items()), sorted(catalog.groups.items()), sorted(catalog.calls.items())])
+    return found, hashlib.sha256(seal.encode()).hexdigest()[:24]
 
 
 def convert(cells: DataFrame, const_cells: DataFrame | None = None, enum_cells: DataFrame | None = None, params: DataFrame | None = None, changed: DataFrame | None = None, width: int = 1 << 20, saved: Saved | None = None) -> Conversion:
@@ -255,7 +262,8 @@ def convert(cells: DataFrame, const_cells: DataFrame | None = None, enum_cells:
     With ``saved`` the cells are those of the files on its work list. What other files hold is taken from there: their rows,
     headers and directives as they are, and their cast rows too where all that a table's cast depends on (types, what
     references end in, enums, prototypes, the constants that its cells name) is the same; else the table is cast anew.
-    The rules are checked over all rows.
+    The rules are checked over all rows, but for references: of those only the ones of changed files, the ones to values
+    that went from changed files, and the ones lost before are looked up again.
     """
     session = cells.sparkSession
     shape = sheets.layout(cells, save=True)
@@ -281,7 +289,7 @@ def convert(cells: DataFrame, const_cells: DataFrame | None = None, enum_cells:
         saved.put("used", own)
         used = saved.get("used", own.schema)
     catalog, bad = _catalog(headers, directives, consts, values, params)
-    tables = _cast_tables(catalog, lambda files: rows if files is None else rows.join(files, "file", "left_semi"), used, saved, width)
+    tables, seal = _cast_tables(catalog, lambda files: rows if files is None else rows.join(files, "file", "left_semi"), used, saved, width)
     found = [rules.violations(session.createDataFrame(bad, _FAULT), "declaration", **{c: F.col(c) for c in ("table", "column", "value", "detail")})]
     found += _declarations(headers, directives, catalog, consts, members, values, params)
     for name, df in tables.items():
@@ -290,7 +298,7 @@ def convert(cells: DataFrame, const_cells: DataFrame | None = None, enum_cells:
     if tables:
         marked = [kind for columns in catalog.columns.values() for kind, _ in columns.values()]
         if any("$" in kind or "dsl" in kind for kind in marked):
-            found.append(references.reference_faults(tables, catalog, PLACE, changed))
+            found.append(references.reference_faults(tables, catalog, PLACE, changed) if saved is None else reference_index.saved_faults(saved, tables, catalog, seal))
         found.append(references.coverage_faults(tables, catalog))
     return Conversion(catalog, tables, rows, reduce(DataFrame.unionByName, found))
 

@@ -57,10 +57,24 @@ class Saved:
         kept = rows.join(files, "file", "left_semi").select(*[F.col(f"`{c}`") for c in rows.columns], F.lit(False).alias(_BLANK))
         kept.unionByName(blank).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(f"{self.path}/{part}")
 
-    def get(self, part: str, schema: StructType) -> DataFrame:
-        """The rows of all files that there are."""
+    def get(self, part: str, schema: StructType, every: bool = False) -> DataFrame:
+        """The rows of all files that there are; with ``every`` also of those that are gone."""
         found = read_snapshot(self.session, f"{self.path}/{part}", StructType([*schema.fields]).add(_BLANK, "boolean"))
-        return found.where(f"not {_BLANK}").drop(_BLANK).join(self._all, "file", "left_semi").select([f"`{c}`" for c in schema.names])
+        own = found.where(f"not {_BLANK}").drop(_BLANK)
+        return (own if every else own.join(self._all, "file", "left_semi")).select([f"`{c}`" for c in schema.names])
+
+    def take(self, part: str) -> bool:
+        """Whether a part stands whole; from now on it doesn't, until it is given back."""
+        mark, store = self._folder(f"{self.path}/{part}/_DONE")
+        return store.delete(mark, False)
+
+    def give(self, part: str) -> None:
+        """The part stands whole again; others beside it are removed."""
+        mark, store = self._folder(f"{self.path}/{part}/_DONE")
+        store.create(mark, True).close()
+        for found in store.listStatus(mark.getParent().getParent()):
+            if found.getPath().getName() != mark.getParent().getName():
+                store.delete(found.getPath(), True)
 
     def _touched(self, part: str) -> bool:
         """Whether a part that stands holds any file of the work list."""

@@ -133,3 +133,45 @@ def test_unchanged_files_and_tables_are_not_cast_again(spark, tmp_path, monkeypa
     (books / "more.xlsx").unlink()
     workbook(books / "enum.xlsx", {"FLAGS": [["A", "1"], ["B", "A | 0x4"]]})
     assert run() == {("item", "data.xlsx")}
+
+
+def test_references_to_values_that_went(spark, tmp_path, monkeypatch):
+    """After any mix of edits the index gives the faults of a full check, and looks at no more than it must."""
+    books, state, asked = tmp_path / "books", f"{tmp_path}/state", []
+    books.mkdir()
+    of = conversion.reference_index.suspects
+    counted = lambda *given: asked.append(of(*given).count()) or of(*given)
+    monkeypatch.setattr(conversion.reference_index, "suspects", counted)
+    shown = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+
+    def run(remembered=True):
+        data = workbooks.list_sources(spark, str(books)).select("path", "content")
+        made, remember = conversion.reconvert(data, state, "1", width=3)
+        whole = conversion.convert(workbooks.workbook_cells(data), width=3)
+        faults = shown(made.faults)
+        assert faults == shown(whole.faults)
+        if remembered:
+            remember()
+        return sum("unknown reference" in f for f in faults), asked.pop()
+
+    def users(name, *values):
+        workbook(books / f"{name}.xlsx", {f"{name}": [["id", "ones"], ["*int", "[$key]"], ["common", "common"], *[[k, v] for k, v in enumerate(values)]]})
+
+    def keys(name, *values):
+        workbook(books / f"{name}.xlsx", {f"key.{name}": [["id"], ["*string"], ["common"], *[[v] for v in values]]})
+
+    keys("k", "a", "b")
+    keys("l", "c")
+    users("u", "a & b", "c & c")
+    users("w", "a", "x")
+    assert run() == (1, 6)
+    # the value c goes with its file, from an unchanged file two references are lost; w is faulty and so read again
+    (books / "l.xlsx").unlink()
+    assert run() == (3, 4)
+    # a run that isn't remembered leaves an index that the next one goes on from
+    keys("k", "b", "c")
+    users("w", "x", "b")
+    assert run(remembered=False) == (2, 6)
+    keys("k", "b")
+    keys("m", "a", "x", "c")
+    assert run() == (0, 6)

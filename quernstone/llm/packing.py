@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ _AWKWARD = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1
 _WIDE_SPACE = re.compile("[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _BEYOND_LATIN = re.compile("[^\x00-\u024f]")
-#: Distinct words whose ids one Python worker keeps; the table is emptied beyond it.
+#: Distinct words whose ids one Python worker keeps; beyond it only those of the texts at hand stay.
 _KEPT_WORDS = 300_000
 #: Longer words are forgotten after each run of texts, so the table has a size bound.
 _KEPT_CHARS = 256
@@ -30,20 +31,21 @@ _KEPT_CHARS = 256
 _SLICE = 2_000_000
 
 
-def divide(text: str) -> list[str]:
-    """Cut at single spaces between two non-spaces; there a byte-level BPE always begins a new word with the space.
+def spaced(text: str) -> str | None:
+    """The text with a space at each place where a new word begins, null where it has other spaces and _SAFE_SPACE tells.
 
-    Single line feeds between two non-spaces are words of their own there, so a text without other white space is cut
-    before them too: a part that begins with a line feed follows no space, any other but the first follows one.
+    A byte-level BPE always begins a new word with a single space between two non-spaces. Single line feeds between two
+    non-spaces are words of their own there, so a text without other white space is cut before them too: a part that begins
+    with a line feed follows no space, any other but the first follows one.
     """
     if any(x in text for x in _AWKWARD):
-        return _SAFE_SPACE.split(text)
+        return None
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
         if _WIDE_SPACE.search(text):
-            return _SAFE_SPACE.split(text)
-    return text.replace("\n", " \n").split(" ")
+            return None
+    return text.replace("\n", " \n")
 
 
 class _ByteLevelIds:
@@ -71,9 +73,8 @@ class _ByteLevelIds:
 
     def _learn(self, words: list[str]) -> None:
         """``words`` follow a space each, but those that begin with a line feed."""
-        lines = [w for w in words if w[:1] == "\n"]
-        spaced = [" " + w for w in words if w[:1] != "\n"] if lines else [" " + w for w in words]
-        self.kept.update(zip((w[1:] for w in spaced), self._encode(spaced), strict=True))
+        spaced, lines = [w for w in words if w[:1] != "\n"], [w for w in words if w[:1] == "\n"]
+        self.kept.update(zip(spaced, self._encode([" " + w for w in spaced]), strict=True))
         if lines:
             feed = self._encode(["\n"])[0]
             self.kept.update((w, feed + ids) for w, ids in zip(lines, self._encode([w[1:] for w in lines]), strict=True))
@@ -91,32 +92,46 @@ class _ByteLevelIds:
         # a line feed between two texts that don't begin or end with white space, but for a space in front, is one id
         ids = np.array(self.ranked.encode_ordinary(joined), dtype="<u4")
         ends = [*np.flatnonzero(ids == self.newline).tolist(), len(ids)]
-        raw, at, found = ids.tobytes(), 0, {}
-        for t, end in zip(plain, ends if plain else [], strict=True):
-            found[t] = raw[4 * at : 4 * end]
-            at = end + 1
-        if rest:
-            found.update((t, array("I", x.ids).tobytes()) for t, x in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+        raw = ids.tobytes()
+        cut_up = [raw[4 * a : 4 * b] for a, b in zip([0, *[end + 1 for end in ends[:-1]]], ends, strict=True)]
+        if not rest:
+            return cut_up
+        found = dict(zip(plain, cut_up if plain else [], strict=True))
+        found.update((t, array("I", x.ids).tobytes()) for t, x in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
         return [found[t] for t in texts]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.divisible:
             return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        cut_up = [divide(t) for t in texts]
-        first = [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast([c[0] for c in cut_up], add_special_tokens=False)]
+        marked, seen = [spaced(t) for t in texts], set()
+        plain = iter(self._joined(pc.split_pattern(pa.array([m for m in marked if m is not None], pa.large_string()), " "), seen))
+        odd = iter(self._joined(pa.array([_SAFE_SPACE.split(t) for t, m in zip(texts, marked, strict=True) if m is None], pa.large_list(pa.large_string())), seen))
         if len(self.kept) > _KEPT_WORDS:
-            self.kept.clear()
-        new: set[str] = set()
-        for c in cut_up:
-            new.update(c[1:])
-        new -= self.kept.keys()
-        self._learn([*new])
-        out = [a + b"".join(map(self.kept.__getitem__, c[1:])) for a, c in zip(first, cut_up, strict=True)]
+            self.kept = {w: self.kept[w] for w in seen if w in self.kept}
+        return [next(odd if m is None else plain) for m in marked]
+
+    def _joined(self, parts: pa.Array, seen: set[str]) -> list[bytes]:
+        """Ids of texts given by their parts, which are added to ``seen``. The parts stand as numbers of the distinct ones, so Python sees only these."""
+        at = parts.offsets.to_numpy().astype(np.int64)
+        first = [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(parts.values.take(parts.offsets[:-1]).to_pylist(), add_special_tokens=False)]
+        follows = np.ones(len(parts.values), dtype=bool)
+        follows[at[:-1]] = False
+        words = parts.values.filter(pa.array(follows)).dictionary_encode()
+        distinct, numbers = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
+        seen.update(distinct)
+        new = [w for w in distinct if w not in self.kept]
+        self._learn(new)
+        known = [*map(self.kept.__getitem__, distinct)]
         for w in new:
             if len(w) > _KEPT_CHARS:
                 del self.kept[w]
-        return out
+        flat, size = np.frombuffer(b"".join(known), dtype="<u4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
+        length = size[numbers]
+        ends = np.cumsum(length)
+        ids = flat[np.repeat((np.cumsum(size) - size)[numbers] - (ends - length), length) + np.arange(length.sum())].tobytes()
+        cuts = np.append(0, 4 * ends)[at - np.arange(len(at))].tolist()
+        return [a + ids[start:end] for a, start, end in zip(first, cuts, cuts[1:], strict=False)]
 
 
 @functools.lru_cache(maxsize=2)

@@ -323,7 +323,7 @@ def _parts(c: Column) -> Column:
 
 
 #: ``header(a, b)`` as struct(Type, Parameters) of text, unchecked; ``to_dsl`` checks it and lookups.bind_calls() joins it.
-to_call = _scalar(_parts, "call")
+to_call = replace(_scalar(_parts, "call"), steps=(call_parts, lambda p: F.when(p.isNotNull(), F.struct(p["header"].alias("Type"), p["args"].alias("Parameters")))))
 
 
 def _apart(step: Callable[[Column], Column]) -> Callable[[Column], Column]:

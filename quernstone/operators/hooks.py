@@ -27,7 +27,9 @@ def decoding(df: DataFrame, decode: Callable[[Column], Column]) -> DataFrame:
 def call_view(calls: DataFrame, header: str, params: list[tuple[str, str]]) -> DataFrame:
     """Bound calls of one header as typed columns (name, SQL type)."""
     fields = [F.get("bound", F.lit(k)).try_cast(kind).alias(name) for k, (name, kind) in enumerate(params)]
-    return calls.where(F.col("Type") == header).select("*", F.struct(*fields).alias("typed"))
+    # a plain filter would be pushed below the steps that parse the calls and repeat them all for each row
+    own = F.when(F.col("Type") == header, F.array(F.struct(*fields)))
+    return calls.select("*", F.explode_outer(own).alias("typed")).where("typed is not null")
 
 
 def to_call(header: str, values: list[Column]) -> Column:
